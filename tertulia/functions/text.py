@@ -10,6 +10,7 @@ import sys
 import unicodedata
 from collections.abc import Sequence
 from functools import lru_cache
+from itertools import filterfalse
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +29,10 @@ def blank_characters() -> str:
     return "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
+def _is_mark(char: str) -> bool:
+    return unicodedata.category(char) == "Mn"
+
+
 @lru_cache(maxsize=1)
 def _accent_table() -> tuple[str, str]:
     """Characters to map one to one and, after them, the marks to delete, as ``translate`` wants them."""
@@ -36,7 +41,7 @@ def _accent_table() -> tuple[str, str]:
         if 0xD800 <= code <= 0xDFFF:
             continue
         char = chr(code)
-        base = "".join(c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c) != "Mn")
+        base = "".join(filterfalse(_is_mark, unicodedata.normalize("NFD", char)))
         if not base:
             deleted.append(char)
         elif base != char and len(base) == 1:
@@ -55,15 +60,19 @@ def squash(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, f"(?U){BLANK}+", " "))
 
 
-def normalise_accents(col: Column) -> Column:
-    """Drop the marks of accented letters. Pure ASCII text skips the per-character lookup."""
-    source, target = _accent_table()
+def _translate(col: Column, source: str, target: str) -> Column:
+    """``translate`` for tables of non-ASCII characters: pure ASCII text skips the lookup of each character."""
     return F.when(col.rlike(r"[^\x00-\x7f]"), F.translate(col, source, target)).otherwise(col)
 
 
+def normalise_accents(col: Column) -> Column:
+    """Drop the marks of accented letters."""
+    return _translate(col, *_accent_table())
+
+
 def fold_vowels(col: Column) -> Column:
     """Lower case with plain vowels, the form rules are matched against."""
-    return F.translate(F.lower(col), ACCENTED_VOWELS, PLAIN_VOWELS)
+    return _translate(F.lower(col), ACCENTED_VOWELS, PLAIN_VOWELS)
 
 
 def drop_fillers(col: Column, words: Sequence[str]) -> Column:
@@ -77,6 +86,11 @@ def drop_punct(col: Column) -> Column:
     return F.regexp_replace(col, r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]", " ")
 
 
+def squash_words(col: Column) -> Column:
+    """``squash(drop_punct(col))`` in one pass: blanks and punctuation are all that is not a word character."""
+    return F.trim(F.regexp_replace(col, r"[^\p{L}\p{N}_]+", " "))
+
+
 def clean_text(
     col: Column,
     fillers: Sequence[str] = (),
@@ -87,9 +101,7 @@ def clean_text(
     if strip_accents:
         out = normalise_accents(out)
     out = drop_fillers(out, fillers)
-    if remove_punctuation:
-        out = drop_punct(out)
-    return squash(out)
+    return squash_words(out) if remove_punctuation else squash(out)
 
 
 def unify_newlines(col: Column) -> Column:
@@ -118,11 +130,10 @@ def to_clock(col: Column) -> Column:
 
 def regex_to_phrase(col: Column) -> Column:
     """Readable words of a rule pattern: boundary marks and optional groups go, operators become blanks."""
-    out = F.regexp_replace(col, r"\\b", "")
+    out = F.replace(col, F.lit(r"\b"), F.lit(""))
     out = F.regexp_replace(out, r"(?d)\(\?:.*?\)", "")
     out = F.regexp_replace(out, r"(?d)\(.*?\?\)", "")
-    out = F.regexp_replace(out, r"[\\()?|]", " ")
-    return squash(out)
+    return F.trim(F.regexp_replace(out, r"(?U)[\\()?|\s\x1c-\x1f]+", " "))
 
 
 def word_count(col: Column) -> Column:

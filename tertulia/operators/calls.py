@@ -33,20 +33,17 @@ def call_metrics(turns: DataFrame) -> DataFrame:
     )
 
 
-def join_detections(metrics: DataFrame, found: DataFrame) -> DataFrame:
+def join_detections(calls: DataFrame, found: DataFrame) -> DataFrame:
     """Calls left-joined to their detections on ``archivo``; null names match null names.
 
     A left join cannot split a call with very many detections, an inner one can (adaptive skew join). So
-    the matched rows come from an inner join and the calls without detections are added to them.
+    each call without detections is given one empty row, for which names alone are read, and the join is inner.
     """
-    detail = [name for name in found.columns if name != "archivo"]
     right = found.withColumnRenamed("archivo", "_call")
     same = F.col("archivo").eqNullSafe(F.col("_call"))
-    matched = metrics.join(right, same).drop("_call")
-    empty = metrics.join(right.select("_call").distinct(), same, "left_anti").select(
-        "*", *[F.lit(None).cast(found.schema[name].dataType).alias(name) for name in detail]
-    )
-    return matched.unionByName(empty)
+    silent = calls.select("archivo").distinct().join(right.select("_call").distinct(), same, "left_anti")
+    rows = right.unionByName(silent.withColumnRenamed("archivo", "_call"), allowMissingColumns=True)
+    return calls.join(rows, same).drop("_call")
 
 
 def join_summaries(calls: DataFrame, summaries: DataFrame) -> DataFrame:

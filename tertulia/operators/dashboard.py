@@ -93,14 +93,20 @@ def call_kpis(
 def kpis_by_call(
     final: DataFrame, order: Sequence[str] = ("turn_no", "rule_no", "chunk_no")
 ) -> DataFrame:
-    """``call_kpis`` of every call at once."""
-    return (
-        final.groupBy(F.col("archivo").alias("id_llamada"))
-        .agg(
-            _success().alias("exito"),
-            *_kpis(final.columns),
-            _first_summary(final.columns, order).alias("resumen"),
-        )
+    """``call_kpis`` of every call, and of all calls together, in one aggregation."""
+    figures = final.rollup("archivo").agg(
+        F.grouping("archivo").alias("_all"),
+        _success().alias("exito"),
+        *_kpis(final.columns),
+        _first_summary(final.columns, order).alias("resumen"),
+    )
+    total = F.col("_all") == 1
+    return figures.select(
+        F.when(total, SEVERAL).otherwise(F.col("archivo")).alias("id_llamada"),
+        F.when(total, SEVERAL).otherwise(F.col("exito")).alias("exito"),
+        "sentimiento_prom",
+        "duracion_prom_min",
+        F.when(total, SEVERAL_SUMMARIES).otherwise(F.col("resumen")).alias("resumen"),
     )
 
 

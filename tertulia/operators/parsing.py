@@ -30,6 +30,15 @@ LINE_HEADER = rf"(?dU)\A(Speaker{T.BLANK}+\d+:.*?\}}){T.BLANK}*(.*)\z"
 NOT_SPOKEN = "---"
 
 
+def _explode(calls: DataFrame, rest: list[str]) -> DataFrame:
+    """One row per element of ``turns``.
+
+    The outer form and the filter after it keep the optimiser from adding a filter on the array's size, which
+    it would push below the parse and so parse every text twice.
+    """
+    return calls.select(*rest, F.inline_outer("turns")).where(F.col("turn_no").isNotNull())
+
+
 def _spans(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -76,7 +85,7 @@ def parse_turns(calls: DataFrame, context_size: int | None = None) -> DataFrame:
     turns = calls.select(*rest, full_turns(F.col("raw")).alias("turns"))
     if context_size is not None:
         turns = turns.withColumn("turns", add_context(F.col("turns"), context_size))
-    return turns.select(*rest, F.inline("turns"))
+    return _explode(turns, rest)
 
 
 def metric_turns(raw: Column) -> Column:
@@ -105,11 +114,11 @@ def parse_metric_turns(calls: DataFrame) -> DataFrame:
         gap = F.get(turns, position + 1)["start_sec"] - turn["start_sec"]
         return turn.withField("duration_sec", F.greatest(F.lit(0), F.coalesce(gap, F.lit(0))))
 
-    return (
+    timed_turns = (
         calls.select(*rest, metric_turns(F.col("raw")).alias("turns"))
         .withColumn("turns", F.transform(turns, timed))
-        .select(*rest, F.inline("turns"))
     )
+    return _explode(timed_turns, rest)
 
 
 def spoken_turns(clean: Column) -> Column:
@@ -136,7 +145,7 @@ def spoken_turns(clean: Column) -> Column:
 def parse_clean_turns(calls: DataFrame) -> DataFrame:
     """One row per turn of the ``clean`` column, all speakers, empty turns included."""
     rest = [name for name in calls.columns if name != "clean"]
-    return calls.select(*rest, F.inline(spoken_turns(F.col("clean"))))
+    return _explode(calls.select(*rest, spoken_turns(F.col("clean")).alias("turns")), rest)
 
 
 def clean_transcript(raw: Column, options: CleanOptions = CleanOptions()) -> Column:

@@ -11,7 +11,7 @@ from tertulia import schemas
 from tertulia.config import ReportOptions, RuleSet
 from tertulia.functions.text import fold_vowels
 from tertulia.operators.parsing import add_context, full_turns
-from tertulia.operators.rules import hits
+from tertulia.operators.rules import hits_sql
 
 DOCUMENT_TURNS = 512
 
@@ -105,8 +105,8 @@ def call_documents(
     turns = calls.select("archivo", speaker.alias("_client"), full_turns(F.col("raw")).alias("_turns"))
     turns = turns.withColumn("_turns", add_context(F.col("_turns"), options.context_size))
 
-    def with_hits(turn: Column) -> Column:
-        return turn.withField("hits", hits(fold_vowels(turn["text"]), rules))
+    def fold(turn: Column) -> Column:
+        return turn.withField("folded", fold_vowels(turn["text"]))
 
     said = F.filter("_turns", lambda turn: turn["speaker_num"] == F.col("_client"))
     found = F.flatten(
@@ -114,12 +114,16 @@ def call_documents(
             "_said",
             lambda turn: F.transform(
                 turn["hits"],
-                lambda hit: _detail(hit, turn).withField("_rule", hit["rule_no"]).withField("_turn", turn["turn_no"]),
+                lambda hit: _detail(hit, turn["turn"]).withField("_rule", hit["rule_no"]).withField("_turn", turn["turn"]["turn_no"]),
             ),
         )
     )
+    searched = (
+        f"transform(_said, turn -> named_struct('turn', turn, 'hits', {hits_sql('turn.folded', rules)}))"
+    )
     work = (
-        turns.withColumn("_said", F.transform(said, with_hits))
+        turns.withColumn("_said", F.transform(said, fold))
+        .withColumn("_said", F.expr(searched))
         .withColumn("_found", found)
         .withColumn("_n", F.size("_found"))
     )

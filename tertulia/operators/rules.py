@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tertulia import schemas
-from tertulia.config import RuleSet
+from tertulia.config import Rule, RuleSet
 from tertulia.functions.text import fold_vowels
 from tertulia.operators.turns import client_turns, with_client, with_context
 
@@ -35,35 +35,30 @@ def check_rules(spark: SparkSession, rules: RuleSet) -> None:
         spark.range(1).select(F.array(*tests)).collect()
 
 
-def hits(folded: Column, rules: RuleSet) -> Column:
-    """Array of the rules that match an already folded text."""
-    found = []
-    for category in rules.categories():
-        options = []
-        for rule in category:
-            pattern = "(?U)" + rule.pattern
-            options.append(
-                F.when(
-                    folded.rlike(pattern),
-                    F.struct(
-                        F.lit(rule.rule_no).alias("rule_no"),
-                        F.lit(rule.type).alias("type"),
-                        F.lit(rule.category).alias("category"),
-                        F.lit(rule.intensity).alias("intensity"),
-                        F.regexp_extract(folded, pattern, 0).alias("matched_text"),
-                        F.lit(rule.pattern).alias("pattern"),
-                    ),
-                )
-            )
-        if options:
-            found.append(F.coalesce(*options))
+def _literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def hits_sql(folded: str, rules: RuleSet) -> str:
+    """SQL array of the rules that match an already folded text, given by its SQL name."""
+
+    def option(rule: Rule) -> str:
+        pattern = _literal("(?U)" + rule.pattern)
+        return (
+            f"CASE WHEN {folded} RLIKE {pattern} THEN named_struct("
+            f"'rule_no', {rule.rule_no}, 'type', {_literal(rule.type)}, "
+            f"'category', {_literal(rule.category)}, 'intensity', {rule.intensity}, "
+            f"'matched_text', regexp_extract({folded}, {pattern}, 0), 'pattern', {_literal(rule.pattern)}) END"
+        )
+
+    found = [f"coalesce({', '.join(map(option, category))})" for category in rules.categories()]
     if not found:
-        return F.array().cast(f"array<{schemas.HIT}>")
-    return F.array_compact(F.array(*found))
+        return f"CAST(array() AS array<{schemas.HIT}>)"
+    return f"array_compact(array({', '.join(found)}))"
 
 
 def batch_hits(rules: RuleSet):
-    """The same as ``hits`` for a large rule set, as an Arrow-batched function of the folded text."""
+    """The same as ``hits_sql`` for a large rule set, as an Arrow-batched function of the folded text."""
     groups = [
         [
             (re.compile(r.pattern), (r.rule_no, r.type, r.category, r.intensity), r.pattern)
@@ -107,7 +102,7 @@ def match_rules(
     searched = F.lit(True) if speaker is None else F.col("speaker_num") == speaker
     folded = turns.withColumn("_folded", F.when(searched, text))
     if len(rules.rules()) <= compiled_limit:
-        value = hits(F.col("_folded"), rules)
+        value = F.expr(hits_sql("_folded", rules))
     else:
         value = batch_hits(rules)(F.col("_folded"))
     return folded.withColumn("hits", F.when(F.col("_folded").isNotNull(), value)).drop("_folded")
@@ -125,16 +120,16 @@ def rule_objections(
 
     return (
         match_rules(turns, rules, compiled_limit=compiled_limit)
-        .where(F.size("hits") > 0)
         .select(
             *keep,
-            F.inline("hits"),
+            F.inline_outer("hits"),
             text("timestamp").alias("timestamp"),
             text("speaker").alias("speaker"),
             F.col("text").alias("full_text"),
             text("context_before").alias("context_before"),
             text("context_after").alias("context_after"),
         )
+        .where(F.col("rule_no").isNotNull())
     )
 
 

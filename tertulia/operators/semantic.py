@@ -76,7 +76,8 @@ def chunk_turns(
         turns.select(*rest, split(F.col(column)).alias("_parts"))
         .select(*rest, long_enough.alias("_sentences"))
         .select(*rest, relevant.alias("_chunks"))
-        .select(*rest, F.posexplode("_chunks").alias("chunk_no", "chunk"))
+        .select(*rest, F.posexplode_outer("_chunks").alias("chunk_no", "chunk"))
+        .where(F.col("chunk_no").isNotNull())
     )
 
 

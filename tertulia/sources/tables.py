@@ -41,12 +41,14 @@ def read_detections(
     return reader.option("multiLine", not json_lines).json(path)
 
 
+def plain_name(name: str) -> str:
+    """The ASCII characters of a name's compatibility decomposition, stripped and in lower case."""
+    return "".join(filter(str.isascii, unicodedata.normalize("NFKD", name))).strip().lower()
+
+
 def normalise_columns(df: DataFrame) -> DataFrame:
-    """ASCII, stripped, lower-case column names."""
-    names = [
-        unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode("ascii").strip().lower()
-        for name in df.columns
-    ]
+    """All column names as plain ones; names that become equal are an error."""
+    names = [plain_name(name) for name in df.columns]
     if len(set(names)) != len(names):
         raise ValueError(f"column names collide: {names}")
     return df.toDF(*names)

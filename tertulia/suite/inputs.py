@@ -18,10 +18,10 @@ PREAMBLE = "{ 0:00 }\nBefore the first speaker.\n\n"
 
 RULES = RuleSet(
     patterns={
-        "TIME": {"later": ["(than|then) (the|of)", "from th"], "busy": ["was (a|in) "]},
-        "NEED": {"no_need": ["que (la|el|de) ", "no (es|hay)"], "has_other": ["(est|un) (de|la)"]},
+        "TIME": {"later": ["(than|then)[a-z]* (the|of)", "from th", "on[a-z]+ing"], "busy": ["was (a|in) ", "tion of"]},
+        "NEED": {"no_need": ["que (la|el|de) ", "no (es|hay)", "[a-z]+ción"], "has_other": ["(est|un) (de|la)", "el[a-z]* a"]},
         "TRUST": {"risk": ["der (ein|und)", "und d(ie|as|er)"], "doubt": ["é"]},
-        "INFO": {"detail": ["this (is|was|with)", "[0-9]+"], "price": ["est (le|la|en)", "pour "]},
+        "INFO": {"detail": ["this (is|was|with)", "[0-9]+"], "price": ["est (le|la|en)", "pour ", "(et|de) [a-z]e"]},
     },
     intensity={"later": 2, "busy": 1, "no_need": 3, "risk": 3, "detail": 1, "price": 2},
 )
@@ -34,40 +34,51 @@ LETTER_THRESHOLD = 0.8
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+SCHEMAS = {
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
 
 
-def speaker_number(role: Column) -> Column:
-    return F.when(role == "user", 1).when(role == "assistant", 2).otherwise(3)
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def conversation_turns(spark: SparkSession, folder: str) -> DataFrame:
-    seconds = (F.col("turn") * 7 + F.length("text") % 23).cast("int")
-    number = speaker_number(F.col("role"))
-    return table(spark, folder, "conversations").select(
-        F.concat(F.lit("call_"), F.col("conv_id")).alias("archivo"),
-        F.col("turn").cast("int").alias("turn_no"),
-        F.concat(F.lit("Speaker "), number).alias("speaker"),
-        number.alias("speaker_num"),
-        to_clock(seconds).alias("timestamp"),
-        seconds.alias("start_sec"),
-        "text",
+    seconds = F.col("start_sec")
+    return (
+        table(spark, folder, "conversations")
+        .selectExpr(
+            "concat('call_', conv_id) AS archivo",
+            "CAST(turn AS int) AS turn_no",
+            "CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END AS speaker_num",
+            "CAST(turn * 7 + length(text) % 23 AS int) AS start_sec",
+            "text",
+        )
+        .select(
+            "archivo",
+            "turn_no",
+            F.concat(F.lit("Speaker "), "speaker_num").alias("speaker"),
+            "speaker_num",
+            to_clock(seconds).alias("timestamp"),
+            "start_sec",
+            "text",
+        )
     )
 
 
 def conversation_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     """``archivo, part, raw``: the transcript text of each call, in parts of consecutive turns."""
-    block = F.concat("speaker", F.lit(":  { "), "timestamp", F.lit(" }\n"), "text")
-    turns = conversation_turns(spark, folder).withColumn(
-        "part", F.floor(F.col("turn_no") / PART_TURNS).cast("int")
+    turns = conversation_turns(spark, folder).selectExpr(
+        "archivo",
+        f"CAST(turn_no DIV {PART_TURNS} AS int) AS part",
+        "struct(turn_no, concat(speaker, ':  { ', timestamp, ' }\n', text) AS block) AS turn",
     )
-    blocks = F.array_sort(F.collect_list(F.struct("turn_no", block.alias("block"))))
-    body = F.array_join(F.transform(blocks, lambda b: b["block"]), "\n\n")
     start = F.when(F.col("part") == 0, PREAMBLE).otherwise("")
-    return turns.groupBy("archivo", "part").agg(body.alias("body")).select(
-        "archivo", "part", F.concat(start, "body").alias("raw")
-    )
+    parts = turns.groupBy("archivo", "part").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    return parts.select("archivo", "part", F.concat(start, F.array_join("turns.block", "\n\n")).alias("raw"))
 
 
 def place_in_call() -> Column:

@@ -58,11 +58,11 @@ def rule_objections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def talk_time_sentiment(spark: SparkSession, folder: str) -> DataFrame:
-    return _metrics(spark, folder)
+    return _metrics(I.conversation_turns(spark, folder))
 
 
-def _metrics(spark: SparkSession, folder: str) -> DataFrame:
-    timed = turns.with_duration(I.conversation_turns(spark, folder).drop("timestamp", "speaker_num"))
+def _metrics(all_turns: DataFrame) -> DataFrame:
+    timed = turns.with_duration(all_turns.select("archivo", "turn_no", "speaker", "start_sec", "text"))
     return calls.call_metrics(timed.withColumn("label", I.text_label(F.col("text"))))
 
 
@@ -104,9 +104,8 @@ def validated(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _final(spark: SparkSession, folder: str) -> DataFrame:
-    objections = rules.rule_objections(
-        turns.client_turns(I.conversation_turns(spark, folder), 1), I.RULES
-    )
+    all_turns = I.conversation_turns(spark, folder)
+    objections = rules.rule_objections(turns.client_turns(all_turns, 1), I.RULES)
     found = objections.select(
         F.concat(F.lit(" "), "archivo").alias("archivo_origen"),
         "turn_no",
@@ -119,7 +118,7 @@ def _final(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("call_"), F.col("doc_id"), F.lit(" \n")).alias("archivo"),
         F.when(F.col("lang") == "de", "").otherwise(F.col("text")).alias("resumen"),
     )
-    return calls.final_calls(_metrics(spark, folder), found, scoring.drop_empty_summaries(told))
+    return calls.final_calls(_metrics(all_turns), found, scoring.drop_empty_summaries(told))
 
 
 def final_calls(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,8 +126,7 @@ def final_calls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def call_kpis(spark: SparkSession, folder: str) -> DataFrame:
-    final = _final(spark, folder)
-    return dashboard.call_kpis(final).unionByName(dashboard.kpis_by_call(final))
+    return dashboard.kpis_by_call(_final(spark, folder))
 
 
 def per_call_means(spark: SparkSession, folder: str) -> DataFrame:
@@ -270,7 +268,7 @@ def summaries(spark: SparkSession, folder: str) -> DataFrame:
 
 def dashboard_columns(spark: SparkSession, folder: str) -> DataFrame:
     """The metrics under names as a hand-made export has them, brought back to plain ones."""
-    metrics = _metrics(spark, folder)
+    metrics = _metrics(I.conversation_turns(spark, folder))
     names = [" Archivó ", "Duración_Total_Seg", "TIEMPO_speaker1_seg", "tiempo_speaker2_seg ", "Sentimiento_Speaker1", "sentimiento_speaker2"]
     return normalise_columns(metrics.toDF(*names))
 
