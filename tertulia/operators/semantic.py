@@ -208,16 +208,13 @@ def _match_blocks(
     rank = F.struct(
         F.round("similarity", 12).alias("level"), (-F.col("cat_id")).alias("rank"), "similarity"
     )
-    best = partial.groupBy(*keys).agg(F.max(rank).alias("_top"))
-    found = best.select(
-        *[F.col(key).alias(f"_key_{key}") for key in keys],
-        (-F.col("_top.rank")).alias("cat_id"),
-        F.col("_top.similarity").alias("similarity"),
+    found = (
+        partial.groupBy(F.struct(*keys).alias("_key"))
+        .agg(F.max(rank).alias("_top"))
+        .select("_key", (-F.col("_top.rank")).alias("cat_id"), F.col("_top.similarity").alias("similarity"))
     )
-    same = F.lit(True)
-    for key in keys:
-        same = same & F.col(key).eqNullSafe(F.col(f"_key_{key}"))
-    return chunks.join(found, same).select(*chunks.columns, "cat_id", "similarity")
+    keyed = chunks.withColumn("_key", F.struct(*keys))
+    return keyed.join(found, "_key").select(*chunks.columns, "cat_id", "similarity")
 
 
 def detections(scored: DataFrame, threshold: float) -> DataFrame:

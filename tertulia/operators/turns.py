@@ -27,23 +27,20 @@ def number_rows(
     Blocks of the order column are numbered on their own and shifted by the rows of the blocks before; only
     one count per block passes through the window over the key.
     """
-    blocks = df.withColumn("_block", _block(F.col(order), block))
-    counts = blocks.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_rows"))
-    before = (
-        Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks, group = df.withColumn("_block", _block(F.col(order), block)), ["_block"]
+    if keys:
+        # A struct equals itself when its fields are null, so the join below is a plain one on the same key.
+        blocks, group = blocks.withColumn("_key", F.struct(*keys)), ["_key", "_block"]
+    before = Window.partitionBy(*group[:-1]).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (
+        blocks.groupBy(*group)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select(*group, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))
     )
-    shift = counts.select(
-        *[F.col(key).alias(f"_key_{key}") for key in keys],
-        F.col("_block").alias("_key_block"),
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"),
-    )
-    same = F.col("_block") == F.col("_key_block")
-    for key in keys:
-        same = same & F.col(key).eqNullSafe(F.col(f"_key_{key}"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order)) - 1
+    inside = F.row_number().over(Window.partitionBy(*group).orderBy(order)) - 1
     return (
         blocks.withColumn("_inside", inside)
-        .join(shift, same)
+        .join(shift, group)
         .select(*df.columns, (F.col("_inside") + F.col("_shift")).cast("int").alias(name))
     )
 

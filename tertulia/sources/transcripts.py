@@ -20,7 +20,8 @@ def file_key(name: Column | None = None) -> Column:
 def read_transcripts(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """``archivo, raw, parse_error``: one row per ``*.txt`` file of the folder, subfolders left out.
 
-    Files that cannot be used are kept as rows with ``parse_error`` set; see ``with_rejects``.
+    Files that cannot be used are kept as rows with ``parse_error`` set; see ``with_rejects``. Spark's file
+    listing leaves out files of zero bytes, so they have no row.
     """
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt")
     usable = files.where(F.col("_metadata.file_size") <= max_bytes).select(

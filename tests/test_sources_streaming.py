@@ -1,0 +1,81 @@
+import pytest
+
+from tertulia.config import RuleSet
+from tertulia.operators import parsing
+from tertulia.plans import objections
+from tertulia.sources import transcripts
+from tertulia.streaming import folders
+
+RULES = RuleSet({"TIME": {"later": ["luego"]}}, {"later": 2})
+ONE = "Speaker 2: { 0:00 }\nhola\n\nSpeaker 1: { 0:04 }\nLuego hablo\n"
+
+
+def test_folder_scan(spark, folder, tmp_path):
+    path = folder(
+        **{"1 Ana (b)+ñ%20x__txt": ONE, "two__txt": "a\r\nb\rc", "bad__txt": b"ok \xff\xfe", "other__json": "{}"}
+    )
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "deep.txt").write_text("deep")
+    good, rejects = transcripts.with_rejects(transcripts.read_transcripts(spark, path))
+    got = {r.archivo: r.raw for r in good.collect()}
+    assert got == {"1 Ana (b)+ñ%20x.txt": ONE, "two.txt": "a\nb\nc"}
+    assert [(r.archivo, r.parse_error) for r in rejects.collect()] == [("bad.txt", "not valid UTF-8")]
+
+
+def test_large_files_are_reported(spark, folder):
+    path = folder(big__txt="x" * 500, small__txt="y")
+    good, rejects = transcripts.with_rejects(transcripts.read_transcripts(spark, path, max_bytes=100))
+    assert [r.archivo for r in good.collect()] == ["small.txt"]
+    assert [(r.archivo, r.parse_error) for r in rejects.collect()] == [("big.txt", "file too large")]
+
+
+def test_empty_folder(spark, folder):
+    assert transcripts.read_transcripts(spark, folder()).count() == 0
+
+
+def test_clean_sink(spark, folder, tmp_path):
+    good, _ = transcripts.with_rejects(transcripts.read_transcripts(spark, folder(a__txt=ONE)))
+    out = str(tmp_path / "out")
+    transcripts.write_clean(parsing.clean_call(good), out)
+    assert spark.read.parquet(out).first().asDict() == {
+        "archivo": "a.txt",
+        "clean": "Speaker 2: { 0:00 }\nhola\n\nSpeaker 1: { 0:04 }\nluego hablo",
+    }
+    with pytest.raises(Exception):
+        transcripts.write_clean(parsing.clean_call(good), out)
+
+
+def test_growing_folder(spark, folder, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    out, state = str(tmp_path / "objections"), str(tmp_path / "state")
+
+    def run():
+        stream = folders.stream_objections(folders.stream_transcripts(spark, str(source)), RULES)
+        folders.append_to(stream, out, state).awaitTermination()
+        return sorted(r.archivo for r in spark.read.parquet(out).collect())
+
+    (source / "a.txt").write_text(ONE)
+    (source / "b.txt").write_bytes(b"\xff")
+    assert run() == ["a.txt"]
+    (source / "c d.txt").write_text(ONE)
+    assert run() == ["a.txt", "c d.txt"]
+    assert run() == ["a.txt", "c d.txt"]
+
+
+def test_streamed_documents_equal_batch(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.txt").write_text(ONE)
+    (source / "bad.txt").write_bytes(b"\xff")
+    stream = folders.stream_transcripts(spark, str(source))
+    folders.append_to(folders.stream_documents(stream, RULES), str(tmp_path / "docs"), str(tmp_path / "s1")).awaitTermination()
+    good, _ = transcripts.with_rejects(transcripts.read_transcripts(spark, str(source)))
+    assert spark.read.parquet(str(tmp_path / "docs")).collect() == objections.analyse_calls(good, RULES).collect()
+    folders.append_to(folders.stream_rejects(stream), str(tmp_path / "rej"), str(tmp_path / "s2")).awaitTermination()
+    assert [r.archivo for r in spark.read.parquet(str(tmp_path / "rej")).collect()] == ["bad.txt"]
+    counts = folders.transform_batches(
+        stream, lambda df: parsing.parse_turns(df).groupBy("archivo").count(), str(tmp_path / "n"), str(tmp_path / "s3")
+    )
+    counts.awaitTermination()
+    assert [(r.archivo, r["count"]) for r in spark.read.parquet(str(tmp_path / "n")).collect()] == [("a.txt", 2)]
