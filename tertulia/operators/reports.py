@@ -12,8 +12,10 @@ from tertulia.config import ReportOptions, RuleSet
 from tertulia.functions.text import fold_vowels
 from tertulia.operators.parsing import add_context, full_turns
 from tertulia.operators.rules import hits_sql
+from tertulia.operators.turns import with_edges
 
 DOCUMENT_TURNS = 512
+MAX_RULES = 1 << 20
 
 
 def _type_maps(counts: list[tuple[str, Column, Column]]) -> list[Column]:
@@ -35,6 +37,11 @@ def _type_maps(counts: list[tuple[str, Column, Column]]) -> list[Column]:
     ]
 
 
+def _place(turn_no: Column, rule_no: Column) -> Column:
+    """Order of an objection in its call as one number, whose minimum a hash aggregation can keep."""
+    return turn_no.cast("bigint") * F.lit(MAX_RULES) + rule_no
+
+
 def _of_type(found: str, name: str) -> Column:
     return F.filter(found, lambda hit: hit["type"] == name)
 
@@ -56,7 +63,7 @@ def call_report(matched: DataFrame, types: Sequence[str], client_speaker: int |
     for i, name in enumerate(types):
         matched = matched.withColumn(f"_of_{i}", _of_type("hits", name))
         of_type = F.col(f"_of_{i}")
-        place = F.struct("turn_no", F.get(of_type, 0)["rule_no"].alias("rule_no"))
+        place = _place(F.col("turn_no"), F.get(of_type, 0)["rule_no"])
         sums += [
             F.sum(F.coalesce(F.size(of_type), F.lit(0))).alias(f"_n_{i}"),
             F.min(F.when(F.size(of_type) > 0, place)).alias(f"_first_{i}"),
@@ -131,7 +138,7 @@ def call_documents(
     def counted(name: str) -> tuple[str, Column, Column]:
         of_type = _of_type("_found", name)
         first = F.get(of_type, 0)
-        return name, F.size(of_type), F.struct(first["_turn"].alias("turn_no"), first["_rule"].alias("rule_no"))
+        return name, F.size(of_type), _place(first["_turn"], first["_rule"])
 
     total = F.aggregate("_found", F.lit(0), lambda s, o: s + o["intensity"])
     columns = [
@@ -152,24 +159,37 @@ def call_documents(
     return work.select(*columns)
 
 
-def document_parts(matched: DataFrame, turns_per_part: int = DOCUMENT_TURNS) -> DataFrame:
-    """Nested ``objections`` and ``turns`` of a turn table with contexts and hits, by ``file, part``.
+def document_parts(
+    matched: DataFrame, context_size: int = 100, turns_per_part: int = DOCUMENT_TURNS
+) -> DataFrame:
+    """Nested ``objections`` and ``turns`` of a turn table with hits, by ``file, part``, in one exchange.
 
     A part holds at most ``turns_per_part`` consecutive turns, so no call, however long, has to fit into
-    one row; an ordinary call is one part.
+    one row; an ordinary call is one part. The turns on either side of a part are there for context only.
     """
     turn = F.struct(
-        "turn_no", "speaker", "speaker_num", "timestamp", "text", "context_before", "context_after",
+        "turn_no", "speaker", "speaker_num", "timestamp", "text",
         F.coalesce(F.col("hits"), F.array().cast(f"array<{schemas.HIT}>")).alias("hits"),
     )
-    part = F.floor(F.col("turn_no") / turns_per_part).cast("int")
-    parts = matched.groupBy(F.col("archivo").alias("file"), part.alias("part")).agg(
-        F.array_sort(F.collect_list(turn)).alias("_turns")
+
+    def is_own(turn_no: Column, part: str) -> Column:
+        return F.floor(turn_no / turns_per_part) == F.col(part)
+
+    parts = (
+        with_edges(matched, turns_per_part)
+        .groupBy(F.col("archivo").alias("file"), F.col("_block").cast("int").alias("part"))
+        .agg(
+            F.array_sort(F.collect_list(turn)).alias("_turns"),
+            F.count_if(is_own(F.col("turn_no"), "_block")).alias("_own"),
+        )
+        .where(F.col("_own") > 0)
+        .withColumn("_turns", add_context(F.col("_turns"), context_size))
     )
+    own = parts.withColumn("_turns", F.filter("_turns", lambda t: is_own(t["turn_no"], "part")))
     found = F.flatten(
         F.transform("_turns", lambda t: F.transform(t["hits"], lambda h: _detail(h, t)))
     )
-    return parts.select(
+    return own.select(
         "file", "part", found.alias("objections"), F.transform("_turns", _plain_turn).alias("turns")
     )
 

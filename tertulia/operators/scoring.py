@@ -19,6 +19,11 @@ from tertulia.sources.staging import settle
 Complete = Callable[[str], str | None]
 
 
+def once(function):
+    """Keep the optimiser from copying a model call, as it does when a filter on its result moves below it."""
+    return function.asNondeterministic()
+
+
 def label_sentiment(
     turns: DataFrame,
     make_classifier: Callable[[], Callable[[np.ndarray], np.ndarray]],
@@ -26,7 +31,9 @@ def label_sentiment(
     batch_size: int = 8,
 ) -> DataFrame:
     """Add ``label`` from a caller's classifier, loaded once per Python worker."""
-    classify = predict_batch_udf(make_classifier, return_type=t.StringType(), batch_size=batch_size)
+    classify = once(
+        predict_batch_udf(make_classifier, return_type=t.StringType(), batch_size=batch_size)
+    )
     return turns.withColumn("label", classify(F.col(column)))
 
 
@@ -55,9 +62,7 @@ def answer_prompts(asked: DataFrame, complete: Complete, workers: int = 4) -> Da
     A failing call gives an error, not a lost batch. The result is settled on reliable storage: using it
     twice, or losing an executor later, does not ask again.
     """
-    prompts = (
-        asked.where("prompt is not null").groupBy("prompt_key").agg(F.any_value("prompt").alias("prompt"))
-    )
+    prompts = asked.select("prompt_key", "prompt").where("prompt is not null").distinct()
     run = _asking(complete, workers, ["prompt_key"])
     return settle(prompts.mapInPandas(run, "prompt_key string, answer string, error string"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as t
 
 from tertulia.config import ChunkOptions
 from tertulia.functions import text as T
+from tertulia.operators.scoring import once
 from tertulia.operators.turns import number_rows
 
 SENTENCE_END = r"[\n.!?]+"
@@ -88,8 +89,8 @@ def encode_column(
     batch_size: int = 64,
 ) -> DataFrame:
     """Add ``embedding`` from a caller's model, loaded once per Python worker and fed in batches."""
-    encode = predict_batch_udf(
-        make_encoder, return_type=t.ArrayType(t.FloatType()), batch_size=batch_size
+    encode = once(
+        predict_batch_udf(make_encoder, return_type=t.ArrayType(t.FloatType()), batch_size=batch_size)
     )
     return df.withColumn("embedding", encode(F.col(column)))
 
@@ -160,7 +161,7 @@ def _match_broadcast(chunks: DataFrame, catalog: pa.Table) -> DataFrame:
             [pa.array(ids[first], pa.int32()), pa.array(top)], names=["cat_id", "similarity"]
         )
 
-    return chunks.withColumn("_near", nearest("embedding")).select(
+    return chunks.withColumn("_near", once(nearest)("embedding")).select(
         *chunks.columns, F.col("_near.cat_id").alias("cat_id"), F.col("_near.similarity").alias("similarity")
     )
 

@@ -13,29 +13,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_TURNS = 1024
+SUPERBLOCK = 1024
 
 
 def _block(position: Column, size: int) -> Column:
     return F.floor(position / F.lit(size))
 
 
+def _sum_before(column: str, keys: Sequence[str], order: str) -> Column:
+    rows = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(column).over(rows), F.lit(0))
+
+
 def number_rows(
     df: DataFrame, order: str, keys: Sequence[str] = (), name: str = "turn_no", block: int = 65536
 ) -> DataFrame:
     """Dense positions from 0 by an increasing integer column, within ``keys`` (or over the whole table).
 
-    Blocks of the order column are numbered on their own and shifted by the rows of the blocks before; only
-    one count per block passes through the window over the key.
+    Blocks of the order column are numbered on their own and shifted by the rows of the blocks before. Those
+    sums are taken in two steps, within and over groups of blocks, so that the one window that holds all of a
+    key sees one row per ``block * SUPERBLOCK`` places.
     """
     blocks, group = df.withColumn("_block", _block(F.col(order), block)), ["_block"]
     if keys:
         # A struct equals itself when its fields are null, so the join below is a plain one on the same key.
         blocks, group = blocks.withColumn("_key", F.struct(*keys)), ["_key", "_block"]
-    before = Window.partitionBy(*group[:-1]).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    shift = (
+    outer = [*group[:-1], "_super"]
+    counts = (
         blocks.groupBy(*group)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*group, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))
+        .withColumn("_super", _block(F.col("_block"), SUPERBLOCK))
+    )
+    inner = _sum_before("_rows", outer, "_block")
+    totals = counts.groupBy(*outer).agg(F.sum("_rows").alias("_rows"))
+    shift = (
+        counts.select(*group, "_super", inner.alias("_near"))
+        .join(totals.select(*outer, _sum_before("_rows", group[:-1], "_super").alias("_far")), outer)
+        .select(*group, (F.col("_near") + F.col("_far")).alias("_shift"))
     )
     inside = F.row_number().over(Window.partitionBy(*group).orderBy(order)) - 1
     return (
@@ -49,8 +63,10 @@ def number_turns(turns: DataFrame, order: str, block: int = 65536) -> DataFrame:
     return number_rows(turns, order, ["archivo"], "turn_no", block)
 
 
-def _with_neighbours(turns: DataFrame, columns: dict[str, Column], block: int) -> DataFrame:
-    """Add window columns that look one turn back or ahead, computed block by block."""
+def with_edges(turns: DataFrame, block: int) -> DataFrame:
+    """Turns with their ``_block``; the first and last turn of a block are also in the block beside it."""
+    if block < 2:
+        raise ValueError("a block needs at least two turns")
     position = F.col("turn_no")
     own = _block(position, block)
     copies = (
@@ -58,9 +74,13 @@ def _with_neighbours(turns: DataFrame, columns: dict[str, Column], block: int) -
         .when(position % block == block - 1, F.array(own, own + 1))
         .otherwise(F.array(own))
     )
-    spread = turns.withColumn("_block", F.explode(copies))
-    seen = spread.select("*", *[value.alias(name) for name, value in columns.items()])
-    return seen.where(F.col("_block") == own).drop("_block")
+    return turns.withColumn("_block", F.explode(copies))
+
+
+def _with_neighbours(turns: DataFrame, columns: dict[str, Column], block: int) -> DataFrame:
+    """Add window columns that look one turn back or ahead, computed block by block."""
+    seen = with_edges(turns, block).select("*", *[value.alias(name) for name, value in columns.items()])
+    return seen.where(F.col("_block") == _block(F.col("turn_no"), block)).drop("_block")
 
 
 def _by_turn() -> Window:
@@ -69,8 +89,6 @@ def _by_turn() -> Window:
 
 def with_context(turns: DataFrame, size: int = 100, block: int = BLOCK_TURNS) -> DataFrame:
     """Leading characters of the turn before and after, of any speaker; empty at the ends of the call."""
-    if block < 2:
-        raise ValueError("a block needs at least two turns")
     lead = F.left(F.col("text"), F.lit(size))
     return _with_neighbours(
         turns,
@@ -84,8 +102,6 @@ def with_context(turns: DataFrame, size: int = 100, block: int = BLOCK_TURNS) ->
 
 def with_duration(turns: DataFrame, block: int = BLOCK_TURNS) -> DataFrame:
     """``duration_sec``: time to the next turn in document order, never negative, 0 for the last turn."""
-    if block < 2:
-        raise ValueError("a block needs at least two turns")
     gap = F.lead("start_sec").over(_by_turn()) - F.col("start_sec")
     return _with_neighbours(
         turns, {"duration_sec": F.greatest(F.lit(0), F.coalesce(gap, F.lit(0)))}, block

@@ -187,8 +187,7 @@ def phrase_detail(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def report_documents(spark: SparkSession, folder: str) -> DataFrame:
-    near = turns.with_context(I.conversation_turns(spark, folder), 100)
-    parts = reports.document_parts(rules.match_rules(near, I.RULES, 1))
+    parts = reports.document_parts(rules.match_rules(I.conversation_turns(spark, folder), I.RULES, 1))
     details = F.transform(
         "objections",
         lambda o: F.concat_ws("|", o["type"], o["matched_text"], o["timestamp"], o["context_before"], o["context_after"]),

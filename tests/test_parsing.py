@@ -181,6 +181,17 @@ def test_cleaning_then_turns(calls):
     ]
 
 
+def test_long_texts(calls):
+    blanks = " " * 200_000
+    words = "palabra, " * 300_000
+    text = f"Speaker 1: {{ 0:01 }}\n{words}\n{blanks}\n{words}\nSpeaker 2: {{ 0:02 }}\nfin{blanks}"
+    full = rows(parsing.parse_turns(calls(a=text)), "text")
+    assert full == [((words + "\n" + blanks + "\n" + words).strip(),), ("fin",)]
+    assert rows(parsing.parse_metric_turns(calls(a=text)), "speech") == [(words,), ("fin" + blanks,)]
+    spoken = rows(parsing.parse_clean_turns(parsing.clean_call(calls(a=text))), "texto")
+    assert spoken == [(("palabra " * 600_000).strip(),), ("fin",)]
+
+
 def test_parsing_needs_no_exchange(calls):
     for df in (
         parsing.parse_turns(calls(a=CALL), 10),

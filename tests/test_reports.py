@@ -3,7 +3,7 @@ import json
 import pytest
 
 from tertulia.config import ReportOptions, RuleSet
-from tertulia.operators import parsing, reports, rules, turns
+from tertulia.operators import parsing, reports, rules
 from tertulia.plans import objections
 from tertulia.sources.transcripts import write_reports
 
@@ -74,18 +74,18 @@ def test_row_and_table_forms_agree(calls):
         c=transcript((2, 0, "hola")),
     )
     inside = objections.analyse_calls(table, RULES).orderBy("file")
-    near = turns.with_context(parsing.parse_turns(table), 100)
-    matched = rules.match_rules(near, RULES, 1)
+    matched = rules.match_rules(parsing.parse_turns(table), RULES, 1)
     common = ["file", "total_turns", "client_turns", "objections_found", "objection_types", "type_order", "avg_intensity"]
     by_table = reports.call_report(matched, RULES.types).orderBy("file")
     assert inside.select(*common).collect() == by_table.select(*common).collect()
 
-    parts = reports.document_parts(matched, turns_per_part=5).orderBy("file", "part").collect()
-    assert len([p for p in parts if p.file == "a"]) == 7
-    for r in inside.collect():
-        mine = [p for p in parts if p.file == r.file]
-        assert [o for p in mine for o in p.objections] == r.objections
-        assert [t for p in mine for t in p.turns] == r.turns
+    for size, count in ((5, 7), (8, 4), (32, 1), (512, 1)):
+        parts = reports.document_parts(matched, turns_per_part=size).orderBy("file", "part").collect()
+        assert len([p for p in parts if p.file == "a"]) == count
+        for r in inside.collect():
+            mine = [p for p in parts if p.file == r.file]
+            assert [o for p in mine for o in p.objections] == r.objections
+            assert [t for p in mine for t in p.turns] == r.turns
 
     listed = objections.list_objections(table, RULES)
     counts = {r.archivo: (r.total_turns, r.client_turns, r.objections_found, r.avg_intensity)

@@ -70,6 +70,15 @@ def test_broadcast_form_moves_no_chunks(data):
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "hashpartitioning" not in plan
 
 
+def test_models_run_once_per_row(spark, make_encoder):
+    phrases = spark.createDataFrame([(0, "luego", "TIME", "later")], "cat_id int, frase string, categoria string, tipo string")
+    catalog = semantic.encode_column(phrases, "frase", make_encoder)
+    chunks = spark.createDataFrame([("a", 0, 0, "hasta luego")], "archivo string, turn_no int, chunk_no int, chunk string")
+    found = semantic.detections(semantic.best_match(semantic.encode_column(chunks, "chunk", make_encoder), catalog), 0.5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and found.count() == 1
+
+
 def test_threshold_is_inclusive_and_unrounded(spark):
     scored = spark.createDataFrame(
         [("a", 0, 0, "x", "f", "c", "t", 0.5), ("a", 1, 0, "y", "f", "c", "t", 0.4999), ("a", 2, 0, "z", "f", "c", "t", 0.50049)],

@@ -59,7 +59,8 @@ def test_hot_call_is_spread_over_tasks(spark):
 
 
 @pytest.mark.parametrize("block", [1, 4, 1000])
-def test_number_turns(spark, block):
+def test_number_turns(spark, block, monkeypatch):
+    monkeypatch.setattr(W, "SUPERBLOCK", 3)
     places = [0, 1, 2, 5, 6, 9, 40, 41, 1000]
     rows = [(call, p) for call in ("a", "b", None) for p in places if call != "b" or p % 2]
     df = spark.createDataFrame(rows, "archivo string, place int")
