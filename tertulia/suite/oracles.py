@@ -227,6 +227,45 @@ reviewed AS (
   FROM documents d LEFT JOIN answers a USING (doc_id))
 """
 
+CLEANED = f"""
+WITH {TURNS},
+blocks AS (
+  SELECT archivo, turn_no, turn_no // {I.PART_TURNS} AS part,
+    speaker || ':  {{ ' || timestamp || ' }}' || {NEWLINE} || array_to_string(
+      list_transform(string_split(text, {NEWLINE}), lambda l: CASE WHEN trim(l) = '' THEN l ELSE {clean('l')} END),
+      {NEWLINE}) AS block
+  FROM turns),
+cleaned AS (
+  SELECT archivo, part::INTEGER AS part,
+    CASE WHEN part = 0 THEN '0 00' || {NEWLINE} || 'before the first speaker' || {NEWLINE} || {NEWLINE} ELSE '' END
+    || string_agg(block, {NEWLINE} || {NEWLINE} ORDER BY turn_no) AS clean
+  FROM blocks GROUP BY archivo, part)
+"""
+
+DETECTIONS = f"""
+{SCORED}
+SELECT 'call_' || label AS archivo_origen, 'chunk ' || vec_id AS frase_original, frase AS patron_mas_cercano,
+       CASE WHEN cat_id % 2 = 0 THEN 'EVEN' ELSE 'ODD' END AS categoria, 't' || cat_id AS tipo,
+       round(similarity, 3) AS similitud, vec_id AS turn_no
+FROM scored WHERE similarity >= {I.THRESHOLD}
+"""
+
+DOCUMENTS = f"""
+WITH {TURNS}, {RULES}, {NEAR}, {hits('near')},
+details AS (
+  SELECT archivo, turn_no // 512 AS part, count(*) AS n,
+    string_agg(concat_ws('|', type, matched_text, timestamp, context_before, context_after), {NEWLINE}
+               ORDER BY turn_no, rule_no) AS objections
+  FROM hits GROUP BY ALL),
+said AS (
+  SELECT archivo, turn_no // 512 AS part,
+    string_agg(concat_ws('|', speaker, timestamp, text), {NEWLINE} ORDER BY turn_no) AS turns
+  FROM turns GROUP BY ALL)
+SELECT s.archivo AS file, s.part::INTEGER AS part, coalesce(d.n, 0)::INTEGER AS objections_found,
+       coalesce(d.objections, '') AS objections, s.turns
+FROM said s LEFT JOIN details d ON s.archivo = d.archivo AND s.part = d.part
+"""
+
 METRICS_QUERY = f"WITH {TURNS}, {metrics()} SELECT * FROM metrics"
 
 ORACLES = {
@@ -243,18 +282,7 @@ WITH {TURNS}
 SELECT archivo, turn_no, speaker, start_sec,
        split_part(ltrim(text, ' ' || chr(9) || chr(10)), {NEWLINE}, 1) AS speech
 FROM turns""",
-    "q04_clean_call": f"""
-WITH {TURNS},
-blocks AS (
-  SELECT archivo, turn_no, turn_no // {I.PART_TURNS} AS part,
-    speaker || ':  {{ ' || timestamp || ' }}' || {NEWLINE} || array_to_string(
-      list_transform(string_split(text, {NEWLINE}), lambda l: CASE WHEN trim(l) = '' THEN l ELSE {clean('l')} END),
-      {NEWLINE}) AS block
-  FROM turns)
-SELECT archivo, part::INTEGER AS part,
-  CASE WHEN part = 0 THEN '0 00' || {NEWLINE} || 'before the first speaker' || {NEWLINE} || {NEWLINE} ELSE '' END
-  || string_agg(block, {NEWLINE} || {NEWLINE} ORDER BY turn_no) AS clean
-FROM blocks GROUP BY archivo, part""",
+    "q04_clean_call": f"{CLEANED} SELECT * FROM cleaned",
     "q05_clean_text": f"SELECT doc_id, {clean('text')} AS clean FROM documents",
     "q06_fold_vowels": f"""
 SELECT doc_id, translate(lower(text), '{ACCENTED_VOWELS}', '{PLAIN_VOWELS}') AS folded FROM documents""",
@@ -280,12 +308,7 @@ WITH {TURNS}, cut AS (SELECT archivo, turn_no, {chunked('text')} AS chunks FROM
 SELECT archivo, turn_no, unnest(range(len(chunks)))::INTEGER AS chunk_no, unnest(chunks) AS chunk FROM cut""",
     "q12_semantic_top1": f"""
 {SCORED} SELECT vec_id, cat_id, frase, round(similarity, 6) AS similarity FROM scored""",
-    "q13_detections": f"""
-{SCORED}
-SELECT 'call_' || label AS archivo_origen, 'chunk ' || vec_id AS frase_original, frase AS patron_mas_cercano,
-       CASE WHEN cat_id % 2 = 0 THEN 'EVEN' ELSE 'ODD' END AS categoria, 't' || cat_id AS tipo,
-       round(similarity, 3) AS similitud, vec_id AS turn_no
-FROM scored WHERE similarity >= {I.THRESHOLD} ORDER BY archivo_origen, turn_no""",
+    "q13_detections": f"{DETECTIONS} ORDER BY archivo_origen, turn_no",
     "q14_prompts": f"""
 SELECT doc_id, {PROMPT} AS prompt,
        {text_literal(SUMMARY_INSTRUCTION)} || {NEWLINE} || {NEWLINE} || frase_original AS summary_prompt
@@ -337,20 +360,7 @@ FROM scored GROUP BY label""",
     "q22_call_list": f"""
 {FINAL} SELECT 'Todas' AS archivo UNION ALL SELECT DISTINCT archivo FROM final""",
     "q23_phrase_detail": f"{FINAL} SELECT frase_original, categoria FROM final",
-    "q24_report_documents": f"""
-WITH {TURNS}, {RULES}, {NEAR}, {hits('near')},
-details AS (
-  SELECT archivo, turn_no // 512 AS part, count(*) AS n,
-    string_agg(concat_ws('|', type, matched_text, timestamp, context_before, context_after), {NEWLINE}
-               ORDER BY turn_no, rule_no) AS objections
-  FROM hits GROUP BY ALL),
-said AS (
-  SELECT archivo, turn_no // 512 AS part,
-    string_agg(concat_ws('|', speaker, timestamp, text), {NEWLINE} ORDER BY turn_no) AS turns
-  FROM turns GROUP BY ALL)
-SELECT s.archivo AS file, s.part::INTEGER AS part, coalesce(d.n, 0)::INTEGER AS objections_found,
-       coalesce(d.objections, '') AS objections, s.turns
-FROM said s LEFT JOIN details d ON s.archivo = d.archivo AND s.part = d.part""",
+    "q24_report_documents": DOCUMENTS,
     "q25_preview": f"""
 {FINAL}
 SELECT archivo, turn_no, rule_no, duracion_total_seg, categoria
@@ -376,4 +386,8 @@ SELECT archivo, turn_no AS place, text,
        (row_number() OVER (PARTITION BY archivo ORDER BY turn_no) - 1)::INTEGER AS turn_no
 FROM turns WHERE speaker_num = 1""",
     "q31_dashboard_columns": METRICS_QUERY,
+    "q32_clean_sink": f"{CLEANED} SELECT archivo, clean FROM cleaned",
+    "q33_delimited_round_trip": f"{FINAL} SELECT * FROM final",
+    "q34_detection_files": f"SELECT * EXCLUDE (turn_no) FROM ({DETECTIONS})",
+    "q35_report_sink": DOCUMENTS,
 }

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from tertulia.functions import prompts, text
 from tertulia.operators import calls, dashboard, parsing, reports, rules, scoring, semantic, turns
 from tertulia.plans import detection
+from tertulia.sources import tables
+from tertulia.sources.staging import fresh_folder
 from tertulia.sources.tables import normalise_columns, order_columns
+from tertulia.sources.transcripts import write_clean, write_reports
 from tertulia.suite import inputs as I
 
 
@@ -187,7 +190,11 @@ def phrase_detail(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def report_documents(spark: SparkSession, folder: str) -> DataFrame:
-    parts = reports.document_parts(rules.match_rules(I.conversation_turns(spark, folder), I.RULES, 1))
+    matched = rules.match_rules(I.conversation_turns(spark, folder), I.RULES, 1)
+    return _flat_documents(reports.document_parts(matched))
+
+
+def _flat_documents(parts: DataFrame) -> DataFrame:
     details = F.transform(
         "objections",
         lambda o: F.concat_ws("|", o["type"], o["matched_text"], o["timestamp"], o["context_before"], o["context_after"]),
@@ -272,6 +279,33 @@ def dashboard_columns(spark: SparkSession, folder: str) -> DataFrame:
     return normalise_columns(metrics.toDF(*names))
 
 
+def clean_sink(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_folder(spark, "clean")
+    write_clean(parsing.clean_call(I.conversation_transcripts(spark, folder), I.CLEANING), path)
+    return spark.read.schema("archivo string, clean string").parquet(path)
+
+
+def delimited_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    path, final = fresh_folder(spark, "final"), _final(spark, folder)
+    tables.write_final(final, path)
+    columns = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in final.schema)
+    return tables.read_table(spark, path, columns)
+
+
+def detection_files(spark: SparkSession, folder: str) -> DataFrame:
+    path, found = fresh_folder(spark, "detections"), semantic.detections(_scored(spark, folder), I.THRESHOLD)
+    found.write.json(path)
+    return tables.read_detections(spark, path, json_lines=True)
+
+
+def report_sink(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_folder(spark, "reports")
+    matched = rules.match_rules(I.conversation_turns(spark, folder), I.RULES, 1)
+    parts = reports.document_parts(matched)
+    write_reports(parts, path)
+    return _flat_documents(spark.read.schema(parts.schema).json(path))
+
+
 QUERIES = {
     "q01_turn_parse_full": turn_parse_full,
     "q02_turn_parse_clean": turn_parse_clean,
@@ -307,4 +341,8 @@ QUERIES = {
     "q29_summaries": summaries,
     "q30_renumbered_turns": renumbered_turns,
     "q31_dashboard_columns": dashboard_columns,
+    "q32_clean_sink": clean_sink,
+    "q33_delimited_round_trip": delimited_round_trip,
+    "q34_detection_files": detection_files,
+    "q35_report_sink": report_sink,
 }
