@@ -12,10 +12,11 @@ from tertulia.functions.text import strip
 SPEAKERS = {1: "Speaker 1", 2: "Speaker 2"}
 
 
-def call_metrics(turns: DataFrame) -> DataFrame:
+def call_metrics(turns: DataFrame, check_labels: bool = False) -> DataFrame:
     """One row per call from timed, labelled turns ``archivo, speaker, start_sec, duration_sec, label``.
 
-    Time and labels of other speakers count for nobody; calls without turns have no row.
+    Time and labels of other speakers count for nobody; calls without turns have no row. With
+    ``check_labels``, ``parse_error`` marks the calls in which a measured turn has no label.
     """
     said = F.col("speaker")
 
@@ -26,10 +27,12 @@ def call_metrics(turns: DataFrame) -> DataFrame:
         mean = F.avg(F.when(said == name, sentiment_score(F.col("label"))))
         return F.coalesce(F.round(mean, 3), F.lit(0.0))
 
+    missing = F.count_if(said.isin(*SPEAKERS.values()) & F.col("label").isNull()) > 0
     return turns.groupBy("archivo").agg(
         F.max("start_sec").alias("duracion_total_seg"),
         *[talk_time(name).alias(f"tiempo_speaker{n}_seg") for n, name in SPEAKERS.items()],
         *[sentiment(name).alias(f"sentimiento_speaker{n}") for n, name in SPEAKERS.items()],
+        *([F.when(missing, "sentiment failed").alias("parse_error")] if check_labels else []),
     )
 
 

@@ -115,14 +115,15 @@ def call_documents(
     def fold(turn: Column) -> Column:
         return turn.withField("folded", fold_vowels(turn["text"]))
 
+    def numbered_detail(hit: Column, turn: Column) -> Column:
+        detail = _detail(hit, turn)
+        return detail.withField("_rule", hit["rule_no"]).withField("_turn", turn["turn_no"])
+
     said = F.filter("_turns", lambda turn: turn["speaker_num"] == F.col("_client"))
     found = F.flatten(
         F.transform(
             "_said",
-            lambda turn: F.transform(
-                turn["hits"],
-                lambda hit: _detail(hit, turn["turn"]).withField("_rule", hit["rule_no"]).withField("_turn", turn["turn"]["turn_no"]),
-            ),
+            lambda turn: F.transform(turn["hits"], lambda hit: numbered_detail(hit, turn["turn"])),
         )
     )
     searched = (

@@ -24,16 +24,43 @@ def once(function):
     return function.asNondeterministic()
 
 
+def guard(make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], missing: object):
+    """The model, except that a batch it fails on is done text by text and the texts at fault are ``missing``."""
+
+    def make():
+        model = make_model()
+
+        def one(text):
+            try:
+                return model(np.array([text], dtype=object))[0]
+            except Exception:
+                return None
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            try:
+                return model(texts)
+            except Exception:
+                answers = [one(text) for text in texts]
+            shape = next((np.shape(a) for a in answers if a is not None), ())
+            if missing is None:
+                return np.array(answers, dtype=object)
+            blank = np.full(shape or (1,), missing)
+            return np.array([blank if a is None else a for a in answers])
+
+        return predict
+
+    return make
+
+
 def label_sentiment(
     turns: DataFrame,
     make_classifier: Callable[[], Callable[[np.ndarray], np.ndarray]],
     column: str = "speech",
     batch_size: int = 8,
 ) -> DataFrame:
-    """Add ``label`` from a caller's classifier, loaded once per Python worker."""
-    classify = once(
-        predict_batch_udf(make_classifier, return_type=t.StringType(), batch_size=batch_size)
-    )
+    """Add ``label`` from a caller's classifier, loaded once per Python worker; null where it fails."""
+    guarded = guard(make_classifier, None)
+    classify = once(predict_batch_udf(guarded, return_type=t.StringType(), batch_size=batch_size))
     return turns.withColumn("label", classify(F.col(column)))
 
 

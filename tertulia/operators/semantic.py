@@ -14,7 +14,7 @@ from pyspark.sql import types as t
 
 from tertulia.config import ChunkOptions
 from tertulia.functions import text as T
-from tertulia.operators.scoring import once
+from tertulia.operators.scoring import guard, once
 from tertulia.operators.turns import number_rows
 
 SENTENCE_END = r"[\n.!?]+"
@@ -88,33 +88,51 @@ def encode_column(
     make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]],
     batch_size: int = 64,
 ) -> DataFrame:
-    """Add ``embedding`` from a caller's model, loaded once per Python worker and fed in batches."""
+    """Add ``embedding`` from a caller's model, loaded once per Python worker and fed in batches.
+
+    Texts the model fails on have a null embedding.
+    """
     encode = once(
-        predict_batch_udf(make_encoder, return_type=t.ArrayType(t.FloatType()), batch_size=batch_size)
+        predict_batch_udf(
+            guard(make_encoder, np.nan), return_type=t.ArrayType(t.FloatType()), batch_size=batch_size
+        )
+    )
+    head = F.get("embedding", F.lit(0))
+    failed = head.isNull() | F.isnan(head)
+    return df.withColumn("embedding", encode(F.col(column))).withColumn(
+        "embedding", F.when(~failed, F.col("embedding"))
     )
-    return df.withColumn("embedding", encode(F.col(column)))
 
 
-def _unit_rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Vectors as rows of length one; a vector without length stays zero."""
+def _rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = flat.reshape(len(vectors), -1)
-    lengths = np.linalg.norm(rows, axis=1, keepdims=True)
-    lengths[lengths == 0] = 1.0
-    return rows / lengths
+    return flat.reshape(len(vectors), -1)
+
+
+def _squares(rows: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", rows, rows)
+
+
+def _cosines(rows: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Cosine of each row to each row of ``base``; 0 where one has no length.
+
+    The products are divided last and by one root, so that vectors of whole numbers lose nothing before.
+    """
+    lengths = np.sqrt(np.outer(_squares(rows), _squares(base)))
+    return np.divide(rows @ base.T, lengths, out=np.zeros_like(lengths), where=lengths > 0)
 
 
 def _best(rows: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Highest similarity of each row to the rows of ``base`` and the first of those that reaches it."""
+    """Highest cosine of each row to the rows of ``base`` and the first of those that reaches it."""
     slices = max(1, len(rows) * len(base) // SIMILARITY_CELLS)
     tops, firsts = [], []
     for part in np.array_split(rows, slices):
-        similarity = part @ base.T
-        top = similarity.max(axis=1)
+        cosines = _cosines(part, base)
+        top = cosines.max(axis=1)
         tops.append(top)
-        firsts.append((similarity >= top[:, None] - TIE).argmax(axis=1))
+        firsts.append((cosines >= top[:, None] - TIE).argmax(axis=1))
     return np.concatenate(tops), np.concatenate(firsts)
 
 
@@ -151,12 +169,12 @@ def _match_broadcast(chunks: DataFrame, catalog: pa.Table) -> DataFrame:
             "*", F.lit(None).cast("int").alias("cat_id"), F.lit(None).cast("double").alias("similarity")
         )
     ids = catalog["cat_id"].to_numpy().astype(np.int32)
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, _unit_rows(catalog["embedding"])))
+    shared = chunks.sparkSession.sparkContext.broadcast((ids, _rows(catalog["embedding"])))
 
     @F.arrow_udf("struct<cat_id:int,similarity:double>")
     def nearest(vectors: pa.Array) -> pa.Array:
         ids, base = shared.value
-        top, first = _best(_unit_rows(vectors), base)
+        top, first = _best(_rows(vectors), base)
         return pa.StructArray.from_arrays(
             [pa.array(ids[first], pa.int32()), pa.array(top)], names=["cat_id", "similarity"]
         )
@@ -194,7 +212,7 @@ def _match_blocks(
             top, cat = np.empty(0), np.empty(0, np.int32)
         else:
             block = block.sort_by("cat_id")
-            top, first = _best(_unit_rows(some["embedding"]), _unit_rows(block["embedding"]))
+            top, first = _best(_rows(some["embedding"]), _rows(block["embedding"]))
             cat = block["cat_id"].to_numpy().astype(np.int32)[first]
         return out.append_column("cat_id", pa.array(cat, pa.int32())).append_column(
             "similarity", pa.array(top, pa.float64())

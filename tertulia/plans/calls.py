@@ -15,9 +15,13 @@ Classifier = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
 
 def measure_calls(calls: DataFrame, make_classifier: Classifier, batch_size: int = 8) -> DataFrame:
-    """Metrics per call. Durations come from the parse; only sums per call are exchanged."""
+    """Metrics per call. Durations come from the parse; only sums per call are exchanged.
+
+    Calls the classifier fails on have ``parse_error`` set; ``with_rejects`` takes them out.
+    """
     timed = parse_metric_turns(calls.select("archivo", "raw"))
-    return call_metrics(label_sentiment(timed, make_classifier, "speech", batch_size))
+    labelled = label_sentiment(timed, make_classifier, "speech", batch_size)
+    return call_metrics(labelled, check_labels=True)
 
 
 def final_table(metrics: DataFrame, validated: DataFrame, summaries: DataFrame) -> DataFrame:

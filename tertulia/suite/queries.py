@@ -10,7 +10,6 @@ from tertulia.operators import calls, dashboard, parsing, reports, rules, scorin
 from tertulia.plans import detection
 from tertulia.sources import tables
 from tertulia.sources.staging import fresh_folder
-from tertulia.sources.tables import normalise_columns, order_columns
 from tertulia.sources.transcripts import write_clean, write_reports
 from tertulia.suite import inputs as I
 
@@ -101,7 +100,7 @@ def validated(spark: SparkSession, folder: str) -> DataFrame:
     reviewed = scoring.apply_answers(
         I.document_detections(spark, folder), I.stored_answers(spark, folder), I.KEYWORDS, ["doc_id"]
     )
-    return order_columns(
+    return tables.order_columns(
         scoring.keep_validated(reviewed), ["archivo_origen", "categoria", "no_such_column", "respuesta_llm"]
     )
 
@@ -275,8 +274,9 @@ def summaries(spark: SparkSession, folder: str) -> DataFrame:
 def dashboard_columns(spark: SparkSession, folder: str) -> DataFrame:
     """The metrics under names as a hand-made export has them, brought back to plain ones."""
     metrics = _metrics(I.conversation_turns(spark, folder))
-    names = [" Archivó ", "Duración_Total_Seg", "TIEMPO_speaker1_seg", "tiempo_speaker2_seg ", "Sentimiento_Speaker1", "sentimiento_speaker2"]
-    return normalise_columns(metrics.toDF(*names))
+    names = [f" {name.replace('_t', '_T')} " for name in metrics.columns]
+    names[:2] = [" Archivó ", "Duración_Total_Seg"]
+    return tables.normalise_columns(metrics.toDF(*names))
 
 
 def clean_sink(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,7 +8,12 @@ from tertulia.plans import objections
 from tertulia.sources.transcripts import write_reports
 
 RULES = RuleSet(
-    {"TIME": {"later": ["luego"]}, "NEED": {"enough": ["ya tengo", "no necesito"]}, "TRUST": {"risk": ["riesgo"]}, "INFO": {"detail": ["cuanto"]}},
+    {
+        "TIME": {"later": ["luego"]},
+        "NEED": {"enough": ["ya tengo", "no necesito"]},
+        "TRUST": {"risk": ["riesgo"]},
+        "INFO": {"detail": ["cuanto"]},
+    },
     {"later": 2, "enough": 3, "risk": 3},
 )
 
@@ -17,9 +22,8 @@ def transcript(*lines):
     return "\n\n".join(f"Speaker {who}:  {{ 0:{second:02d} }}\n{text}" for who, second, text in lines)
 
 
-FOUR = transcript(
-    *[(2 if i % 2 == 0 else 1, i, {5: "Luego", 11: "Ya tengo", 17: "un riesgo", 25: "¿Cuánto?"}.get(i, f"t{i}")) for i in range(32)]
-)
+SAID = {5: "Luego", 11: "Ya tengo", 17: "un riesgo", 25: "¿Cuánto?"}
+FOUR = transcript(*[(1 + (i + 1) % 2, i, SAID.get(i, f"t{i}")) for i in range(32)])
 
 
 def stats(spark, calls_table):

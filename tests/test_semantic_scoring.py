@@ -1,11 +1,11 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tertulia.config import ChunkOptions, CleanOptions, RuleSet
 from tertulia.operators import scoring, semantic
 from tertulia.plans import calls as call_plans
 from tertulia.plans import detection
+from tertulia.sources.transcripts import with_rejects
 
 CATALOG = "cat_id int, frase string, categoria string, tipo string, embedding array<float>"
 CHUNKS = "archivo string, turn_no int, chunk_no int, chunk string, embedding array<float>"
@@ -54,7 +54,13 @@ def test_similarity_matrix_is_bounded(monkeypatch, data):
     rows = np.random.default_rng(1).normal(size=(23, 4))
     base = np.random.default_rng(2).normal(size=(11, 4))
     top, first = semantic._best(rows, base)
-    assert (first == (rows @ base.T).argmax(axis=1)).all() and np.allclose(top, (rows @ base.T).max(axis=1))
+    expected = brute_force(rows, base)
+    assert (first == expected.argmax(axis=1)).all() and np.allclose(top, expected.max(axis=1))
+
+
+def test_whole_numbers_reach_the_threshold_exactly():
+    top, _ = semantic._best(np.array([[2.0, 1.0, 0.0]]), np.array([[2.0, 0.0, 1.0]]))
+    assert top[0] == 0.8
 
 
 def test_empty_catalog(data):
@@ -71,10 +77,13 @@ def test_broadcast_form_moves_no_chunks(data):
 
 
 def test_models_run_once_per_row(spark, make_encoder):
-    phrases = spark.createDataFrame([(0, "luego", "TIME", "later")], "cat_id int, frase string, categoria string, tipo string")
+    columns = "cat_id int, frase string, categoria string, tipo string"
+    phrases = spark.createDataFrame([(0, "luego", "TIME", "later")], columns)
     catalog = semantic.encode_column(phrases, "frase", make_encoder)
-    chunks = spark.createDataFrame([("a", 0, 0, "hasta luego")], "archivo string, turn_no int, chunk_no int, chunk string")
-    found = semantic.detections(semantic.best_match(semantic.encode_column(chunks, "chunk", make_encoder), catalog), 0.5)
+    columns = "archivo string, turn_no int, chunk_no int, chunk string"
+    chunks = spark.createDataFrame([("a", 0, 0, "hasta luego")], columns)
+    encoded = semantic.encode_column(chunks, "chunk", make_encoder)
+    found = semantic.detections(semantic.best_match(encoded, catalog), 0.5)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 2 and found.count() == 1
 
@@ -187,13 +196,42 @@ def test_review_counts_failures(spark):
 
 
 def test_metrics_of_calls(calls, make_classifier):
-    got = {r.archivo: tuple(r)[1:] for r in call_plans.measure_calls(calls(**CALLS), make_classifier).collect()}
+    measured = call_plans.measure_calls(calls(**CALLS), make_classifier).drop("parse_error")
+    got = {r.archivo: tuple(r)[1:] for r in measured.collect()}
     assert got == {"a": (70, 5, 65, -0.5, 1.0), "b": (30, 30, 0, 1.0, 0.0)}
 
 
 def test_speaker_without_turns_scores_zero(calls, make_classifier):
     got = call_plans.measure_calls(calls(z=talk((3, "2:00", "mal"))), make_classifier).first()
-    assert tuple(got) == ("z", 120, 0, 0, 0.0, 0.0)
+    assert tuple(got) == ("z", 120, 0, 0, 0.0, 0.0, None)
+
+
+def test_failing_models_cost_single_rows(spark, calls):
+    def make_classifier():
+        def classify(texts):
+            if any("mal" in text for text in texts):
+                raise ValueError("cannot")
+            return np.array(["POS"] * len(texts))
+
+        return classify
+
+    good, bad = with_rejects(call_plans.measure_calls(calls(**CALLS), make_classifier))
+    assert [(r.archivo, r.sentimiento_speaker1) for r in good.collect()] == [("b", 1.0)]
+    assert [(r.archivo, r.parse_error) for r in bad.collect()] == [("a", "sentiment failed")]
+
+    def make_encoder():
+        def encode(texts):
+            if any(text == "bad" for text in texts):
+                raise ValueError("cannot")
+            return np.array([[1.0, 2.0]] * len(texts), dtype=np.float32)
+
+        return encode
+
+    texts = spark.createDataFrame([("bad",), ("fine",), ("bad",), ("good",)], "chunk string").coalesce(1)
+    got = {r.chunk: r.embedding for r in semantic.encode_column(texts, "chunk", make_encoder, 2).collect()}
+    assert got == {"bad": None, "fine": [1.0, 2.0], "good": [1.0, 2.0]}
+    alone = texts.where("chunk = 'bad'")
+    assert [r.embedding for r in semantic.encode_column(alone, "chunk", make_encoder).collect()] == [None, None]
 
 
 def test_summaries(calls):
