@@ -14,8 +14,10 @@ from tertulia.config import CleanOptions
 from tertulia.functions import text as T
 
 # The header formats of a transcript.
-FULL_HEADER = r"Speaker\s+\d+:\s*\{\s*\d+:\d+\s*\}"
-FULL_HEADER_PARTS = r"(?sU)\A(Speaker\s+(\d+)):\s*\{\s*(\d+:\d+)\s*\}(.*)\z"
+FULL_HEADER = rf"Speaker{T.BLANK}+\d+:{T.BLANK}*\{{{T.BLANK}*\d+:\d+{T.BLANK}*\}}"
+FULL_HEADER_PARTS = (
+    rf"(?sU)\A(Speaker{T.BLANK}+(\d+)):{T.BLANK}*\{{{T.BLANK}*(\d+:\d+){T.BLANK}*\}}(.*)\z"
+)
 FULL_TURN = rf"(?sU){FULL_HEADER}.*?(?={FULL_HEADER}|\z)"
 
 METRIC_TURN = (

@@ -19,7 +19,10 @@ from tertulia.sources.transcripts import MAX_FILE_BYTES, checked_text, file_key
 
 
 def stream_transcripts(spark: SparkSession, path: str, files_per_batch: int = 100_000) -> DataFrame:
-    """``archivo, raw, parse_error`` of new ``*.txt`` files."""
+    """``archivo, raw, parse_error`` of new ``*.txt`` files.
+
+    Files too large for one value are left out here; ``read_transcripts`` on the folder reports them.
+    """
     files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(
         path, wholetext=True, pathGlobFilter="*.txt"
     )
