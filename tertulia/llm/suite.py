@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tertulia.llm import bpe, decontaminate, secrets, token_counts
+from tertulia.llm import bpe, chat, decontaminate, secrets, shards, token_counts
 from tertulia.llm.common import sha256, spans_text, table, text_or_empty
 
 #: Texts with more tokens are over the limit.
@@ -68,11 +68,69 @@ def bpe_digest() -> list:
     ]
 
 
+def balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.shard(table(spark, folder, "documents"), 24).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    added = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    log = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    done = chat.render(chat.final_messages(chat.message_events(log)))
+    read = done.select(
+        "conv_id",
+        "formatted",
+        chat.read_back(F.col("formatted")).alias("turns"),
+        F.array_join(chat.masked_texts(F.col("formatted"), F.col("loss")), "").alias("learnt"),
+    )
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        sha256(F.array_join(lines, "")).alias("turns_sha256"),
+        F.char_length("learnt").cast("long").alias("loss_chars"),
+        sha256(F.col("learnt")).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+CHAT_SQL = r"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('### : </turn>') + 1
+           + 2 * length(role) - length(replace(replace(replace(replace(role, '\', ''), '<', ''), '#', ''), ':', ''))
+           + 2 * length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '#', '')))::BIGINT
+           AS formatted_chars
+FROM said GROUP BY conv_id
+"""
+
+
 QUERIES = {
     "op1_token_counts": token_count,
+    "op2_kd_shards": balanced_shards,
+    "op3_chat_formatting": chat_formatting,
     "op5_secret_scans": find_secrets,
     "op6_benchmark_decontamination": find_benchmark,
     "op7_byte_bpe": encode_decode,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT_SQL}

@@ -42,6 +42,7 @@ class PrefixCounter:
         self.longest = max(map(len, self.pieces))
         self.words = regex.compile(PATTERN)
         self.fit = Memo(lambda pair: fold_merges(pair[0] + pair[1], self.pair_ranks) == [*pair], 400_000)
+        self.stems = Memo(self._states)
         self.word, self.spaced = Memo(self._word), Memo(lambda chunk: self._words(f" {chunk}"))
         self.split_special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         from tokenizers import pre_tokenizers
@@ -50,17 +51,23 @@ class PrefixCounter:
 
     def word_counts(self, word: bytes) -> list[int]:
         """Token count of every byte prefix of one word, the empty one included."""
-        counts, last = [0] * (len(word) + 1), [b""] * (len(word) + 1)
+        return self._states(word)[0]
+
+    def _states(self, word: bytes) -> tuple[list[int], list[bytes]]:
+        """Token count and last piece of every byte prefix; beginnings that words share are looked up."""
+        known = min((len(word) - 1) // 4 * 4, 12)
+        counts, last = map(list, self.stems[word[:known]]) if known > 0 else ([0], [b""])
         pieces, fit = self.pieces, self.fit
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
+        for end in range(len(counts), len(word) + 1):
+            for start in range(end - 1, max(0, end - self.longest) - 1, -1):  # exactly one piece fits; most are short
                 piece = word[start:end]
                 if piece in pieces and (start == 0 or fit[last[start], piece]):
-                    counts[end], last[end] = counts[start] + 1, piece
+                    counts.append(counts[start] + 1)
+                    last.append(piece)
                     break
             else:
                 raise ValueError(f"the vocabulary cannot encode {word[:end]!r}")
-        return counts
+        return counts, last
 
     def _word(self, word: str) -> bytes:
         """Counts at the ends of the code points of a word, as packed 32-bit numbers."""

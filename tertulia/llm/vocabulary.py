@@ -19,7 +19,7 @@ UNRANKED = 1 << 40
 class Memo(dict):
     """Results of ``make`` by key, at most ``most`` of them; keys longer than ``longest`` are not kept."""
 
-    def __init__(self, make: Callable, most: int = 300_000, longest: int = 64):
+    def __init__(self, make: Callable, most: int = 120_000, longest: int = 48):
         super().__init__()
         self.make, self.most, self.longest = make, most, longest
 
