@@ -31,3 +31,8 @@ def spans_text(spans: Column) -> Column:
         ),
         ",",
     )
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body or its lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tertulia.llm import bpe, chat, decontaminate, secrets, shards, token_counts
+from tertulia.llm import bpe, chat, decontaminate, quality, rules, secrets, shards, token_counts
 from tertulia.llm.common import sha256, spans_text, table, text_or_empty
 
 #: Texts with more tokens are over the limit.
@@ -124,13 +124,32 @@ FROM said GROUP BY conv_id
 """
 
 
+def classify_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, folder, "labels"))
+    return quality.with_score(docs, model).select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        quality.predicted(F.col("score"), model).alias("predicted"),
+    )
+
+
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ratios = rules.fit(docs, rules.trusted_ids(table(spark, folder, "labels")))
+    return rules.with_rules(docs, ratios).drop("text")
+
+
 QUERIES = {
     "op1_token_counts": token_count,
     "op2_kd_shards": balanced_shards,
     "op3_chat_formatting": chat_formatting,
+    "op4_quality_classifier": classify_quality,
     "op5_secret_scans": find_secrets,
     "op6_benchmark_decontamination": find_benchmark,
     "op7_byte_bpe": encode_decode,
+    "op8_quality_rules": quality_rules,
 }
 
 ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT_SQL}
