@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tertulia.llm.vocabulary import PATTERN, UNRANKED, PairRanks, fold_merges, read_ranks
 
 #: Code points of the texts whose distinct words are encoded together.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 #: Bytes of the words that are folded as a matrix; longer ones are folded one by one.
 MATRIX_BYTES = 32
 
