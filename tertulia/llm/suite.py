@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tertulia.llm import bpe, chat, decontaminate, quality, rules, secrets, shards, token_counts
+from tertulia.llm import bpe, chat, decontaminate, near_dup, quality, rules, secrets, shards, token_counts
 from tertulia.llm.common import sha256, spans_text, table, text_or_empty
 
 #: Texts with more tokens are over the limit.
@@ -141,6 +141,10 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.with_rules(docs, ratios).drop("text")
 
 
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_token_counts": token_count,
     "op2_kd_shards": balanced_shards,
@@ -150,6 +154,7 @@ QUERIES = {
     "op6_benchmark_decontamination": find_benchmark,
     "op7_byte_bpe": encode_decode,
     "op8_quality_rules": quality_rules,
+    "op9_minhash_near_dedup": near_duplicates,
 }
 
 ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT_SQL}
