@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tertulia.llm import bpe, chat, decontaminate, near_dup, quality, rules, secrets, shards, token_counts
+from tertulia.llm import bpe, chat, decontaminate, near_dup, personal, quality, rules, secrets, shards, token_counts
 from tertulia.llm.common import sha256, spans_text, table, text_or_empty
 
 #: Texts with more tokens are over the limit.
@@ -145,6 +145,22 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def find_personal(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal.personal_spans(table(spark, folder, "documents").select("doc_id", "text"))
+    spans = F.col("spans")
+
+    def count(kind: str):
+        own = F.filter(spans, lambda s: (s["kind"] == kind) & s["base"])
+        return F.size(own).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, personal.BASE_KINDS),
+        sha256(spans_text(F.filter(spans, lambda s: s["base"]))).alias("base_sha256"),
+        spans_text(spans).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_token_counts": token_count,
     "op2_kd_shards": balanced_shards,
@@ -154,6 +170,7 @@ QUERIES = {
     "op6_benchmark_decontamination": find_benchmark,
     "op7_byte_bpe": encode_decode,
     "op8_quality_rules": quality_rules,
+    "op10_personal_data": find_personal,
     "op9_minhash_near_dedup": near_duplicates,
 }
 
