@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from tertulia.functions.patterns import to_java
+
 
 @dataclass(frozen=True)
 class CleanOptions:
@@ -60,9 +61,7 @@ class RuleSet:
 
     def __post_init__(self) -> None:
         for rule in self.rules():
-            if "(?P" in rule.pattern:
-                raise ValueError(f"named groups are not supported: {rule.pattern!r}")
-            re.compile(rule.pattern)
+            to_java(rule.pattern)
 
     def rules(self) -> list[Rule]:
         out: list[Rule] = []

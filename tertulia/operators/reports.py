@@ -11,10 +11,9 @@ from tertulia import schemas
 from tertulia.config import ReportOptions, RuleSet
 from tertulia.functions.text import fold_vowels
 from tertulia.operators.parsing import add_context, full_turns
-from tertulia.operators.rules import hits_sql
-from tertulia.operators.turns import with_edges
+from tertulia.operators.rules import hits
+from tertulia.operators.turns import with_context
 
-DOCUMENT_TURNS = 512
 MAX_RULES = 1 << 20
 
 
@@ -38,7 +37,11 @@ def _type_maps(counts: list[tuple[str, Column, Column]]) -> list[Column]:
 
 
 def _place(turn_no: Column, rule_no: Column) -> Column:
-    """Order of an objection in its call as one number, whose minimum a hash aggregation can keep."""
+    """Order of an objection in its call as one number, whose minimum a hash aggregation can keep.
+
+    A rule number beyond the width is an error, never a wrong order.
+    """
+    rule_no = F.when(rule_no < MAX_RULES, rule_no).otherwise(F.raise_error(F.lit("too many rules")).cast("int"))
     return turn_no.cast("bigint") * F.lit(MAX_RULES) + rule_no
 
 
@@ -126,12 +129,12 @@ def call_documents(
             lambda turn: F.transform(turn["hits"], lambda hit: numbered_detail(hit, turn["turn"])),
         )
     )
-    searched = (
-        f"transform(_said, turn -> named_struct('turn', turn, 'hits', {hits_sql('turn.folded', rules)}))"
+    searched = F.transform(
+        "_said", lambda turn: F.struct(turn.alias("turn"), hits(turn["folded"], rules).alias("hits"))
     )
     work = (
         turns.withColumn("_said", F.transform(said, fold))
-        .withColumn("_said", F.expr(searched))
+        .withColumn("_said", searched)
         .withColumn("_found", found)
         .withColumn("_n", F.size("_found"))
     )
@@ -161,32 +164,25 @@ def call_documents(
 
 
 def document_parts(
-    matched: DataFrame, context_size: int = 100, turns_per_part: int = DOCUMENT_TURNS
+    matched: DataFrame, context_size: int = 100, turns_per_part: int | None = None
 ) -> DataFrame:
     """Nested ``objections`` and ``turns`` of a turn table with hits, by ``file, part``, in one exchange.
 
-    A part holds at most ``turns_per_part`` consecutive turns, so no call, however long, has to fit into
-    one row; an ordinary call is one part. The turns on either side of a part are there for context only.
+    A call is one document, part 0. With ``turns_per_part`` a caller may cut it into parts of so many turn numbers,
+    where a call would not fit into one row. Context comes from the neighbouring turns, across parts too.
     """
-    turn = F.struct(
-        "turn_no", "speaker", "speaker_num", "timestamp", "text",
-        F.coalesce(F.col("hits"), F.array().cast(f"array<{schemas.HIT}>")).alias("hits"),
-    )
-
-    def is_own(turn_no: Column, part: str) -> Column:
-        return F.floor(turn_no / turns_per_part) == F.col(part)
-
-    parts = (
-        with_edges(matched, turns_per_part)
-        .groupBy(F.col("archivo").alias("file"), F.col("_block").cast("int").alias("part"))
-        .agg(
-            F.array_sort(F.collect_list(turn)).alias("_turns"),
-            F.count_if(is_own(F.col("turn_no"), "_block")).alias("_own"),
+    if turns_per_part is None:
+        seen = matched.withColumn("_part", F.lit(0))
+        turns = F.array_sort(F.collect_list(_hit_turn()))
+        parts = seen.groupBy(F.col("archivo").alias("file"), F.col("_part").alias("part")).agg(turns.alias("_turns"))
+        own = parts.withColumn("_turns", add_context(F.col("_turns"), context_size))
+    else:
+        near = with_context(matched, context_size)
+        part = F.floor(F.col("turn_no") / turns_per_part).cast("int").alias("part")
+        turn = F.struct(*_HIT_TURN, _hits().alias("hits"), "context_before", "context_after")
+        own = near.groupBy(F.col("archivo").alias("file"), part).agg(
+            F.array_sort(F.collect_list(turn)).alias("_turns")
         )
-        .where(F.col("_own") > 0)
-        .withColumn("_turns", add_context(F.col("_turns"), context_size))
-    )
-    own = parts.withColumn("_turns", F.filter("_turns", lambda t: is_own(t["turn_no"], "part")))
     found = F.flatten(
         F.transform("_turns", lambda t: F.transform(t["hits"], lambda h: _detail(h, t)))
     )
@@ -195,6 +191,17 @@ def document_parts(
     )
 
 
+_HIT_TURN = ("turn_no", "speaker", "speaker_num", "timestamp", "text")
+
+
+def _hits() -> Column:
+    return F.coalesce(F.col("hits"), F.array().cast(f"array<{schemas.HIT}>"))
+
+
+def _hit_turn() -> Column:
+    return F.struct(*_HIT_TURN, _hits().alias("hits"))
+
+
 def objection_counts(objections: DataFrame) -> DataFrame:
     """Objections and mean intensity per call, from an objections table."""
     return objections.groupBy("archivo").agg(

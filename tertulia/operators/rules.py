@@ -1,24 +1,25 @@
 """Objections by ordered regex rules.
 
-The rule set is a driver-side value. Up to ``COMPILED_LIMIT`` patterns it becomes literal expressions next to
-the scan, with no join; a larger set is matched in Arrow batches. Both return the first matching pattern of
-each (type, category), in rule order.
+The rule set is a driver-side value. Its patterns become literal expressions next to the scan, with no join, and the
+first matching pattern of each (type, category) counts, in rule order. A large set is cut into several columns of
+expressions; how many rules there are never changes what one of them finds.
 """
 
 from __future__ import annotations
 
-import re
+from itertools import batched
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tertulia import schemas
 from tertulia.config import Rule, RuleSet
+from tertulia.functions.patterns import to_java
 from tertulia.functions.text import fold_vowels
 from tertulia.operators.turns import client_turns, with_client, with_context
 
-COMPILED_LIMIT = 300
+#: Categories searched by one column of expressions.
+CATEGORIES_PER_COLUMN = 50
 
 
 def rules_table(spark: SparkSession, rules: RuleSet) -> DataFrame:
@@ -29,70 +30,48 @@ def rules_table(spark: SparkSession, rules: RuleSet) -> DataFrame:
 
 
 def check_rules(spark: SparkSession, rules: RuleSet) -> None:
-    """Raise when a pattern is not one the JVM engine accepts."""
-    tests = [F.lit("").rlike("(?U)" + rule.pattern) for rule in rules.rules()]
+    """Raise when the engine does not accept a pattern. Runs a job of one row."""
+    tests = [F.lit("").rlike(to_java(rule.pattern)) for rule in rules.rules()]
     if tests:
         spark.range(1).select(F.array(*tests)).collect()
 
 
-def _literal(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _first_hit(folded: Column, category: list[Rule]) -> Column:
+    """The first rule of a category that matches, or null."""
 
-
-def hits_sql(folded: str, rules: RuleSet) -> str:
-    """SQL array of the rules that match an already folded text, given by its SQL name."""
-
-    def option(rule: Rule) -> str:
-        pattern = _literal("(?U)" + rule.pattern)
-        return (
-            f"CASE WHEN {folded} RLIKE {pattern} THEN named_struct("
-            f"'rule_no', {rule.rule_no}, 'type', {_literal(rule.type)}, "
-            f"'category', {_literal(rule.category)}, 'intensity', {rule.intensity}, "
-            f"'matched_text', regexp_extract({folded}, {pattern}, 0), 'pattern', {_literal(rule.pattern)}) END"
+    def option(rule: Rule) -> Column:
+        pattern = to_java(rule.pattern)
+        found = F.struct(
+            F.lit(rule.rule_no).alias("rule_no"),
+            F.lit(rule.type).alias("type"),
+            F.lit(rule.category).alias("category"),
+            F.lit(rule.intensity).alias("intensity"),
+            F.regexp_extract(folded, pattern, 0).alias("matched_text"),
+            F.lit(rule.pattern).alias("pattern"),
         )
+        return F.when(folded.rlike(pattern), found)
 
-    found = [f"coalesce({', '.join(map(option, category))})" for category in rules.categories()]
-    if not found:
-        return f"CAST(array() AS array<{schemas.HIT}>)"
-    return f"array_compact(array({', '.join(found)}))"
+    return F.coalesce(*map(option, category))
 
 
-def batch_hits(rules: RuleSet):
-    """The same as ``hits_sql`` for a large rule set, as an Arrow-batched function of the folded text."""
-    groups = [
-        [
-            (re.compile(r.pattern), (r.rule_no, r.type, r.category, r.intensity), r.pattern)
-            for r in category
-        ]
-        for category in rules.categories()
+def hit_parts(folded: Column, rules: RuleSet, size: int = CATEGORIES_PER_COLUMN) -> list[Column]:
+    """Arrays that, one after the other, hold the rules that match an already folded text."""
+    return [
+        F.array_compact(F.array(*(_first_hit(folded, category) for category in part)))
+        for part in batched(rules.categories(), size)
     ]
-    names = ("rule_no", "type", "category", "intensity", "matched_text", "pattern")
-
-    def first(group: list, text: str) -> dict | None:
-        for compiled, fixed, pattern in group:
-            match = compiled.search(text)
-            if match:
-                return dict(zip(names, (*fixed, match.group(0), pattern), strict=True))
-        return None
-
-    @F.pandas_udf(f"array<{schemas.HIT}>")
-    def matched(texts: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                [] if text is None else [hit for group in groups if (hit := first(group, text))]
-                for text in texts
-            ],
-            dtype=object,
-        )
 
-    return matched
+
+def hits(folded: Column, rules: RuleSet) -> Column:
+    """The same as one expression, for use inside a lambda."""
+    return F.concat(F.array().cast(f"array<{schemas.HIT}>"), *hit_parts(folded, rules))
 
 
 def match_rules(
     turns: DataFrame,
     rules: RuleSet,
     speaker: int | Column | None = None,
-    compiled_limit: int = COMPILED_LIMIT,
+    categories_per_column: int = CATEGORIES_PER_COLUMN,
 ) -> DataFrame:
     """Every turn with its array ``hits``, empty when nothing matches.
 
@@ -101,16 +80,14 @@ def match_rules(
     text = fold_vowels(F.col("text"))
     searched = F.lit(True) if speaker is None else F.col("speaker_num") == speaker
     folded = turns.withColumn("_folded", F.when(searched, text))
-    if len(rules.rules()) <= compiled_limit:
-        value = F.expr(hits_sql("_folded", rules))
-    else:
-        value = batch_hits(rules)(F.col("_folded"))
-    return folded.withColumn("hits", F.when(F.col("_folded").isNotNull(), value)).drop("_folded")
+    parts = hit_parts(F.col("_folded"), rules, categories_per_column)
+    names = [f"_hits_{i}" for i in range(len(parts))]
+    found = folded.withColumns(dict(zip(names, parts, strict=True)))
+    value = F.concat(F.array().cast(f"array<{schemas.HIT}>"), *map(F.col, names))
+    return found.withColumn("hits", F.when(F.col("_folded").isNotNull(), value)).drop("_folded", *names)
 
 
-def rule_objections(
-    turns: DataFrame, rules: RuleSet, compiled_limit: int = COMPILED_LIMIT
-) -> DataFrame:
+def rule_objections(turns: DataFrame, rules: RuleSet) -> DataFrame:
     """One row per objection of the given turns, with the nine objection columns and the keys."""
     keep = [name for name in ("archivo", "turn_no") if name in turns.columns]
     columns = set(turns.columns)
@@ -119,7 +96,7 @@ def rule_objections(
         return F.col(name) if name in columns else F.lit("")
 
     return (
-        match_rules(turns, rules, compiled_limit=compiled_limit)
+        match_rules(turns, rules)
         .select(
             *keep,
             F.inline_outer("hits"),
@@ -134,8 +111,9 @@ def rule_objections(
 
 
 def with_intensity(objections: DataFrame, intensity: DataFrame, default: int = 1) -> DataFrame:
-    """Intensity per category from a table ``intensity(category, intensity)``, one row per category."""
+    """Intensity per category from a table ``intensity(category, intensity)``; the highest of several."""
     plain = objections.drop("intensity")
+    intensity = intensity.groupBy("category").agg(F.max("intensity").alias("intensity"))
     return plain.join(intensity, "category", "left").withColumn(
         "intensity", F.coalesce(F.col("intensity"), F.lit(default))
     )

@@ -1,17 +1,19 @@
 """Jobs on tables that hold one row per turn.
 
-``turn_no`` is the position of a turn in its call: 0, 1, 2 and so on without gaps (``number_turns`` makes
-it so). That lets the neighbour windows run on blocks of consecutive turns with one turn of overlap on each
-side, so a call that holds a large share of all rows is spread over as many tasks as it has blocks.
+``turn_no`` orders the turns of a call; numbers may have gaps. Neighbour windows run on blocks of numbers, so a call
+that holds a large share of all rows is spread over as many tasks as it has blocks; a block's first and last turn get
+their neighbours from the blocks beside it that have turns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tertulia.sources.staging import settle
+
 BLOCK_TURNS = 1024
 SUPERBLOCK = 1024
 
@@ -59,58 +61,78 @@ def number_rows(
     )
 
 
+def number_sorted(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Dense positions from 0 over the whole table by any sortable column, rows with equal values in any order.
+
+    Rows are dealt by range, numbered inside each range, and shifted by the rows of the ranges before, of which there
+    are as many as partitions. ``df`` should be settled: it is read for the ranges, the counts and the numbers.
+    """
+    ranged = settle(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    shift = counts.select("_range", _sum_before("_rows", [], "_range").alias("_shift"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    numbered = ranged.withColumn("_inside", inside).join(F.broadcast(shift), "_range")
+    return numbered.select(*df.columns, (F.col("_inside") + F.col("_shift")).cast("int").alias(name))
+
+
 def number_turns(turns: DataFrame, order: str, block: int = 65536) -> DataFrame:
     return number_rows(turns, order, ["archivo"], "turn_no", block)
 
 
-def with_edges(turns: DataFrame, block: int) -> DataFrame:
-    """Turns with their ``_block``; the first and last turn of a block are also in the block beside it."""
-    if block < 2:
-        raise ValueError("a block needs at least two turns")
-    position = F.col("turn_no")
-    own = _block(position, block)
-    copies = (
-        F.when((position % block == 0) & (position > 0), F.array(own, own - 1))
-        .when(position % block == block - 1, F.array(own, own + 1))
-        .otherwise(F.array(own))
+def _block_edges(turns: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Per call and block, the ``values`` of the last turn of the block before and of the first of the one after."""
+    value = F.struct("turn_no", *(v.alias(n) for n, v in values.items()))
+    ends = turns.groupBy("archivo", "_block").agg(F.min(value).alias("_first"), F.max(value).alias("_last"))
+    rows = Window.partitionBy("archivo").orderBy("_block")  # one row per block
+    return ends.select(
+        F.struct("archivo", "_block").alias("_place"),
+        F.lag("_last").over(rows).alias("_before"),
+        F.lead("_first").over(rows).alias("_after"),
     )
-    return turns.withColumn("_block", F.explode(copies))
-
-
-def _with_neighbours(turns: DataFrame, columns: dict[str, Column], block: int) -> DataFrame:
-    """Add window columns that look one turn back or ahead, computed block by block."""
-    seen = with_edges(turns, block).select("*", *[value.alias(name) for name, value in columns.items()])
-    return seen.where(F.col("_block") == _block(F.col("turn_no"), block)).drop("_block")
 
 
-def _by_turn() -> Window:
-    return Window.partitionBy("archivo", "_block").orderBy("turn_no")
+def _with_neighbours(
+    turns: DataFrame, values: dict[str, Column], columns: Callable[[Column, Column], dict[str, Column]], block: int
+) -> DataFrame:
+    """Add ``columns(before, after)``: structs of the ``values`` of the turn before and the turn after, or null."""
+    if block < 1:
+        raise ValueError("a block needs at least one turn")
+    placed = turns.withColumn("_block", _block(F.col("turn_no"), block))
+    edges = _block_edges(placed, values)
+    value = F.struct("turn_no", *(v.alias(n) for n, v in values.items()))
+    order = Window.partitionBy("_place").orderBy("turn_no")
+    keyed = placed.withColumn("_place", F.struct("archivo", "_block"))
+    seen = keyed.withColumns({"_lag": F.lag(value).over(order), "_lead": F.lead(value).over(order)})
+    near = columns(F.coalesce("_lag", "_before"), F.coalesce("_lead", "_after"))
+    return seen.join(edges, "_place").select(*turns.columns, *(v.alias(n) for n, v in near.items()))
 
 
 def with_context(turns: DataFrame, size: int = 100, block: int = BLOCK_TURNS) -> DataFrame:
     """Leading characters of the turn before and after, of any speaker; empty at the ends of the call."""
-    lead = F.left(F.col("text"), F.lit(size))
-    return _with_neighbours(
-        turns,
-        {
-            "context_before": F.coalesce(F.lag(lead).over(_by_turn()), F.lit("")),
-            "context_after": F.coalesce(F.lead(lead).over(_by_turn()), F.lit("")),
-        },
-        block,
-    )
+
+    def columns(before: Column, after: Column) -> dict[str, Column]:
+        return {
+            "context_before": F.coalesce(before["_text"], F.lit("")),
+            "context_after": F.coalesce(after["_text"], F.lit("")),
+        }
+
+    return _with_neighbours(turns, {"_text": F.left(F.col("text"), F.lit(size))}, columns, block)
 
 
 def with_duration(turns: DataFrame, block: int = BLOCK_TURNS) -> DataFrame:
     """``duration_sec``: time to the next turn in document order, never negative, 0 for the last turn."""
-    gap = F.lead("start_sec").over(_by_turn()) - F.col("start_sec")
-    return _with_neighbours(
-        turns, {"duration_sec": F.greatest(F.lit(0), F.coalesce(gap, F.lit(0)))}, block
-    )
+
+    def columns(before: Column, after: Column) -> dict[str, Column]:
+        gap = after["_start"] - F.col("start_sec")
+        return {"duration_sec": F.greatest(F.lit(0), F.coalesce(gap, F.lit(0)))}
+
+    return _with_neighbours(turns, {"_start": F.col("start_sec")}, columns, block)
 
 
 def with_client(turns: DataFrame, clients: DataFrame, default: int = 1) -> DataFrame:
-    """Client speaker number per call from ``clients(archivo, client)``, one row per call; else the default."""
-    return turns.join(clients.select("archivo", "client"), "archivo", "left").withColumn(
+    """Client speaker number per call from ``clients(archivo, client)``, the least of several; else the default."""
+    known = clients.groupBy("archivo").agg(F.min("client").alias("client"))
+    return turns.join(known, "archivo", "left").withColumn(
         "client", F.coalesce(F.col("client"), F.lit(default))
     )
 

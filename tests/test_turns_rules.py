@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,15 +94,32 @@ def test_accented_rule_never_matches(turns):
     assert R.rule_objections(turns(("a", 0, 1, 0, "subió subio")), only).count() == 0
 
 
-def test_large_rule_sets_use_batches(turns):
-    items = [("a", i, 1, i, text) for i, text in enumerate(["cuando pueda", "ya uso despues", "", "ñ no necesito"])]
-    table = turns(*items)
-    order = ("turn_no", "rule_no")
-    compiled = R.rule_objections(table, RULES).orderBy(*order)
-    batched = R.rule_objections(table, RULES, compiled_limit=0).orderBy(*order)
-    assert "ArrowEvalPython" in batched._jdf.queryExecution().executedPlan().toString()
-    assert compiled.collect() == batched.collect()
-    assert compiled.count() == 4
+@pytest.mark.parametrize("size", [1, 50])
+def test_the_number_of_rules_changes_nothing(turns, size):
+    hard = [r"fin$", r"uno.dos", r"[b&&c]", r"\bñu\b", r"a\Z", r"x{,2}y", r"[[:]", r"\s\S", r"{a}"]
+    rules = RuleSet({"T": {f"c{i}": [p] for i, p in enumerate(hard)}})
+    texts = ["fin\r", "fin\n", "uno\u2028dos", "uno\ndos", "b", "&", "el ñu va", "ñus", "a", "a\n", "xxxy", "[", "\x1cq", "{a}"]
+    table = turns(*[("a", i, 1, i, text) for i, text in enumerate(texts)])
+    got = R.match_rules(table, rules, categories_per_column=size).orderBy("turn_no").collect()
+    for r, text in zip(got, texts, strict=True):
+        assert {h.pattern for h in r.hits} == {p for p in hard if re.search(p, text)}, text
+    assert "ArrowEvalPython" not in R.match_rules(table, rules)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("pattern", [r"(?P<n>a)", r"(?a)\w", r"(?x) a", r"[\W]", r"(a)(?(1)b|c)", r"\012", "(?#no)a"])
+def test_patterns_without_a_counterpart_are_refused(pattern):
+    with pytest.raises(ValueError):
+        RuleSet({"T": {"c": [pattern]}})
+
+
+def test_neighbours_do_not_depend_on_gaps_or_blocks(turns):
+    numbers = [1, 3, 1022, 1025, 5000, 5001]
+    table = turns(*[("a", n, 1, n, f"t{n}") for n in numbers])
+    for block in (1, 2, 7, 1024):
+        got = W.with_duration(W.with_context(table, 10, block), block).orderBy("turn_no").collect()
+        assert [r.context_before for r in got] == ["", *(f"t{n}" for n in numbers[:-1])]
+        assert [r.context_after for r in got] == [*(f"t{n}" for n in numbers[1:]), ""]
+        assert [r.duration_sec for r in got] == [2, 1019, 3, 3975, 1, 0]
 
 
 def test_quotes_and_backslashes_in_rules(turns):
