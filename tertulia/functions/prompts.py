@@ -7,12 +7,6 @@ from string import Formatter
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the instruction that precedes a transcript to be summarised.
-SUMMARY_INSTRUCTION = (
-    "Resume la siguiente conversación telefónica en español en un máximo de dos líneas, "
-    "destacando lo más importante:"
-)
-
 
 def fill_template(template: str, **values: Column) -> Column:
     """Template text with ``{name}`` places filled per row. Braces in the data are plain text."""
@@ -41,5 +35,6 @@ def objection_prompt(template: str, columns: list[str]) -> Column:
     )
 
 
-def summary_prompt(text: Column) -> Column:
-    return F.concat(F.lit(SUMMARY_INSTRUCTION + "\n\n"), text)
+def summary_prompt(text: Column, instruction: str) -> Column:
+    """The caller's instruction, a blank line, and the transcript."""
+    return F.concat(F.lit(instruction + "\n\n"), text)

@@ -34,11 +34,12 @@ def _is_mark(char: str) -> bool:
 
 
 @lru_cache(maxsize=1)
-def _accent_table() -> tuple[str, str]:
-    """Characters to map one to one and, after them, the marks to delete, as ``translate`` wants them."""
-    source, target, deleted = [], [], []
+def _accent_tables() -> tuple[str, str, dict[str, str]]:
+    """Characters to map one to one and, after them, the marks to delete, as ``translate`` wants them; and the
+    characters whose decomposition has several base letters, but for Hangul syllables, which follow a rule."""
+    source, target, deleted, several = [], [], [], {}
     for code in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= code <= 0xDFFF:
+        if 0xD800 <= code <= 0xDFFF or 0xAC00 <= code <= 0xD7A3:
             continue
         char = chr(code)
         base = "".join(filterfalse(_is_mark, unicodedata.normalize("NFD", char)))
@@ -47,7 +48,31 @@ def _accent_table() -> tuple[str, str]:
         elif base != char and len(base) == 1:
             source.append(char)
             target.append(base)
-    return "".join(source + deleted), "".join(target)
+        elif base != char:
+            several[char] = base
+    return "".join(source + deleted), "".join(target), several
+
+
+def _code_point(code: Column) -> Column:
+    """The character of a code point below 65,536 and above 2,047: three bytes of UTF-8."""
+    low = (0xE0 + F.shiftright(code, 12), 0x80 + F.shiftright(code, 6) % 64, 0x80 + code % 64)
+    return F.decode(F.unhex(F.concat(*(F.hex(part) for part in low))), "UTF-8")
+
+
+def _decompose_hangul(col: Column) -> Column:
+    """Syllables as their two or three letters, by the arithmetic of the Unicode standard."""
+
+    def letters(char: Column) -> Column:
+        place = F.ascii(char) - 0xAC00  # ``ascii`` is the code point of the first character
+        last = place % 28
+        parts = F.concat(
+            _code_point(0x1100 + F.floor(place / 588).cast("int")),
+            _code_point(0x1161 + F.floor(place % 588 / 28).cast("int")),
+            F.when(last > 0, _code_point(0x11A7 + last)).otherwise(""),
+        )
+        return F.when(place.between(0, 11171), parts).otherwise(char)
+
+    return F.array_join(F.transform(F.split(col, ""), letters), "")
 
 
 def strip(col: Column) -> Column:
@@ -66,8 +91,18 @@ def _translate(col: Column, source: str, target: str) -> Column:
 
 
 def normalise_accents(col: Column) -> Column:
-    """Drop the marks of accented letters."""
-    return _translate(col, *_accent_table())
+    """Drop the marks of accented letters: what remains of the canonical decomposition."""
+    source, target, several = _accent_tables()
+
+    def rare(text: Column) -> Column:
+        out = text
+        for char, base in several.items():
+            out = F.replace(out, F.lit(char), F.lit(base))
+        return F.when(text.rlike(f"[{''.join(several)}\uac00-\ud7a3]"), _decompose_hangul(out)).otherwise(text)
+
+    # a one-element array binds the mapped text, so that it is computed once
+    mapped = F.transform(F.array(F.translate(col, source, target)), rare)
+    return F.when(col.rlike(r"[^\x00-\x7f]"), F.element_at(mapped, 1)).otherwise(col)
 
 
 def fold_vowels(col: Column) -> Column:
@@ -82,12 +117,8 @@ def drop_fillers(col: Column, words: Sequence[str]) -> Column:
     return F.regexp_replace(col, "(?iU)(" + "|".join(words) + ")", " ")
 
 
-def drop_punct(col: Column) -> Column:
-    return F.regexp_replace(col, r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]", " ")
-
-
 def squash_words(col: Column) -> Column:
-    """``squash(drop_punct(col))`` in one pass: blanks and punctuation are all that is not a word character."""
+    """Blanks and punctuation, all that is not a word character, become single spaces; none is left at the ends."""
     return F.trim(F.regexp_replace(col, r"[^\p{L}\p{N}_]+", " "))
 
 
@@ -130,6 +161,7 @@ def to_clock(col: Column) -> Column:
 
 def regex_to_phrase(col: Column) -> Column:
     """Readable words of a rule pattern: boundary marks and optional groups go, operators become blanks."""
+    # The patterns that are removed.
     out = F.replace(col, F.lit(r"\b"), F.lit(""))
     out = F.regexp_replace(out, r"(?d)\(\?:.*?\)", "")
     out = F.regexp_replace(out, r"(?d)\(.*?\?\)", "")

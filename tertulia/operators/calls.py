@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tertulia.functions.scores import sentiment_score
 from tertulia.functions.text import strip
+from tertulia.sources.staging import settle
 
 # The two speakers that are measured.
 SPEAKERS = {1: "Speaker 1", 2: "Speaker 2"}
@@ -40,9 +41,10 @@ def join_detections(calls: DataFrame, found: DataFrame) -> DataFrame:
     """Calls left-joined to their detections on ``archivo``; null names match null names.
 
     A left join cannot split a call with very many detections, an inner one can (adaptive skew join). So
-    each call without detections is given one empty row, for which names alone are read, and the join is inner.
+    each call without detections is given one empty row, and the join is inner. ``found`` is read twice, for its
+    names and for its rows, so it is settled first. Runs a job.
     """
-    right = found.withColumnRenamed("archivo", "_call")
+    right = settle(found.withColumnRenamed("archivo", "_call"))
     same = F.col("archivo").eqNullSafe(F.col("_call"))
     silent = calls.select("archivo").distinct().join(right.select("_call").distinct(), same, "left_anti")
     rows = right.unionByName(silent.withColumnRenamed("archivo", "_call"), allowMissingColumns=True)
@@ -56,16 +58,20 @@ def join_summaries(calls: DataFrame, summaries: DataFrame) -> DataFrame:
     return calls.join(right, same, "left").drop("_call")
 
 
+def named_calls(calls: DataFrame) -> DataFrame:
+    """Call names as the final table has them. Figures that need no detections are read from this table alone."""
+    return calls.withColumn("archivo", strip(F.col("archivo")))
+
+
 def final_calls(metrics: DataFrame, found: DataFrame, summaries: DataFrame) -> DataFrame:
     """Metrics, detections and summary, one row per call and detection.
 
     Call names are stripped on all three sides. Summaries join first, while there is one row per call, so
     the detections, the largest input, move once.
     """
-    key = strip(F.col("archivo"))
     named = found.withColumn("archivo", strip(F.col("archivo_origen")))
-    calls = metrics.withColumn("archivo", key)
-    told = join_summaries(calls, summaries.withColumn("archivo", key))
+    calls = named_calls(metrics)
+    told = join_summaries(calls, named_calls(summaries))
     columns = [*calls.columns, *found.columns]
     columns += [name for name in summaries.columns if name != "archivo"]
     return join_detections(told, named).select(*columns)

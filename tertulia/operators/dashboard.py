@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +21,13 @@ def select_call(final: DataFrame, archivo: str = ALL_CALLS) -> DataFrame:
     return final if archivo == ALL_CALLS else final.where(F.col("archivo") == archivo)
 
 
-def call_list(final: DataFrame) -> DataFrame:
-    """The choice of all calls, then each call name once in ascending order."""
-    names = final.select("archivo").where("archivo is not null").distinct()
-    everything = final.sparkSession.createDataFrame([(ALL_CALLS,)], "archivo string")
+def call_list(calls: DataFrame) -> DataFrame:
+    """The choice of all calls, then each call name once in ascending order.
+
+    Takes the final table or, which saves its joins, the calls under their final names.
+    """
+    names = calls.select("archivo").where("archivo is not null").distinct()
+    everything = calls.sparkSession.createDataFrame([(ALL_CALLS,)], "archivo string")
     ranked = everything.withColumn("_rank", F.lit(0)).union(names.withColumn("_rank", F.lit(1)))
     return ranked.orderBy("_rank", "archivo").select("archivo")
 
@@ -34,18 +37,22 @@ def _success() -> Column:
     return F.when(share > 0.5, SUCCESS).otherwise(FAILURE)
 
 
-def _kpis(columns: Sequence[str]) -> list[Column]:
-    """Means over the rows of the final table, where a call counts once per detection."""
+def _kpis_of(columns: Sequence[str], mean: Callable[[str], Column]) -> list[Column]:
+    """The two head figures from the mean of each column."""
     absent = F.lit(None).cast("double")
     sentiment, minutes = absent, absent
     if {"sentimiento_speaker1", "sentimiento_speaker2"} <= set(columns):
-        both = F.avg("sentimiento_speaker1") + F.avg("sentimiento_speaker2")
-        sentiment = F.round(both / 2, 3)
+        sentiment = F.round((mean("sentimiento_speaker1") + mean("sentimiento_speaker2")) / 2, 3)
     if "duracion_total_seg" in columns:
-        minutes = F.round(F.avg("duracion_total_seg") / 60, 2)
+        minutes = F.round(mean("duracion_total_seg") / 60, 2)
     return [sentiment.alias("sentimiento_prom"), minutes.alias("duracion_prom_min")]
 
 
+def _kpis(columns: Sequence[str]) -> list[Column]:
+    """Means over the rows of the final table, where a call counts once per detection."""
+    return _kpis_of(columns, F.avg)
+
+
 def _first_summary(columns: Sequence[str], order: Sequence[str]) -> Column:
     """Summary of the first row by the order columns that exist; by its own text when there are none."""
     places = [name for name in order if name in columns]
@@ -93,31 +100,41 @@ def call_kpis(
 def kpis_by_call(
     final: DataFrame, order: Sequence[str] = ("turn_no", "rule_no", "chunk_no")
 ) -> DataFrame:
-    """``call_kpis`` of every call, and of all calls together, in one aggregation."""
-    figures = final.rollup("archivo").agg(
+    """``call_kpis`` of every call, and of all calls together.
+
+    The rows of a call are summed up once; the figures of all calls come from those sums, so no row is doubled.
+    """
+    measured = [c for c in ("sentimiento_speaker1", "sentimiento_speaker2", "duracion_total_seg") if c in final.columns]
+    sums = [f(c).alias(f"_{f.__name__}_{c}") for c in measured for f in (F.sum, F.count)]
+    calls = final.groupBy("archivo").agg(
+        *sums, _success().alias("exito"), _first_summary(final.columns, order).alias("resumen")
+    )
+    figures = calls.rollup("archivo").agg(
         F.grouping("archivo").alias("_all"),
-        _success().alias("exito"),
-        *_kpis(final.columns),
-        _first_summary(final.columns, order).alias("resumen"),
+        F.max("exito").alias("exito"),
+        F.max("resumen").alias("resumen"),
+        *((F.sum(f"_sum_{c}") / F.sum(f"_count_{c}")).alias(c) for c in measured),
     )
     total = F.col("_all") == 1
     return figures.select(
         F.when(total, SEVERAL).otherwise(F.col("archivo")).alias("id_llamada"),
         F.when(total, SEVERAL).otherwise(F.col("exito")).alias("exito"),
-        "sentimiento_prom",
-        "duracion_prom_min",
+        *_kpis_of(measured, F.col),
         F.when(total, SEVERAL_SUMMARIES).otherwise(F.col("resumen")).alias("resumen"),
     )
 
 
-def per_call_means(final: DataFrame) -> DataFrame:
-    """The two means with every call counted once, beside the means over detection rows."""
-    calls = final.groupBy("archivo").agg(
+def per_call_means(calls: DataFrame) -> DataFrame:
+    """The two means with every call counted once, beside the means over detection rows.
+
+    Takes the final table or, which saves its joins, the calls under their final names.
+    """
+    once = calls.groupBy("archivo").agg(
         F.max("sentimiento_speaker1").alias("sentimiento_speaker1"),
         F.max("sentimiento_speaker2").alias("sentimiento_speaker2"),
         F.max("duracion_total_seg").alias("duracion_total_seg"),
     )
-    return calls.agg(*_kpis(calls.columns))
+    return once.agg(*_kpis(once.columns))
 
 
 def category_distribution(final: DataFrame, archivo: str = ALL_CALLS) -> DataFrame:

@@ -7,16 +7,16 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as t
 
 from tertulia.functions.prompts import objection_prompt, summary_prompt
 from tertulia.functions.scores import answer_text, verdict
 from tertulia.sources.staging import settle
 
 Complete = Callable[[str], str | None]
+#: Tasks that ask questions, unless the caller says otherwise.
+TASKS = 64
 
 
 def once(function):
@@ -24,32 +24,37 @@ def once(function):
     return function.asNondeterministic()
 
 
-def guard(make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], missing: object):
-    """The model, except that a batch it fails on is done text by text and the texts at fault are ``missing``."""
+def run_model(make_model: Callable[[], Callable[[np.ndarray], Sequence]], value_type: str, batch_size: int):
+    """A function of a text column to (value, error) by a caller's model, loaded once per task.
 
-    def make():
+    A batch the model fails on is done text by text, and the texts at fault have the error's message. Null texts are
+    given as empty ones.
+    """
+
+    @F.pandas_udf(f"struct<value:{value_type},error:string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = make_model()
 
-        def one(text):
+        def one(text: str) -> tuple:
             try:
-                return model(np.array([text], dtype=object))[0]
-            except Exception:
-                return None
+                return model(np.array([text], dtype=object))[0], None
+            except Exception as problem:
+                return None, f"{type(problem).__name__}: {problem}"
 
-        def predict(texts: np.ndarray) -> np.ndarray:
+        def some(texts: np.ndarray) -> list[tuple]:
             try:
-                return model(texts)
+                return [(value, None) for value in model(texts)]
             except Exception:
-                answers = [one(text) for text in texts]
-            shape = next((np.shape(a) for a in answers if a is not None), ())
-            if missing is None:
-                return np.array(answers, dtype=object)
-            blank = np.full(shape or (1,), missing)
-            return np.array([blank if a is None else a for a in answers])
+                return [one(text) for text in texts]
 
-        return predict
+        for batch in batches:
+            texts = batch.fillna("").to_numpy(dtype=object)
+            rows = [row for at in range(0, len(texts), batch_size) for row in some(texts[at : at + batch_size])]
+            yield pd.DataFrame(
+                {"value": pd.Series([v for v, _ in rows], dtype=object), "error": pd.Series([e for _, e in rows], dtype=object)}
+            )
 
-    return make
+    return once(run)
 
 
 def label_sentiment(
@@ -58,10 +63,9 @@ def label_sentiment(
     column: str = "speech",
     batch_size: int = 8,
 ) -> DataFrame:
-    """Add ``label`` from a caller's classifier, loaded once per Python worker; null where it fails."""
-    guarded = guard(make_classifier, None)
-    classify = once(predict_batch_udf(guarded, return_type=t.StringType(), batch_size=batch_size))
-    return turns.withColumn("label", classify(F.col(column)))
+    """Add ``label`` from a caller's classifier, loaded once per task; null where it fails."""
+    classify = run_model(make_classifier, "string", batch_size)
+    return turns.withColumn("_model", classify(F.col(column))).withColumn("label", F.col("_model.value")).drop("_model")
 
 
 def _asking(complete: Complete, workers: int, keys: list[str]):
@@ -83,13 +87,17 @@ def _asking(complete: Complete, workers: int, keys: list[str]):
     return run
 
 
-def answer_prompts(asked: DataFrame, complete: Complete, workers: int = 4) -> DataFrame:
-    """``prompt_key, answer, error`` for each different ``prompt``, asked once.
+def answer_prompts(
+    asked: DataFrame, complete: Complete, workers: int = 4, tasks: int = TASKS
+) -> DataFrame:
+    """``prompt_key, answer, error`` for each different ``prompt``, asked once. Runs a job.
 
-    A failing call gives an error, not a lost batch. The result is settled on reliable storage: using it
-    twice, or losing an executor later, does not ask again.
+    The prompts are dealt over ``tasks`` tasks, however small they are, so at most ``tasks * workers`` questions are
+    open at a time. A failing call gives an error, not a lost batch. The result is settled on reliable storage:
+    using it twice, or losing an executor later, does not ask again.
     """
     prompts = asked.select("prompt_key", "prompt").where("prompt is not null").distinct()
+    prompts = prompts.repartition(tasks, "prompt_key")
     run = _asking(complete, workers, ["prompt_key"])
     return settle(prompts.mapInPandas(run, "prompt_key string, answer string, error string"))
 
@@ -112,12 +120,17 @@ def keep_validated(reviewed: DataFrame) -> DataFrame:
 
 
 def review(
-    found: DataFrame, complete: Complete, template: str, keywords: Sequence[str], workers: int = 4
+    found: DataFrame,
+    complete: Complete,
+    template: str,
+    keywords: Sequence[str],
+    workers: int = 4,
+    tasks: int = TASKS,
 ) -> DataFrame:
     """Detections with the verdict on each; ``keep_validated`` leaves the confirmed ones."""
     prompt = objection_prompt(template, found.columns)
     asked = found.withColumn("prompt", prompt).withColumn("prompt_key", F.sha2("prompt", 256))
-    answers = answer_prompts(asked, complete, workers)
+    answers = answer_prompts(asked, complete, workers, tasks)
     return apply_answers(asked, answers, keywords, ["prompt_key"]).drop("prompt", "prompt_key")
 
 
@@ -128,12 +141,15 @@ def review_counts(reviewed: DataFrame) -> DataFrame:
     )
 
 
-def summarise(calls: DataFrame, complete: Complete, workers: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Summaries ``archivo, resumen`` that are not empty, and the calls without one: ``archivo, error``.
+def summarise(
+    calls: DataFrame, complete: Complete, instruction: str, workers: int = 4, tasks: int = TASKS
+) -> tuple[DataFrame, DataFrame]:
+    """Summaries ``archivo, resumen`` that are not empty, and the calls without one: ``archivo, error``. Runs a job.
 
-    Each call is asked about where its text lies; only names and answers are written.
+    The calls are dealt over ``tasks`` tasks, which bounds the questions that are open; only names and answers are
+    written.
     """
-    asked = calls.select("archivo", summary_prompt(F.col("raw")).alias("prompt"))
+    asked = calls.select("archivo", summary_prompt(F.col("raw"), instruction).alias("prompt")).repartition(tasks)
     run = _asking(complete, workers, ["archivo"])
     answers = settle(asked.mapInPandas(run, "archivo string, answer string, error string"))
     told = answers.select("archivo", F.col("answer").alias("resumen"))

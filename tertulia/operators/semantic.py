@@ -2,47 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as t
 
 from tertulia.config import ChunkOptions
 from tertulia.functions import text as T
-from tertulia.operators.scoring import guard, once
-from tertulia.operators.turns import number_rows
+from tertulia.operators.scoring import once, run_model
+from tertulia.operators.turns import number_rows, number_sorted
+from tertulia.sources.staging import settle
 
 SENTENCE_END = r"[\n.!?]+"
-BROADCAST_ROWS = 8192
-BROADCAST_BYTES = 64 << 20
-BLOCK_ROWS = 8192
-CHUNKS_PER_TASK = 200_000
-# Similarities closer than this are equal in the single precision models work in; the first entry wins.
-TIE = 1e-12
+# Bytes of the catalog vectors that are sent to the workers at a time, and slices compared before the best so far
+# is settled. Neither changes a result.
+SLICE_BYTES = 64 << 20
+SLICES_PER_PASS = 8
+# Similarities equal to so many digits are equal; the first entry wins.
+DIGITS = 12
 # Size of one similarity matrix in a worker.
 SIMILARITY_CELLS = 4_000_000
 
 CATALOG = ("cat_id", "frase", "categoria", "tipo")
-CHUNK_KEYS = ("archivo", "turn_no", "chunk_no")
 
 
 def catalog_phrases(rules: DataFrame) -> DataFrame:
-    """``cat_id, frase, categoria, tipo`` of a rules table, in rule order, without empty phrases.
+    """``cat_id, frase, categoria, tipo`` of a rules table, in rule order, without empty phrases. Runs a job.
 
     The outer rule level is the catalog's ``categoria`` and the inner one its ``tipo``.
     """
-    order = ["type_ord", "category_ord", "pattern_ord"]
-    phrases = rules.withColumn("frase", T.regex_to_phrase(F.col("pattern"))).where("frase <> ''")
-    width = [F.lit(1 << 40), F.lit(1 << 20), F.lit(1)]
-    place = sum((F.col(c).cast("bigint") * w for c, w in zip(order, width, strict=True)), F.lit(0))
-    return number_rows(
-        phrases.withColumn("_place", place), "_place", name="cat_id", block=1 << 10
-    ).select("cat_id", "frase", F.col("type").alias("categoria"), F.col("category").alias("tipo"))
+    place = F.struct("type_ord", "category_ord", "pattern_ord")
+    phrases = rules.select("type", "category", place.alias("_place"), T.regex_to_phrase(F.col("pattern")).alias("frase"))
+    phrases = settle(phrases.where("frase <> ''"))
+    return number_sorted(phrases, "_place", "cat_id").select(
+        "cat_id", "frase", F.col("type").alias("categoria"), F.col("category").alias("tipo")
+    )
 
 
 def split_sentences(text: Column, pattern: str = SENTENCE_END) -> Column:
@@ -88,19 +85,15 @@ def encode_column(
     make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]],
     batch_size: int = 64,
 ) -> DataFrame:
-    """Add ``embedding`` from a caller's model, loaded once per Python worker and fed in batches.
+    """Add ``embedding`` from a caller's model, loaded once per task and fed in batches, and ``parse_error``.
 
-    Texts the model fails on have a null embedding.
+    A text the model fails on has a null embedding and the error; ``with_rejects`` takes such rows out.
     """
-    encode = once(
-        predict_batch_udf(
-            guard(make_encoder, np.nan), return_type=t.ArrayType(t.FloatType()), batch_size=batch_size
-        )
-    )
-    head = F.get("embedding", F.lit(0))
-    failed = head.isNull() | F.isnan(head)
-    return df.withColumn("embedding", encode(F.col(column))).withColumn(
-        "embedding", F.when(~failed, F.col("embedding"))
+    encode = run_model(make_encoder, "array<float>", batch_size)
+    return (
+        df.withColumn("_model", encode(F.col(column)))
+        .withColumns({"embedding": F.col("_model.value"), "parse_error": F.col("_model.error")})
+        .drop("_model")
     )
 
 
@@ -125,115 +118,84 @@ def _cosines(rows: np.ndarray, base: np.ndarray) -> np.ndarray:
 
 
 def _best(rows: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Highest cosine of each row to the rows of ``base`` and the first of those that reaches it."""
+    """Highest cosine of each row, as rounded, to the rows of ``base``, and the first of those that reaches it."""
     slices = max(1, len(rows) * len(base) // SIMILARITY_CELLS)
     tops, firsts = [], []
     for part in np.array_split(rows, slices):
         cosines = _cosines(part, base)
-        top = cosines.max(axis=1)
-        tops.append(top)
-        firsts.append((cosines >= top[:, None] - TIE).argmax(axis=1))
+        first = cosines.round(DIGITS).argmax(axis=1)
+        tops.append(cosines[np.arange(len(part)), first])
+        firsts.append(first)
     return np.concatenate(tops), np.concatenate(firsts)
 
 
-def best_match(
-    chunks: DataFrame,
-    catalog: DataFrame,
-    keys: Sequence[str] = CHUNK_KEYS,
-    broadcast_rows: int = BROADCAST_ROWS,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Every chunk that has an embedding, with ``cat_id, similarity`` and its phrase's columns.
+def best_match(chunks: DataFrame, catalog: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """Every chunk with ``cat_id, similarity`` and its phrase's columns; null where it has no embedding.
 
-    A catalog within both limits is sent to the workers as one matrix, so chunks are scored where they lie.
-    A larger one is cut into blocks; the best of each block is merged per chunk, for which ``keys`` must
-    identify a chunk.
+    The best entry has the highest similarity, rounded to ``DIGITS``, and of equal ones the lowest ``cat_id``. The
+    catalog is sent to the workers in slices of at most ``slice_bytes`` of vectors, and each chunk keeps its best so
+    far, so chunks are scored where they lie. With several slices the encoded chunks are settled first: jobs run when
+    this is called, and no chunk is encoded twice. A catalog phrase that could not be encoded is an error.
     """
-    chunks = chunks.where(F.col("embedding").isNotNull())
-    usable = catalog.where(F.col("embedding").isNotNull()).select(*CATALOG, "embedding")
-    head = usable.limit(broadcast_rows + 1).toArrow()
-    if head.num_rows > broadcast_rows or head.nbytes > broadcast_bytes:
-        scored = _match_blocks(chunks, usable, keys, block_rows)
-        return scored.join(usable.drop("embedding"), "cat_id", "left")
-    head = head.sort_by("cat_id")
-    phrases = chunks.sparkSession.createDataFrame(
-        head.select(list(CATALOG)).to_pylist(), "cat_id int, frase string, categoria string, tipo string"
-    )
-    return _match_broadcast(chunks, head).join(F.broadcast(phrases), "cat_id", "left")
-
-
-def _match_broadcast(chunks: DataFrame, catalog: pa.Table) -> DataFrame:
-    if not catalog.num_rows:
+    base = catalog.select(*CATALOG, "embedding")
+    count, width, missing = base.agg(
+        F.count("embedding"), F.max(F.size("embedding")), F.count_if(F.col("embedding").isNull())
+    ).first()
+    if missing:
+        raise ValueError(f"{missing} catalog phrases have no embedding")
+    if not count:
         return chunks.select(
-            "*", F.lit(None).cast("int").alias("cat_id"), F.lit(None).cast("double").alias("similarity")
+            "*",
+            *(F.lit(None).cast(kind).alias(name) for name, kind in _MATCH_COLUMNS.items()),
         )
-    ids = catalog["cat_id"].to_numpy().astype(np.int32)
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, _rows(catalog["embedding"])))
+    rows = max(1, slice_bytes // (8 * width))
+    slices = -(-count // rows)
+    if slices > 1:
+        chunks = settle(chunks)
+        base = settle(number_rows(base, "cat_id", name="_row"))
+    best = F.lit(None).cast(_BEST)
+    for i in range(slices):
+        part = base if slices == 1 else base.where(F.col("_row").between(i * rows, (i + 1) * rows - 1))
+        part = part.select("cat_id", "embedding").toArrow().sort_by("cat_id")  # bounded by slice_bytes
+        best = F.greatest(best, _nearest(chunks, part)("embedding")) if i else _nearest(chunks, part)("embedding")
+        if i % SLICES_PER_PASS == SLICES_PER_PASS - 1 and i < slices - 1:
+            chunks = settle(chunks.drop("_best").withColumn("_best", best))
+            best = F.col("_best")
+    found = chunks.withColumn("_near", best).select(
+        *[c for c in chunks.columns if c != "_best"],
+        (-F.col("_near.rank")).alias("cat_id"),
+        F.col("_near.similarity").alias("similarity"),
+    )
+    phrases = catalog.select(*CATALOG)
+    return found.join(F.broadcast(phrases) if slices == 1 else phrases, "cat_id", "left")
 
-    @F.arrow_udf("struct<cat_id:int,similarity:double>")
-    def nearest(vectors: pa.Array) -> pa.Array:
-        ids, base = shared.value
-        top, first = _best(_rows(vectors), base)
-        return pa.StructArray.from_arrays(
-            [pa.array(ids[first], pa.int32()), pa.array(top)], names=["cat_id", "similarity"]
-        )
 
-    return chunks.withColumn("_near", once(nearest)("embedding")).select(
-        *chunks.columns, F.col("_near.cat_id").alias("cat_id"), F.col("_near.similarity").alias("similarity")
-    )
+#: Compared field by field: the rounded similarity, then the lower number.
+_BEST = "struct<level:double,rank:int,similarity:double>"
+_MATCH_COLUMNS = {
+    "cat_id": "int", "similarity": "double", "frase": "string", "categoria": "string", "tipo": "string"
+}
 
 
-def _match_blocks(
-    chunks: DataFrame, catalog: DataFrame, keys: Sequence[str], block_rows: int
-) -> DataFrame:
-    base = catalog.withColumn("_block", F.floor(F.col("cat_id") / block_rows).cast("int"))
-    last = base.agg(F.max("_block")).first()[0]
-    groups = max(1, -(-chunks.count() // CHUNKS_PER_TASK))
-    left = chunks.select(
-        *keys,
-        "embedding",
-        F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int").alias("_group"),
-        F.explode(F.sequence(F.lit(0), F.lit(last))).alias("_block"),
-    )
-    right = base.select(
-        "cat_id", "embedding", "_block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group")
-    )
-    names = list(keys)
-    schema = t.StructType(
-        [left.schema[name] for name in names]
-        + [t.StructField("cat_id", t.IntegerType()), t.StructField("similarity", t.DoubleType())]
-    )
+def _nearest(chunks: DataFrame, part: pa.Table):
+    """Best entry of one slice for a batch of vectors; null for a null vector."""
+    ids = part["cat_id"].to_numpy().astype(np.int32)
+    shared = chunks.sparkSession.sparkContext.broadcast((ids, _rows(part["embedding"])))
 
-    def score(some: pa.Table, block: pa.Table) -> pa.Table:
-        out = some.select(names)
-        if not some.num_rows or not block.num_rows:
-            out = out.slice(0, 0)
-            top, cat = np.empty(0), np.empty(0, np.int32)
-        else:
-            block = block.sort_by("cat_id")
-            top, first = _best(_rows(some["embedding"]), _rows(block["embedding"]))
-            cat = block["cat_id"].to_numpy().astype(np.int32)[first]
-        return out.append_column("cat_id", pa.array(cat, pa.int32())).append_column(
-            "similarity", pa.array(top, pa.float64())
+    @F.arrow_udf(_BEST)
+    def nearest(vectors: pa.Array) -> pa.Array:
+        ids, base = shared.value
+        given = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
+        place = np.full(len(vectors), -1)
+        place[given] = np.arange(len(given))
+        top, first = _best(_rows(vectors.drop_null()), base) if len(given) else (np.empty(0), np.empty(0, int))
+        found = pa.StructArray.from_arrays(
+            [pa.array(top.round(DIGITS)), pa.array(-ids[first], pa.int32()), pa.array(top)],
+            names=["level", "rank", "similarity"],
         )
+        return found.take(pa.array(place, pa.int64(), mask=place < 0))
 
-    partial = (
-        left.groupBy("_block", "_group")
-        .cogroup(right.groupBy("_block", "_group"))
-        .applyInArrow(score, schema)
-    )
-    # Equal within single precision counts as a tie here too.
-    rank = F.struct(
-        F.round("similarity", 12).alias("level"), (-F.col("cat_id")).alias("rank"), "similarity"
-    )
-    found = (
-        partial.groupBy(F.struct(*keys).alias("_key"))
-        .agg(F.max(rank).alias("_top"))
-        .select("_key", (-F.col("_top.rank")).alias("cat_id"), F.col("_top.similarity").alias("similarity"))
-    )
-    keyed = chunks.withColumn("_key", F.struct(*keys))
-    return keyed.join(found, "_key").select(*chunks.columns, "cat_id", "similarity")
+    return once(nearest)
 
 
 def detections(scored: DataFrame, threshold: float) -> DataFrame:
@@ -268,10 +230,15 @@ def union_detections(first: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def run_counts(scored: DataFrame, threshold: float) -> DataFrame:
-    """Chunks processed, detected and discarded per call, counted from the scored rows."""
+    """Chunks processed, detected and discarded per call, counted from the scored rows; a chunk that could not be
+    encoded is discarded, and counted as ``failed``."""
     detected = F.count_if(F.col("similarity") >= threshold)
     return (
         scored.groupBy("archivo")
-        .agg(F.count(F.lit(1)).alias("chunks"), detected.alias("detected"))
+        .agg(
+            F.count(F.lit(1)).alias("chunks"),
+            detected.alias("detected"),
+            F.count_if(F.col("similarity").isNull()).alias("failed"),
+        )
         .withColumn("discarded", F.col("chunks") - F.col("detected"))
     )

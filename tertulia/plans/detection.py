@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from tertulia.config import ChunkOptions, CleanOptions, RuleSet
 from tertulia.operators.parsing import clean_call, parse_clean_turns
 from tertulia.operators.rules import rules_table
-from tertulia.operators.scoring import Complete, keep_validated, review
+from tertulia.operators.scoring import TASKS, Complete, keep_validated, review
 from tertulia.operators.semantic import (
     best_match,
     catalog_phrases,
@@ -21,6 +21,7 @@ from tertulia.operators.semantic import (
 )
 from tertulia.sources.staging import settle
 from tertulia.sources.tables import order_columns
+from tertulia.sources.transcripts import with_rejects
 
 Encoder = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
@@ -35,15 +36,30 @@ def clean_and_chunk(
     return chunk_turns(parse_clean_turns(clean_call(calls, clean)), chunks, split)
 
 
-def detect(
-    chunks: DataFrame, rules: RuleSet, make_encoder: Encoder, threshold: float, batch_size: int = 64
+def score(
+    chunks: DataFrame,
+    rules: RuleSet,
+    make_encoder: Encoder,
+    make_catalog_encoder: Encoder | None = None,
+    batch_size: int = 64,
 ) -> DataFrame:
-    """Detections of encoded chunks. The catalog is encoded by the same model and settled once."""
+    """Every chunk with its best phrase and similarity, or with ``parse_error`` where it could not be encoded.
+
+    Catalog and encoded chunks are settled, so each text is encoded once. Runs jobs.
+    """
     phrases = catalog_phrases(rules_table(chunks.sparkSession, rules))
-    catalog = settle(encode_column(phrases, "frase", make_encoder, batch_size))
-    return detections(
-        best_match(encode_column(chunks, "chunk", make_encoder, batch_size), catalog), threshold
-    )
+    catalog = settle(encode_column(phrases, "frase", make_catalog_encoder or make_encoder, batch_size))
+    return best_match(settle(encode_column(chunks, "chunk", make_encoder, batch_size)), catalog)
+
+
+def detect(
+    chunks: DataFrame, rules: RuleSet, make_encoder: Encoder, threshold: float, batch_size: int = 64
+) -> tuple[DataFrame, DataFrame]:
+    """Detections, and the chunks that could not be encoded with their errors. Runs jobs."""
+    scored = score(chunks, rules, make_encoder, batch_size=batch_size)
+    good, rejects = with_rejects(scored)
+    names = ("archivo", "turn_no", "chunk_no", "chunk", "parse_error")
+    return detections(good, threshold), rejects.select(*(n for n in names if n in rejects.columns))
 
 
 def validate(
@@ -53,7 +69,11 @@ def validate(
     keywords: Sequence[str],
     columns: Sequence[str] = (),
     workers: int = 4,
+    tasks: int = TASKS,
 ) -> DataFrame:
-    """Detections the reviewer confirms. They are settled first, so encoding is not repeated by the review."""
-    reviewed = review(settle(found), complete, template, keywords, workers)
+    """Detections the reviewer confirms. They are settled first, so encoding is not repeated by the review.
+
+    Runs jobs. At most ``workers * tasks`` prompts are open at a time.
+    """
+    reviewed = review(settle(found), complete, template, keywords, workers, tasks)
     return order_columns(keep_validated(reviewed), columns)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tertulia.config import ChunkOptions, CleanOptions, RuleSet
 from tertulia.operators import scoring, semantic
@@ -35,18 +36,60 @@ def data(spark):
     return chunks, catalog, brute_force(vectors, base)
 
 
-@pytest.mark.parametrize("limits", [{}, {"broadcast_rows": 5, "block_rows": 4}, {"broadcast_bytes": 10, "block_rows": 100}])
-def test_best_match(monkeypatch, data, limits):
-    monkeypatch.setattr(semantic, "CHUNKS_PER_TASK", 25)
+@pytest.mark.parametrize("slice_bytes", [1 << 20, 4 * 8 * 6, 8 * 6])
+def test_best_match(data, slice_bytes):
     chunks, catalog, similarity = data
-    got = semantic.best_match(chunks, catalog, **limits).collect()
-    assert len(got) == 60
+    got = semantic.best_match(chunks, catalog, slice_bytes=slice_bytes).collect()
+    assert len(got) == 61
     for r in got:
-        row = similarity[r.turn_no]
-        assert r.cat_id == int(np.argmax(row >= row.max() - 1e-12))
+        if r.archivo == "none":
+            assert r.cat_id is None and r.similarity is None
+            continue
+        row = similarity[r.turn_no].round(12)
+        assert r.cat_id == int(np.argmax(row))
         assert r.similarity == pytest.approx(row.max(), abs=1e-6)
         assert (r.frase, r.tipo, r.chunk) == (f"p{r.cat_id}", f"t{r.cat_id}", f"chunk {r.turn_no}")
-    assert {r.cat_id for r in got if r.turn_no in (7, 8)} == {4}
+    assert {r.cat_id for r in got if r.turn_no in (7, 8) and r.archivo == "hot"} == {4}
+
+
+@pytest.mark.parametrize("slice_bytes", [1 << 20, 16])
+def test_near_ties_have_one_rule(spark, slice_bytes):
+    close = [[1.0, 1e-6 * k] for k in (4, 2, 1, 3)]
+    catalog = spark.createDataFrame(
+        [(i, f"p{i}", "c", "t", v) for i, v in enumerate(close)],
+        "cat_id int, frase string, categoria string, tipo string, embedding array<double>",
+    )
+    chunks = spark.createDataFrame([("a", 0, 0, "x", [1.0, 0.0])], CHUNKS)
+    assert semantic.best_match(chunks, catalog, slice_bytes=slice_bytes).first().cat_id == 2
+
+
+def test_chunks_are_encoded_once_with_many_slices(spark, tmp_path):
+    log = tmp_path / "encoded"
+    log.mkdir()
+
+    def make_encoder():
+        def encode(texts):
+            import uuid
+
+            (log / str(uuid.uuid4())).write_text(str(len(texts)))
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return encode
+
+    catalog = spark.createDataFrame(
+        [(i, f"p{i}", "c", "t", [float(i), 1.0]) for i in range(12)], CATALOG
+    )
+    chunks = spark.createDataFrame([("a", i, 0, "x" * i) for i in range(20)], "archivo string, turn_no int, chunk_no int, chunk string")
+    encoded = semantic.encode_column(chunks, "chunk", make_encoder)
+    scored = semantic.best_match(encoded, catalog, slice_bytes=16)
+    assert scored.count() == 20 and scored.where("cat_id is null").count() == 0
+    assert sum(int(f.read_text()) for f in log.iterdir()) == 20
+
+
+def test_catalog_without_an_embedding_is_an_error(data):
+    chunks, catalog, _ = data
+    with pytest.raises(ValueError):
+        semantic.best_match(chunks, catalog.withColumn("embedding", F.when(F.col("cat_id") != 3, F.col("embedding"))))
 
 
 def test_similarity_matrix_is_bounded(monkeypatch, data):
@@ -66,7 +109,7 @@ def test_whole_numbers_reach_the_threshold_exactly():
 def test_empty_catalog(data):
     chunks, catalog, _ = data
     scored = semantic.best_match(chunks, catalog.where("false"))
-    assert scored.count() == 60
+    assert scored.count() == 61
     assert semantic.detections(scored, 0.0).count() == 0
 
 
@@ -96,7 +139,7 @@ def test_threshold_is_inclusive_and_unrounded(spark):
     got = semantic.ordered(semantic.detections(scored, 0.5)).collect()
     assert [(r.frase_original, r.similitud) for r in got] == [("x", 0.5), ("z", 0.5)]
     counts = semantic.run_counts(scored, 0.5).first()
-    assert (counts.chunks, counts.detected, counts.discarded) == (3, 2, 1)
+    assert (counts.chunks, counts.detected, counts.failed, counts.discarded) == (3, 2, 0, 1)
     both = semantic.union_detections(semantic.detections(scored, 0.5), semantic.detections(scored, 0.5))
     assert both.count() == 4
 
@@ -175,7 +218,8 @@ def test_detection_to_validated(spark, calls, tmp_path, make_encoder):
 
     pieces = detection.clean_and_chunk(calls(**CALLS), CleanOptions(), ChunkOptions(2, 1, 1, 0))
     twice = pieces.union(pieces)
-    found = detection.detect(twice, RULES, make_encoder, 0.7)
+    found, rejects = detection.detect(twice, RULES, make_encoder, 0.7)
+    assert rejects.count() == 0
     assert {"luego", "ya tengo"} <= {r.patron_mas_cercano for r in found.collect()}
     got = detection.validate(found, complete, "{phrase} {category}", ("SI",), ["tipo", "validado_llm"])
     assert got.columns[:2] == ["tipo", "validado_llm"]
@@ -187,6 +231,18 @@ def test_detection_to_validated(spark, calls, tmp_path, make_encoder):
     assert len(prompts) == len(set(prompts)), "each prompt is asked once, also when the result is used again"
 
 
+def test_prompts_are_dealt_over_the_asked_tasks(spark):
+    from pyspark import TaskContext
+
+    def complete(prompt):
+        return f"{TaskContext.get().partitionId()} {prompt}"
+
+    asked = spark.range(5000).selectExpr("cast(id as string) AS prompt_key", "concat('p', id) AS prompt")
+    answers = scoring.answer_prompts(asked.union(asked), complete, tasks=16).collect()
+    assert len(answers) == 5000 and {r.answer.split()[1] for r in answers} == {f"p{i}" for i in range(5000)}
+    assert len({r.answer.split()[0] for r in answers}) == 16
+
+
 def test_review_counts_failures(spark):
     found = spark.createDataFrame([("x", "A", None), ("y", "B", "t")], "frase_original string, categoria string, tipo string")
     reviewed = scoring.review(found, lambda p: None if p.startswith("x") else "SI", "{phrase}", ("SI",))
@@ -228,7 +284,9 @@ def test_failing_models_cost_single_rows(spark, calls):
         return encode
 
     texts = spark.createDataFrame([("bad",), ("fine",), ("bad",), ("good",)], "chunk string").coalesce(1)
-    got = {r.chunk: r.embedding for r in semantic.encode_column(texts, "chunk", make_encoder, 2).collect()}
+    encoded = semantic.encode_column(texts, "chunk", make_encoder, 2)
+    assert {r.parse_error for r in with_rejects(encoded)[1].collect()} == {"ValueError: cannot"}
+    got = {r.chunk: r.embedding for r in encoded.collect()}
     assert got == {"bad": None, "fine": [1.0, 2.0], "good": [1.0, 2.0]}
     alone = texts.where("chunk = 'bad'")
     assert [r.embedding for r in semantic.encode_column(alone, "chunk", make_encoder).collect()] == [None, None]
@@ -240,7 +298,7 @@ def test_summaries(calls):
             raise ValueError("no")
         return None if "no turns" in prompt else " resumen "
 
-    told, silent = scoring.summarise(calls(a="hola", b="bien", c="no turns"), complete)
+    told, silent = scoring.summarise(calls(a="hola", b="bien", c="no turns"), complete, "Resume:")
     assert [tuple(r) for r in told.collect()] == [("a", "resumen")]
     assert {r.archivo: r.error for r in silent.collect()} == {"b": "ValueError: no", "c": None}
 
