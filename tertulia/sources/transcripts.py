@@ -20,20 +20,26 @@ def file_key(name: Column | None = None) -> Column:
 def read_transcripts(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """``archivo, raw, parse_error``: one row per ``*.txt`` file of the folder, subfolders left out.
 
-    Files that cannot be used are kept as rows with ``parse_error`` set; see ``with_rejects``. Spark's file
-    listing leaves out files of zero bytes, so they have no row.
+    Files that cannot be used are kept as rows with ``parse_error`` set; see ``with_rejects``. A file of zero bytes is
+    an empty transcript. The text reader leaves such files out, so they come from the listing of all files, which
+    also finds those too large to be read; neither reads a file's content.
     """
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt")
-    usable = files.where(F.col("_metadata.file_size") <= max_bytes).select(
+    usable = files.where(F.col("_metadata.file_size").between(1, max_bytes)).select(
         file_key().alias("archivo"), *checked_text(F.col("value"))
     )
     names = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    too_large = names.where(F.col("length") > max_bytes).select(
-        file_key().alias("archivo"),
-        F.lit(None).cast("string").alias("raw"),
-        F.lit("file too large").alias("parse_error"),
+    return usable.unionByName(unread_files(names, max_bytes))
+
+
+def unread_files(names: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Empty files as empty transcripts, and files too large for one value as rejects, from a listing of files."""
+    large = F.col("length") > max_bytes
+    return names.where(large | (F.col("length") == 0)).select(
+        file_key(F.regexp_extract("path", "[^/]*$", 0)).alias("archivo"),
+        F.when(~large, F.lit("")).alias("raw"),
+        F.when(large, F.lit("file too large")).alias("parse_error"),
     )
-    return usable.unionByName(too_large)
 
 
 def checked_text(value: Column) -> list[Column]:

@@ -15,19 +15,24 @@ from pyspark.sql.streaming import StreamingQuery
 from tertulia.config import ReportOptions, RuleSet
 from tertulia.operators.reports import call_documents
 from tertulia.plans.objections import list_objections
-from tertulia.sources.transcripts import MAX_FILE_BYTES, checked_text, file_key
+from tertulia.sources.staging import settle
+from tertulia.sources.transcripts import MAX_FILE_BYTES, checked_text, file_key, unread_files
 
 
-def stream_transcripts(spark: SparkSession, path: str, files_per_batch: int = 100_000) -> DataFrame:
-    """``archivo, raw, parse_error`` of new ``*.txt`` files.
+def stream_transcripts(
+    spark: SparkSession, path: str, files_per_batch: int = 100_000, max_bytes: int = MAX_FILE_BYTES
+) -> DataFrame:
+    """``archivo, raw, parse_error`` of new ``*.txt`` files, with the rows ``read_transcripts`` gives.
 
-    Files too large for one value are left out here; ``read_transcripts`` on the folder reports them.
+    Texts, and the listing for empty and too large files, are two streams over the folder, united.
     """
-    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(
-        path, wholetext=True, pathGlobFilter="*.txt"
-    )
-    small = files.where(F.col("_metadata.file_size") <= MAX_FILE_BYTES)
-    return small.select(file_key().alias("archivo"), *checked_text(F.col("value")))
+    limit = {"maxFilesPerTrigger": files_per_batch, "pathGlobFilter": "*.txt"}
+    files = spark.readStream.options(**limit).text(path, wholetext=True)
+    usable = files.where(F.col("_metadata.file_size").between(1, max_bytes))
+    listing = spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary")
+    names = listing.format("binaryFile").options(**limit).load(path)
+    texts = usable.select(file_key().alias("archivo"), *checked_text(F.col("value")))
+    return texts.unionByName(unread_files(names, max_bytes))
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
@@ -61,10 +66,16 @@ def stream_rejects(stream: DataFrame) -> DataFrame:
 def transform_batches(
     stream: DataFrame, job: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
 ) -> StreamingQuery:
-    """Jobs that join or aggregate per call, run on each batch of new files."""
+    """Jobs that join or aggregate per call, run on each batch of new files.
+
+    Results lie under ``path/results`` and the batch's rejects under ``path/rejects``, by batch, so a repeated batch
+    replaces its own.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        job(_good(batch)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch = settle(batch)
+        job(_good(batch)).write.mode("overwrite").parquet(f"{path}/results/batch={number}")
+        stream_rejects(batch).write.mode("overwrite").parquet(f"{path}/rejects/batch={number}")
 
     return (
         stream.writeStream.foreachBatch(write)

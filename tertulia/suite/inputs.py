@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from tertulia.config import ChunkOptions, CleanOptions, RuleSet
 from tertulia.functions.text import to_clock
 
-# Transcript text is written in parts of at most this many turns, so a long call is never one value.
-PART_TURNS = 256
+#: Turns of up to so many characters are taken as silence where a query needs silent turns.
+SILENT = 80
+INSTRUCTION = "Resumen breve:"
+#: Bytes of the largest file that the folder queries read.
+FILE_LIMIT = 24_000
 PREAMBLE = "{ 0:00 }\nBefore the first speaker.\n\n"
 
 RULES = RuleSet(
@@ -70,20 +73,23 @@ def conversation_turns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def conversation_transcripts(spark: SparkSession, folder: str) -> DataFrame:
-    """``archivo, part, raw``: the transcript text of each call, in parts of consecutive turns."""
-    turns = conversation_turns(spark, folder).selectExpr(
-        "archivo",
-        f"CAST(turn_no DIV {PART_TURNS} AS int) AS part",
-        "struct(turn_no, concat(speaker, ':  { ', timestamp, ' }\n', text) AS block) AS turn",
+    """``archivo, raw``: the transcript of each call, one text as in a folder of files."""
+    block = F.struct("turn_no", F.concat("speaker", F.lit(":  { "), "timestamp", F.lit(" }\n"), "text").alias("block"))
+    calls = conversation_turns(spark, folder).groupBy("archivo").agg(F.array_sort(F.collect_list(block)).alias("turns"))
+    return calls.select("archivo", F.concat(F.lit(PREAMBLE), F.array_join("turns.block", "\n\n")).alias("raw"))
+
+
+def sparse_transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    """The transcripts, where turns of up to ``SILENT`` characters say nothing, and calls of one turn have none."""
+    block = F.struct(
+        "turn_no",
+        F.concat(
+            "speaker", F.lit(":  { "), "timestamp", F.lit(" }\n"), F.when(F.length("text") > SILENT, F.col("text")).otherwise("")
+        ).alias("block"),
     )
-    start = F.when(F.col("part") == 0, PREAMBLE).otherwise("")
-    parts = turns.groupBy("archivo", "part").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    return parts.select("archivo", "part", F.concat(start, F.array_join("turns.block", "\n\n")).alias("raw"))
-
-
-def place_in_call() -> Column:
-    """Turn number in the whole call of a turn parsed from a part."""
-    return (F.col("part") * PART_TURNS + F.col("turn_no")).cast("int").alias("turn_no")
+    calls = conversation_turns(spark, folder).groupBy("archivo").agg(F.array_sort(F.collect_list(block)).alias("turns"))
+    said = F.when(F.size("turns") > 1, F.array_join("turns.block", "\n\n")).otherwise("")
+    return calls.select("archivo", F.concat(F.lit(PREAMBLE), said).alias("raw"))
 
 
 def special_clients(turns: DataFrame) -> DataFrame:
@@ -127,6 +133,22 @@ def make_encoder():
     return letter_counts
 
 
+def fussy_letter_counts(texts):
+    """Stand-in encoder that fails on texts whose length is a multiple of eleven."""
+    if any(len(text) % 11 == 0 for text in texts):
+        raise ValueError("unreadable")
+    return letter_counts(texts)
+
+
+def make_fussy_encoder():
+    return fussy_letter_counts
+
+
+def split_at_commas(texts):
+    """Stand-in sentence splitter."""
+    return [text.replace(";", ",").split(",") for text in texts]
+
+
 def make_classifier():
     return label_by_length
 

@@ -5,7 +5,6 @@ Each statement works from the tables as they are: it knows nothing of transcript
 
 from __future__ import annotations
 
-from tertulia.functions.prompts import SUMMARY_INSTRUCTION
 from tertulia.functions.text import ACCENTED_VOWELS, PLAIN_VOWELS
 from tertulia.suite import inputs as I
 
@@ -75,11 +74,11 @@ def phrase(value: str) -> str:
     return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
 
 
-def chunked(value: str) -> str:
+def chunked(value: str, ends: str = r"[\n.!?]+") -> str:
     """List of relevant chunks of a text."""
     o = I.CHUNKING
     sentences = (
-        f"list_filter(list_transform(string_split_regex({value}, '[\\n.!?]+'), lambda s: trim(s)), "
+        f"list_filter(list_transform(string_split_regex({value}, '{ends}'), lambda s: trim(s)), "
         f"lambda s: length(s) > {o.min_sentence_length})"
     )
     windows = (
@@ -230,16 +229,15 @@ reviewed AS (
 CLEANED = f"""
 WITH {TURNS},
 blocks AS (
-  SELECT archivo, turn_no, turn_no // {I.PART_TURNS} AS part,
+  SELECT archivo, turn_no,
     speaker || ':  {{ ' || timestamp || ' }}' || {NEWLINE} || array_to_string(
       list_transform(string_split(text, {NEWLINE}), lambda l: CASE WHEN trim(l) = '' THEN l ELSE {clean('l')} END),
       {NEWLINE}) AS block
   FROM turns),
 cleaned AS (
-  SELECT archivo, part::INTEGER AS part,
-    CASE WHEN part = 0 THEN '0 00' || {NEWLINE} || 'before the first speaker' || {NEWLINE} || {NEWLINE} ELSE '' END
+  SELECT archivo, '0 00' || {NEWLINE} || 'before the first speaker' || {NEWLINE} || {NEWLINE}
     || string_agg(block, {NEWLINE} || {NEWLINE} ORDER BY turn_no) AS clean
-  FROM blocks GROUP BY archivo, part)
+  FROM blocks GROUP BY archivo)
 """
 
 DETECTIONS = f"""
@@ -253,19 +251,48 @@ FROM scored WHERE similarity >= {I.THRESHOLD}
 DOCUMENTS = f"""
 WITH {TURNS}, {RULES}, {NEAR}, {hits('near')},
 details AS (
-  SELECT archivo, turn_no // 512 AS part, count(*) AS n,
+  SELECT archivo, count(*) AS n,
     string_agg(concat_ws('|', type, matched_text, timestamp, context_before, context_after), {NEWLINE}
                ORDER BY turn_no, rule_no) AS objections
   FROM hits GROUP BY ALL),
 said AS (
-  SELECT archivo, turn_no // 512 AS part,
-    string_agg(concat_ws('|', speaker, timestamp, text), {NEWLINE} ORDER BY turn_no) AS turns
+  SELECT archivo, string_agg(concat_ws('|', speaker, timestamp, text), {NEWLINE} ORDER BY turn_no) AS turns
   FROM turns GROUP BY ALL)
-SELECT s.archivo AS file, s.part::INTEGER AS part, coalesce(d.n, 0)::INTEGER AS objections_found,
+SELECT s.archivo AS file, 0 AS part, coalesce(d.n, 0)::INTEGER AS objections_found,
        coalesce(d.objections, '') AS objections, s.turns
-FROM said s LEFT JOIN details d ON s.archivo = d.archivo AND s.part = d.part
+FROM said s LEFT JOIN details d ON s.archivo = d.archivo
+"""
+
+TRIMMED = TURNS.replace(
+    "(turn * 7 + length(text) % 23)::INTEGER AS start_sec, text",
+    "(turn * 7 + length(text) % 23)::INTEGER AS start_sec, trim(text, ' ' || chr(9) || chr(10)) AS text",
+)
+
+# Silent turns: the metrics parse takes the next header as the speech of a silent turn, so of a run of headers
+# every second one is lost; with one turn or none there is no row.
+SPARSE = f"""
+WITH {TURNS},
+sparse AS (
+  SELECT *, count(*) OVER (PARTITION BY archivo) AS n, length(text) <= {I.SILENT} AS silent FROM turns),
+placed AS (
+  SELECT *, turn_no - coalesce(max(CASE WHEN NOT silent THEN turn_no END)
+      OVER (PARTITION BY archivo ORDER BY turn_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) - 1 AS run
+  FROM sparse WHERE n > 1),
+headed AS (
+  SELECT archivo, turn_no, speaker, speaker_num, start_sec,
+    CASE WHEN silent THEN coalesce(lead(speaker || ':  {{ ' || timestamp || ' }}') OVER calls, '')
+         ELSE split_part(ltrim(text, ' ' || chr(9) || chr(10)), {NEWLINE}, 1) END AS text
+  FROM placed WINDOW calls AS (PARTITION BY archivo ORDER BY turn_no)
+  QUALIFY run % 2 = 0)
 """
 
+SCAN = f"""
+SELECT CASE WHEN bytes > {I.FILE_LIMIT} THEN 'file too large' END AS parse_error, count(*) AS files,
+       sum(CASE WHEN bytes > {I.FILE_LIMIT} THEN 0 ELSE chars END)::BIGINT AS chars
+FROM (SELECT sum(octet_length(encode(text)) + 1) AS bytes, sum(length(text) + 1) AS chars
+      FROM documents GROUP BY source, lang)
+GROUP BY ALL"""
+
 METRICS_QUERY = f"WITH {TURNS}, {metrics()} SELECT * FROM metrics"
 
 ORACLES = {
@@ -311,7 +338,7 @@ SELECT archivo, turn_no, unnest(range(len(chunks)))::INTEGER AS chunk_no, unnest
     "q13_detections": f"{DETECTIONS} ORDER BY archivo_origen, turn_no",
     "q14_prompts": f"""
 SELECT doc_id, {PROMPT} AS prompt,
-       {text_literal(SUMMARY_INSTRUCTION)} || {NEWLINE} || {NEWLINE} || frase_original AS summary_prompt
+       {text_literal(I.INSTRUCTION)} || {NEWLINE} || {NEWLINE} || frase_original AS summary_prompt
 FROM (SELECT doc_id, text AS frase_original, source AS categoria, lang AS tipo FROM documents)""",
     "q15_validated": f"""
 {REVIEWED}
@@ -378,7 +405,7 @@ FROM answered WHERE respuesta_llm LIKE 'S%'""",
     "q28_scored_sentiment": METRICS_QUERY,
     "q29_summaries": f"""
 SELECT archivo, n || ' caracteres' AS resumen
-FROM (SELECT 'call_' || doc_id AS archivo, length(text) + {len(SUMMARY_INSTRUCTION) + 2} AS n FROM documents)
+FROM (SELECT 'call_' || doc_id AS archivo, length(text) + {len(I.INSTRUCTION) + 2} AS n FROM documents)
 WHERE n % 7 BETWEEN 1 AND 5""",
     "q30_renumbered_turns": f"""
 WITH {TURNS}
@@ -390,4 +417,63 @@ FROM turns WHERE speaker_num = 1""",
     "q33_delimited_round_trip": f"{FINAL} SELECT * FROM final",
     "q34_detection_files": f"SELECT * EXCLUDE (turn_no) FROM ({DETECTIONS})",
     "q35_report_sink": DOCUMENTS,
+    "q36_objection_job": f"""
+WITH {TRIMMED}, {RULES}, {NEAR}, {hits('near')}
+SELECT archivo, turn_no, rule_no, type, category, intensity, matched_text, pattern, timestamp, speaker,
+       text AS full_text, context_before, context_after
+FROM hits""",
+    "q37_report_job": f"""
+WITH {TRIMMED}, {RULES}, {NEAR},
+listened AS (
+  SELECT *, CASE WHEN bool_or(speaker_num = 3) OVER (PARTITION BY archivo) THEN 2 ELSE 1 END AS client FROM near),
+{hits('listened', 't.client')},
+typed AS (
+  SELECT archivo, string_agg(type || ':' || n, ',' ORDER BY type) AS objection_types
+  FROM (SELECT archivo, type, count(*) AS n FROM hits GROUP BY ALL) GROUP BY archivo),
+found AS (
+  SELECT archivo, count(*) AS n, avg(intensity) AS level,
+    string_agg(concat_ws('|', type, matched_text, timestamp, context_before, context_after), {NEWLINE}
+               ORDER BY turn_no, rule_no) AS objections
+  FROM hits GROUP BY archivo)
+SELECT t.archivo AS file, count(*)::INTEGER AS total_turns, (count(*) FILTER (speaker_num = client))::INTEGER AS client_turns,
+       coalesce(any_value(f.n), 0)::INTEGER AS objections_found,
+       coalesce(any_value(y.objection_types), '') AS objection_types,
+       round(coalesce(any_value(f.level), 0.0), 6) AS avg_intensity,
+       coalesce(any_value(f.objections), '') AS objections
+FROM listened t LEFT JOIN found f USING (archivo) LEFT JOIN typed y USING (archivo)
+GROUP BY t.archivo""",
+    "q38_corpus_job": f"""
+WITH {TRIMMED.replace('FROM conversations', f"FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS all_turns FROM conversations) WHERE all_turns > 1 AND length(text) > {I.SILENT}")},
+{RULES}, {hits('turns')}
+SELECT (SELECT count(DISTINCT conv_id) FROM conversations) AS total_files, count(*) AS total_objections,
+       round(count(*) / (SELECT count(DISTINCT conv_id) FROM conversations), 6) AS mean
+FROM hits""",
+    "q39_metrics_job": SPARSE + ", " + metrics().replace("FROM turns)", "FROM headed)", 1) + """
+SELECT *, NULL::VARCHAR AS parse_error FROM metrics""",
+    "q40_folder_scan": SCAN,
+    "q41_folder_stream": SCAN,
+    "q42_one_call": f"""
+{FINAL},
+one AS (SELECT * FROM final WHERE archivo = (SELECT min(archivo) FROM final)),
+kpis AS (
+  SELECT any_value(archivo) AS id, CASE WHEN avg(CASE WHEN exito = 'si' THEN 1 ELSE 0 END) > 0.5 THEN 'Sí' ELSE 'No' END
+         AS exito, {KPIS}, count(frase_original) AS phrases
+  FROM one)
+SELECT unnest(['id', 'exito', 'sentimiento', 'minutos', 'flag', 'flag of all', 'sentiment', 'minutes',
+               'summary of all', 'phrases']) AS figure,
+       unnest([id, exito, sentimiento_prom::VARCHAR, duracion_prom_min::VARCHAR, exito, 'Varias',
+               sentimiento_prom::VARCHAR, duracion_prom_min::VARCHAR, 'Múltiples llamadas', phrases::VARCHAR]) AS value
+FROM kpis""",
+    "q43_detection_array": f"SELECT * EXCLUDE (turn_no) FROM ({DETECTIONS})",
+    "q44_united_detections": f"""
+WITH found AS ({DETECTIONS})
+SELECT *, 0 AS chunk_no FROM found UNION ALL SELECT *, NULL FROM found""",
+    "q45_comma_chunks": f"""
+WITH {TURNS}, cut AS (SELECT archivo, turn_no, {chunked('text', '[,;]')} AS chunks FROM turns)
+SELECT archivo, turn_no, unnest(range(len(chunks)))::INTEGER AS chunk_no, unnest(chunks) AS chunk FROM cut""",
+    "q46_failed_encodings": f"""
+{DETECTED}
+SELECT archivo, count(*) AS chunks, count(*) FILTER (length(chunk) % 11 = 0) AS failed FROM pieces GROUP BY archivo""",
+    "q47_sliced_catalog": f"""
+{SCORED} SELECT vec_id, cat_id, frase, round(similarity, 6) AS similarity FROM scored""",
 }

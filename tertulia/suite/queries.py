@@ -2,33 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tertulia.config import ReportOptions
 from tertulia.functions import prompts, text
 from tertulia.operators import calls, dashboard, parsing, reports, rules, scoring, semantic, turns
-from tertulia.plans import detection
+from tertulia.plans import calls as call_jobs
+from tertulia.plans import detection, objections
 from tertulia.sources import tables
-from tertulia.sources.staging import fresh_folder
-from tertulia.sources.transcripts import write_clean, write_reports
+from tertulia.sources.staging import fresh_folder, settle
+from tertulia.sources.transcripts import read_transcripts, with_rejects, write_clean, write_reports
+from tertulia.streaming import folders
 from tertulia.suite import inputs as I
 
 
 def turn_parse_full(spark: SparkSession, folder: str) -> DataFrame:
     parsed = parsing.parse_turns(I.conversation_transcripts(spark, folder))
     return parsed.select(
-        "archivo", I.place_in_call(), "speaker", "speaker_num", "timestamp", "start_sec", "text"
+        "archivo", "turn_no", "speaker", "speaker_num", "timestamp", "start_sec", "text"
     )
 
 
 def turn_parse_clean(spark: SparkSession, folder: str) -> DataFrame:
     texts = I.conversation_transcripts(spark, folder).withColumnRenamed("raw", "clean")
-    return parsing.parse_clean_turns(texts).select("archivo", I.place_in_call(), "speaker_num", "texto")
+    return parsing.parse_clean_turns(texts).select("archivo", "turn_no", "speaker_num", "texto")
 
 
 def turn_parse_metrics(spark: SparkSession, folder: str) -> DataFrame:
     parsed = parsing.parse_metric_turns(I.conversation_transcripts(spark, folder))
-    return parsed.select("archivo", I.place_in_call(), "speaker", "start_sec", "speech")
+    return parsed.select("archivo", "turn_no", "speaker", "start_sec", "speech")
 
 
 def clean_call(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,7 +97,7 @@ def prompt_texts(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id",
         prompts.objection_prompt(I.TEMPLATE, found.columns).alias("prompt"),
-        prompts.summary_prompt(F.col("frase_original")).alias("summary_prompt"),
+        prompts.summary_prompt(F.col("frase_original"), I.INSTRUCTION).alias("summary_prompt"),
     )
 
 
@@ -132,7 +137,7 @@ def call_kpis(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def per_call_means(spark: SparkSession, folder: str) -> DataFrame:
-    return dashboard.per_call_means(_final(spark, folder))
+    return dashboard.per_call_means(calls.named_calls(_metrics(I.conversation_turns(spark, folder))))
 
 
 def category_distribution(spark: SparkSession, folder: str) -> DataFrame:
@@ -170,7 +175,7 @@ def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return semantic.run_counts(_scored(spark, folder), I.THRESHOLD)
+    return semantic.run_counts(_scored(spark, folder), I.THRESHOLD).drop("failed")
 
 
 def review_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -181,7 +186,7 @@ def review_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def call_list(spark: SparkSession, folder: str) -> DataFrame:
-    return dashboard.call_list(_final(spark, folder))
+    return dashboard.call_list(calls.named_calls(_metrics(I.conversation_turns(spark, folder))))
 
 
 def phrase_detail(spark: SparkSession, folder: str) -> DataFrame:
@@ -244,8 +249,8 @@ def renumbered_turns(spark: SparkSession, folder: str) -> DataFrame:
 def _detected(spark: SparkSession, folder: str) -> DataFrame:
     transcripts = I.conversation_transcripts(spark, folder)
     pieces = detection.clean_and_chunk(transcripts, I.CLEANING, I.CHUNKING)
-    whole = pieces.select("archivo", I.place_in_call(), "chunk_no", "chunk")
-    return detection.detect(whole, I.RULES, I.make_encoder, I.LETTER_THRESHOLD)
+    whole = pieces.select("archivo", "turn_no", "chunk_no", "chunk")
+    return detection.detect(whole, I.RULES, I.make_encoder, I.LETTER_THRESHOLD)[0]
 
 
 def semantic_detection(spark: SparkSession, folder: str) -> DataFrame:
@@ -267,7 +272,7 @@ def summaries(spark: SparkSession, folder: str) -> DataFrame:
     texts = I.table(spark, folder, "documents").select(
         F.concat(F.lit("call_"), F.col("doc_id")).alias("archivo"), F.col("text").alias("raw")
     )
-    told, _ = scoring.summarise(texts, I.summary_by_length)
+    told, _ = scoring.summarise(texts, I.summary_by_length, I.INSTRUCTION)
     return told
 
 
@@ -306,6 +311,133 @@ def report_sink(spark: SparkSession, folder: str) -> DataFrame:
     return _flat_documents(spark.read.schema(parts.schema).json(path))
 
 
+def objection_job(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule job from transcripts, as rows."""
+    return objections.list_objections(I.conversation_transcripts(spark, folder), I.RULES)
+
+
+def report_job(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule job from transcripts, as nested reports with the client of each call, without turns."""
+    known = I.special_clients(I.conversation_turns(spark, folder))
+    transcripts = I.conversation_transcripts(spark, folder).join(known, "archivo", "left")
+    options = ReportOptions(include_turns=False)
+    made = objections.analyse_calls(transcripts, I.RULES, options, client="client")
+    entries = F.transform(
+        F.array_sort(F.map_entries("objection_types")), lambda e: F.concat(e["key"], F.lit(":"), e["value"])
+    )
+    details = F.transform(
+        "objections",
+        lambda o: F.concat_ws("|", o["type"], o["matched_text"], o["timestamp"], o["context_before"], o["context_after"]),
+    )
+    return made.select(
+        "file",
+        "total_turns",
+        "client_turns",
+        "objections_found",
+        F.array_join(entries, ",").alias("objection_types"),
+        F.round("avg_intensity", 6).alias("avg_intensity"),
+        F.array_join(details, "\n").alias("objections"),
+    )
+
+
+def corpus_job(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule job from transcripts, summed up; calls without turns count."""
+    stats = objections.analyse_corpus(I.sparse_transcripts(spark, folder), I.RULES)
+    return stats.select("total_files", "total_objections", F.round("avg_objections_per_file", 6).alias("mean"))
+
+
+def metrics_job(spark: SparkSession, folder: str) -> DataFrame:
+    """The metrics job from transcripts in which some turns are silent and some calls have none."""
+    return call_jobs.measure_calls(I.sparse_transcripts(spark, folder), I.make_classifier)
+
+
+def folder_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents written as files, one per source and language, and read back; large files are rejects."""
+    files = read_transcripts(spark, _document_files(spark, folder), max_bytes=I.FILE_LIMIT)
+    good, rejects = with_rejects(files)
+    return _scan_report(good.withColumn("parse_error", F.lit(None).cast("string")).unionByName(rejects))
+
+
+def folder_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same folder as a stream that runs until all is read, appended to a table."""
+    table = fresh_folder(spark, "streamed")
+    stream = folders.stream_transcripts(spark, _document_files(spark, folder), max_bytes=I.FILE_LIMIT)
+    folders.append_to(stream, table, fresh_folder(spark, "progress")).awaitTermination()
+    return _scan_report(spark.read.schema("archivo string, raw string, parse_error string").parquet(table))
+
+
+def _document_files(spark: SparkSession, folder: str) -> str:
+    path = fresh_folder(spark, "files")
+    texts = I.table(spark, folder, "documents").select("source", "lang", "text")
+    texts.repartition("source", "lang").write.partitionBy("source", "lang").text(path)
+    return f"{path}/*/*"
+
+
+def _scan_report(files: DataFrame) -> DataFrame:
+    return files.groupBy("parse_error").agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.length("raw")), F.lit(0)).alias("chars")
+    )
+
+
+def one_call(spark: SparkSession, folder: str) -> DataFrame:
+    """The dashboard's figures of the first call by name, one row each."""
+    final = settle(_final(spark, folder))
+    name = final.agg(F.min("archivo")).first()[0]
+    head = dashboard.call_kpis(final, name)
+    figures = [
+        head.select(F.lit("id").alias("figure"), F.col("id_llamada").alias("value")),
+        head.select(F.lit("exito"), F.col("exito")),
+        head.select(F.lit("sentimiento"), F.col("sentimiento_prom").cast("string")),
+        head.select(F.lit("minutos"), F.col("duracion_prom_min").cast("string")),
+        dashboard.success_flag(final, name).select(F.lit("flag"), "exito"),
+        dashboard.success_flag(final).select(F.lit("flag of all"), "exito"),
+        dashboard.sentiment_kpi(final, name).select(F.lit("sentiment"), F.col("sentimiento_prom").cast("string")),
+        dashboard.duration_kpi(final, name).select(F.lit("minutes"), F.col("duracion_prom_min").cast("string")),
+        dashboard.call_summary(final).select(F.lit("summary of all"), "resumen"),
+        dashboard.phrase_detail(final, name).agg(F.lit("phrases"), F.count("frase_original").cast("string")),
+    ]
+    return reduce(DataFrame.union, figures)
+
+
+def detection_array(spark: SparkSession, folder: str) -> DataFrame:
+    """Detections as JSON arrays, one file per call."""
+    path = fresh_folder(spark, "arrays")
+    found = semantic.detections(_scored(spark, folder), I.THRESHOLD).drop("turn_no", "chunk_no")
+    names = [c for c in found.columns]
+    rows = found.groupBy("archivo_origen").agg(F.to_json(F.array_sort(F.collect_list(F.struct(*names)))).alias("value"))
+    rows.select("value", F.regexp_replace("archivo_origen", "[^a-z0-9_]", "").alias("call")).repartition(
+        "call"
+    ).write.partitionBy("call").text(path)
+    return tables.read_detections(spark, path).drop("call")
+
+
+def united_detections(spark: SparkSession, folder: str) -> DataFrame:
+    """Detections of two folders, one of which has no places."""
+    found = semantic.detections(_scored(spark, folder), I.THRESHOLD)
+    return semantic.union_detections(found, found.drop("chunk_no"))
+
+
+def comma_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks with a caller's sentence splitter."""
+    spoken = I.conversation_turns(spark, folder).select("archivo", "turn_no", F.col("text").alias("texto"))
+    return semantic.chunk_turns(spoken, I.CHUNKING, semantic.split_with(I.split_at_commas))
+
+
+def failed_encodings(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of a run in which the encoder fails on some chunks: they stay counted."""
+    pieces = detection.clean_and_chunk(I.conversation_transcripts(spark, folder), I.CLEANING, I.CHUNKING)
+    scored = detection.score(pieces, I.RULES, I.make_fussy_encoder, I.make_encoder)
+    return semantic.run_counts(scored, I.LETTER_THRESHOLD).select("archivo", "chunks", "failed")
+
+
+def small_catalog_slices(spark: SparkSession, folder: str) -> DataFrame:
+    """The best match with a catalog that is sent in many slices: the same rows as in one."""
+    scored = semantic.best_match(I.vector_chunks(spark, folder), I.label_centroids(spark, folder), slice_bytes=1500)
+    return scored.select(
+        F.col("turn_no").alias("vec_id"), "cat_id", "frase", F.round("similarity", 6).alias("similarity")
+    )
+
+
 QUERIES = {
     "q01_turn_parse_full": turn_parse_full,
     "q02_turn_parse_clean": turn_parse_clean,
@@ -345,4 +477,16 @@ QUERIES = {
     "q33_delimited_round_trip": delimited_round_trip,
     "q34_detection_files": detection_files,
     "q35_report_sink": report_sink,
+    "q36_objection_job": objection_job,
+    "q37_report_job": report_job,
+    "q38_corpus_job": corpus_job,
+    "q39_metrics_job": metrics_job,
+    "q40_folder_scan": folder_scan,
+    "q41_folder_stream": folder_stream,
+    "q42_one_call": one_call,
+    "q43_detection_array": detection_array,
+    "q44_united_detections": united_detections,
+    "q45_comma_chunks": comma_chunks,
+    "q46_failed_encodings": failed_encodings,
+    "q47_sliced_catalog": small_catalog_slices,
 }

@@ -1,7 +1,6 @@
 """Random transcripts: the array expressions against plain Python over lines."""
 
 import re
-import unicodedata
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -42,21 +41,6 @@ def spoken(text):
     return [(number, " ".join(words)) for number, words in turns]
 
 
-def words(text):
-    letters = [c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn"]
-    return " ".join(re.sub(r"\W", " ", "".join(letters)).split())
-
-
-def cleaned(text):
-    def line(value):
-        kept = value.strip()
-        if header := re.match(r"(Speaker\s+\d+:.*?\})\s*(.*)$", value):
-            return (header[1] + " " + words(header[2])).strip()
-        return value if not kept or kept.startswith("---") else words(value)
-
-    return "\n".join(map(line, text.splitlines()))
-
-
 @OFTEN
 @given(texts=CALLS)
 def test_full_turns(spark, texts):
@@ -91,8 +75,32 @@ def test_clean_turns(spark, texts):
     assert grouped(df, texts, "speaker_num", "texto") == [spoken(t) for t in texts]
 
 
+CLEANED = {
+    "Speaker 1: { 0:01 }  ¡Hola, QUÉ tal!": "Speaker 1: { 0:01 } hola que tal",
+    "Speaker  3:{ 75:00}": "Speaker  3:{ 75:00}",
+    "Speaker 4: sin hora": "speaker 4 sin hora",
+    "  Speaker 1: { 0:30 } Eh": "speaker 1 0 30 eh",
+    " ---   fin   --- ": " ---   fin   --- ",
+    "a\n\n \t\nB.": "a\n\n \t\nb",
+    "Ñandú; über.\r\nUNO": "nandu uber\nuno",
+    "x\n": "x",
+    "": "",
+}
+
+
+def test_clean_call(spark):
+    df = parsing.clean_call(table(spark, list(CLEANED), "raw")).orderBy("archivo")
+    assert [r.clean for r in df.collect()] == list(CLEANED.values())
+
+
 @OFTEN
 @given(texts=CALLS)
-def test_clean_call(spark, texts):
-    df = parsing.clean_call(table(spark, texts, "raw")).orderBy("archivo")
-    assert [r.clean for r in df.collect()] == [cleaned(t) for t in texts]
+def test_cleaning_keeps_headers_and_lines(spark, texts):
+    once = [r.clean for r in parsing.clean_call(table(spark, texts, "raw")).orderBy("archivo").collect()]
+    header = re.compile(r"^Speaker\s+\d+:.*?\}", re.MULTILINE)
+    for text, clean in zip(texts, once, strict=True):
+        assert len(clean.split("\n")) == max(1, len(text.splitlines()))
+        # ``$`` of the lines: what a header line keeps is the header itself
+        assert [h for line in text.splitlines() for h in header.findall(line)] == header.findall(clean)
+    twice = parsing.clean_call(table(spark, once, "raw")).orderBy("archivo")
+    assert [r.clean for r in twice.collect()] == [c.removesuffix("\n") for c in once]

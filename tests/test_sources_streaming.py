@@ -29,6 +29,22 @@ def test_large_files_are_reported(spark, folder):
     assert [(r.archivo, r.parse_error) for r in rejects.collect()] == [("big.txt", "file too large")]
 
 
+def test_empty_files_are_empty_transcripts(spark, folder):
+    path = folder(none__txt="", one__txt="x", other__json="")
+    good, rejects = transcripts.with_rejects(transcripts.read_transcripts(spark, path))
+    assert {r.archivo: r.raw for r in good.collect()} == {"none.txt": "", "one.txt": "x"} and rejects.count() == 0
+    assert {r.file: r.total_turns for r in objections.analyse_calls(good, RULES).collect()} == {"none.txt": 0, "one.txt": 0}
+
+
+def test_stream_has_the_rows_of_the_batch(spark, folder, tmp_path):
+    path = folder(none__txt="", one__txt="x", big__txt="y" * 300, bad__txt=b"\xff")
+    stream = folders.stream_transcripts(spark, path, max_bytes=100)
+    out = str(tmp_path / "out" / "rows")
+    folders.append_to(stream, out, str(tmp_path / "out" / "state")).awaitTermination()
+    rows = lambda df: sorted(tuple(str(v) for v in r) for r in df.collect())
+    assert rows(spark.read.parquet(out)) == rows(transcripts.read_transcripts(spark, path, max_bytes=100))
+
+
 def test_empty_folder(spark, folder):
     assert transcripts.read_transcripts(spark, folder()).count() == 0
 
@@ -78,4 +94,5 @@ def test_streamed_documents_equal_batch(spark, tmp_path):
         stream, lambda df: parsing.parse_turns(df).groupBy("archivo").count(), str(tmp_path / "n"), str(tmp_path / "s3")
     )
     counts.awaitTermination()
-    assert [(r.archivo, r["count"]) for r in spark.read.parquet(str(tmp_path / "n")).collect()] == [("a.txt", 2)]
+    assert [(r.archivo, r["count"]) for r in spark.read.parquet(str(tmp_path / "n" / "results")).collect()] == [("a.txt", 2)]
+    assert [r.archivo for r in spark.read.parquet(str(tmp_path / "n" / "rejects")).collect()] == ["bad.txt"]
