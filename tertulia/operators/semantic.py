@@ -159,7 +159,7 @@ def best_match(chunks: DataFrame, catalog: DataFrame, slice_bytes: int = SLICE_B
         part = part.select("cat_id", "embedding").toArrow().sort_by("cat_id")  # bounded by slice_bytes
         best = F.greatest(best, _nearest(chunks, part)("embedding")) if i else _nearest(chunks, part)("embedding")
         if i % SLICES_PER_PASS == SLICES_PER_PASS - 1 and i < slices - 1:
-            chunks = settle(chunks.drop("_best").withColumn("_best", best))
+            chunks = settle(chunks.withColumn("_best", best))
             best = F.col("_best")
     found = chunks.withColumn("_near", best).select(
         *[c for c in chunks.columns if c != "_best"],

@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a scratch folder only in local mode with none set."""
+    """Folder named by ``spark.checkpoint.dir``; a scratch folder only in local mode with none set.
+
+    Checkpoints that are no longer used go with ``spark.cleaner.referenceTracking.cleanCheckpoints``; tables written
+    to fresh folders stay until whoever runs the session removes the folder.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="tertulia-checkpoint-")
     context.setCheckpointDir(folder)

@@ -21,24 +21,33 @@ def read_transcripts(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_B
     """``archivo, raw, parse_error``: one row per ``*.txt`` file of the folder, subfolders left out.
 
     Files that cannot be used are kept as rows with ``parse_error`` set; see ``with_rejects``. A file of zero bytes is
-    an empty transcript. The text reader leaves such files out, so they come from the listing of all files, which
-    also finds those too large to be read; neither reads a file's content.
+    an empty transcript. Spark's readers skip such files, so they are what the listing, which the driver holds for the
+    scan anyway, has beyond the files with content. Neither they nor files too large are opened.
     """
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt")
-    usable = files.where(F.col("_metadata.file_size").between(1, max_bytes)).select(
+    usable = files.where(F.col("_metadata.file_size") <= max_bytes).select(
         file_key().alias("archivo"), *checked_text(F.col("value"))
     )
     names = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    return usable.unionByName(unread_files(names, max_bytes))
+    listed = spark.createDataFrame([(name,) for name in files.inputFiles()], "path string")
+    place = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:/*", "/")
+    known = names.select(F.regexp_replace("path", "^[a-z0-9]+:/*", "/").alias("place"))
+    empty = listed.select(place.alias("place")).join(known, "place", "left_anti")
+    return usable.unionByName(large_files(names, max_bytes)).unionByName(
+        empty.select(
+            F.regexp_extract("place", "[^/]*$", 0).alias("archivo"),
+            F.lit("").alias("raw"),
+            F.lit(None).cast("string").alias("parse_error"),
+        )
+    )
 
 
-def unread_files(names: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Empty files as empty transcripts, and files too large for one value as rejects, from a listing of files."""
-    large = F.col("length") > max_bytes
-    return names.where(large | (F.col("length") == 0)).select(
-        file_key(F.regexp_extract("path", "[^/]*$", 0)).alias("archivo"),
-        F.when(~large, F.lit("")).alias("raw"),
-        F.when(large, F.lit("file too large")).alias("parse_error"),
+def large_files(names: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Files too large for one value as rejects, from a listing of files."""
+    return names.where(F.col("length") > max_bytes).select(
+        F.regexp_extract("path", "[^/]*$", 0).alias("archivo"),
+        F.lit(None).cast("string").alias("raw"),
+        F.lit("file too large").alias("parse_error"),
     )
 
 

@@ -16,23 +16,24 @@ from tertulia.config import ReportOptions, RuleSet
 from tertulia.operators.reports import call_documents
 from tertulia.plans.objections import list_objections
 from tertulia.sources.staging import settle
-from tertulia.sources.transcripts import MAX_FILE_BYTES, checked_text, file_key, unread_files
+from tertulia.sources.transcripts import MAX_FILE_BYTES, checked_text, file_key, large_files
 
 
 def stream_transcripts(
     spark: SparkSession, path: str, files_per_batch: int = 100_000, max_bytes: int = MAX_FILE_BYTES
 ) -> DataFrame:
-    """``archivo, raw, parse_error`` of new ``*.txt`` files, with the rows ``read_transcripts`` gives.
+    """``archivo, raw, parse_error`` of new ``*.txt`` files, with the rows ``read_transcripts`` gives, but for files of
+    zero bytes: they have nothing to analyse and the source skips them.
 
-    Texts, and the listing for empty and too large files, are two streams over the folder, united.
+    Texts, and the listing for files that are too large, are two streams over the folder, united.
     """
     limit = {"maxFilesPerTrigger": files_per_batch, "pathGlobFilter": "*.txt"}
     files = spark.readStream.options(**limit).text(path, wholetext=True)
-    usable = files.where(F.col("_metadata.file_size").between(1, max_bytes))
+    usable = files.where(F.col("_metadata.file_size") <= max_bytes)
     listing = spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary")
     names = listing.format("binaryFile").options(**limit).load(path)
     texts = usable.select(file_key().alias("archivo"), *checked_text(F.col("value")))
-    return texts.unionByName(unread_files(names, max_bytes))
+    return texts.unionByName(large_files(names, max_bytes))
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:

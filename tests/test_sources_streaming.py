@@ -30,14 +30,14 @@ def test_large_files_are_reported(spark, folder):
 
 
 def test_empty_files_are_empty_transcripts(spark, folder):
-    path = folder(none__txt="", one__txt="x", other__json="")
+    path = folder(**{"no ñe+%20__txt": "", "one__txt": "x", "other__json": ""})
     good, rejects = transcripts.with_rejects(transcripts.read_transcripts(spark, path))
-    assert {r.archivo: r.raw for r in good.collect()} == {"none.txt": "", "one.txt": "x"} and rejects.count() == 0
-    assert {r.file: r.total_turns for r in objections.analyse_calls(good, RULES).collect()} == {"none.txt": 0, "one.txt": 0}
+    assert {r.archivo: r.raw for r in good.collect()} == {"no ñe+%20.txt": "", "one.txt": "x"} and rejects.count() == 0
+    assert {r.file: r.total_turns for r in objections.analyse_calls(good, RULES).collect()} == {"no ñe+%20.txt": 0, "one.txt": 0}
 
 
 def test_stream_has_the_rows_of_the_batch(spark, folder, tmp_path):
-    path = folder(none__txt="", one__txt="x", big__txt="y" * 300, bad__txt=b"\xff")
+    path = folder(**{"1 a+é%20__txt": "x", "big__txt": "y" * 300, "bad__txt": b"\xff"})
     stream = folders.stream_transcripts(spark, path, max_bytes=100)
     out = str(tmp_path / "out" / "rows")
     folders.append_to(stream, out, str(tmp_path / "out" / "state")).awaitTermination()

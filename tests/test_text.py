@@ -47,7 +47,7 @@ def test_no_mark_is_left_and_once_is_enough(spark, values):
 CLEAN = {
     "  EH, ¿Qué tal?\n Todo-bien  ": "que tal todo bien",
     "o seaañadir, o_sea": "anadir o_sea",
-    "leheme 3.5 €": "l me 3 5",
+    "leheme 3.5 €": "l eme 3 5",
     "..\t!!": "",
 }
 
