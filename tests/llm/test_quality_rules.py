@@ -1,0 +1,103 @@
+"""Quality classifier and quality rules."""
+
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tertulia.llm import quality, rules
+
+GOOD = "the cat and the dog went to the house of the man in the rain and it was late"
+BAD = "buy$$$ now### cheap%%% click&&& here*** win### free$$$ sale%%%"
+
+
+def corpus(n=600):
+    rng = np.random.RandomState(0)
+    rows, labels = [], []
+    for i in range(n):
+        good = i % 4 != 0
+        words = (GOOD if good else BAD).split()
+        text = " ".join(words[k] + ("" if good else "!") for k in rng.randint(0, len(words), 40))
+        rows.append((i, text))
+        labels.append((i, int(good)))
+    return rows, labels
+
+
+def test_held_out_accuracy(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality.train(docs, known)
+    truth = dict(labels)
+    out = quality.with_score(docs, model).select("doc_id", "score", quality.held_out(F.col("doc_id")).alias("held")).collect()
+    assert {r.doc_id: r.held for r in out} == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _ in rows}
+    held = [r for r in out if r.held]
+    assert held and all(0 <= r.score <= 1 for r in out)
+    assert np.mean([(r.score >= 0.7) == truth[r.doc_id] for r in held]) >= 0.98
+
+
+def test_held_out_labels_are_never_used(spark):
+    rows, labels = corpus(200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    flipped = [(i, 1 - y if zlib.crc32(str(i).encode()) % 4 == 2 else y) for i, y in labels]
+    one, other = (quality.train(docs, spark.createDataFrame(x, "doc_id long, quality int")) for x in (labels, flipped))
+    assert (one.weights == other.weights).all()
+
+
+def test_classifier_edges(spark):
+    docs = spark.createDataFrame([(1, None), (None, ""), (1, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    rows = quality.with_score(docs, model).withColumn("p", quality.predicted(F.col("score"), model)).collect()
+    assert [(r.score, r.p) for r in rows] == [(0.5, 1)] * 3
+    assert quality.with_score(docs.limit(0), model).count() == 0
+    twice = spark.createDataFrame([(1, None), (1, 0), (2, None)], "doc_id long, quality int")
+    assert quality.train(docs, twice).weights.any()
+
+
+def expected(text):
+    own = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    windows = {}
+    for i in range(len(own) - 4):
+        windows.setdefault(tuple(own[i : i + 5]), []).append(i)
+    covered = {k for places in windows.values() if len(places) > 1 for i in places for k in range(i, i + 5)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n = len(own)
+    return (
+        n, sum(map(len, own)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered),
+        n < 10 or 100 * len(covered) > 20 * n,
+    )
+
+
+TEXTS = [
+    None, "", " \t\n\x0b\x0c\r ", "one", "a b c d e a b c d e", "a a a a a a a", "a a a a a a a a b c d e f",
+    "l1\nl1\n\n \n l1\nl2\nl2", "x\u00a0y z # * $ % & | < > ", "w1 w2 w3 w4 w5 x w1 w2 w3 w4 w5 y w2 w3 w4 w5 y " + "q " * 40,
+    "é👍 ü " * 30, " ".join(f"w{i % 50}" for i in range(5000)), " ".join(f"u{i}" for i in range(3000)), "a" * 200_000,
+]
+
+
+def test_counts_of_the_rules(spark):
+    docs = spark.createDataFrame(list(enumerate([*TEXTS, TEXTS[4]])), "doc_id long, text string").withColumn("kept", F.lit(9))
+    flat = rules.LogRatios((0.0,) * rules.BUCKETS)
+    got = rules.with_rules(docs, flat).orderBy("doc_id").collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert [tuple(r[n] for n in names) for r in got] == [expected(t) for t in [*TEXTS, TEXTS[4]]]
+    assert [r.kept for r in got] == [not r.base_failed for r in got]
+
+
+def test_log_ratios(spark):
+    rows, labels = corpus(400)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    ratios = rules.fit(docs, rules.trusted_ids(known), buckets=256)
+    got = {r.doc_id: r.log_ratio for r in rules.with_rules(docs, ratios).collect()}
+    good = [got[i] for i, y in labels if y]
+    bad = [got[i] for i, y in labels if not y]
+    assert min(good) > 0 > rules.THRESHOLD > max(bad)
+    # by hand: counts of hashed tokens and pairs, smoothed by one
+    mean = docs.where("doc_id = 1").select(rules.ngram_buckets(F.col("text"), 256).alias("b")).first().b
+    assert got[1] == pytest.approx(np.mean([ratios.values[b] for b in mean]), abs=1e-6)
+    none = rules.fit(docs.limit(0), rules.trusted_ids(known.limit(0)), buckets=16)
+    assert none.values == (0.0,) * 16
