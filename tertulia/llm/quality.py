@@ -2,18 +2,20 @@
 
 Tokens are runs of letters and digits, or of other visible characters; features are single tokens and pairs (a token
 repeated at once is one feature of its own), hashed to a fixed table. The value of a feature is the logarithm of one
-plus its count, over the norm of the document. Scoring is a sparse dot product with a weight table of fixed size.
+plus its count, over the norm of the document. Scoring is a sparse dot product with a weight table of fixed size,
+added to the log odds of a good document among those learnt from, so a text says nothing until its features do.
 
 Training takes a bounded sample of the labelled rows (``TRAIN_ROWS``, by a hash of the id). The sample is dealt over
 several tasks; each follows the regularised leader over its share, and the weights are averaged.
 
-Defined results: null and empty texts have no features and get the score of the bias. A document with several labels
+Defined results: null and empty texts have no features and score the share of good documents. A document with several labels
 counts as good if their mean is at least one half; null labels are ignored. Without labels every score is 0.5 and
 nothing is rejected. Rows are never merged, other columns stay, columns named like results are replaced.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,14 +35,14 @@ BITS = 18
 TRAIN_ROWS = 16_000
 TASKS, EPOCHS = 8, 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.0
-#: Added to a document's norm, so that a few unknown words do not outweigh the bias.
-EASE = 4.0
+#: Added to a document's squared norm, so that a few unknown words do not outweigh the prior.
+EASE = 12.0
 #: Score from which a document counts as good.
 ACCEPTED = 0.7
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFT = np.uint64(64 - BITS)
-BIAS, SAME = 0, 1  # features of their own
+SAME = 0  # a feature of its own
 
 
 def held_out(doc_id: Column) -> Column:
@@ -52,7 +54,7 @@ _codes = Memo(lambda token: zlib.crc32(token.encode()))
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted feature numbers of a text and their values, the bias first."""
+    """Sorted feature numbers of a text and their values."""
     tokens = _TOKEN.findall(text or "")
     own = np.fromiter(map(_codes.__getitem__, tokens), np.uint64, len(tokens))
     single = own * _A >> _SHIFT
@@ -60,7 +62,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     found, counts = np.unique(np.concatenate((single, pairs)), return_counts=True)
     values = np.log1p(counts)
     values = values / np.sqrt(values @ values + EASE)
-    return np.concatenate(([BIAS], found)).astype(np.int64), np.concatenate(([1.0], values))
+    return found.astype(np.int64), values
 
 
 def probability(margin):
@@ -78,33 +80,34 @@ class Leader:
         shrunk = np.sign(z) * L1 - z
         return np.where(np.abs(z) <= L1, 0.0, shrunk / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2))
 
-    def learn(self, at: np.ndarray, values: np.ndarray, label: float) -> None:
+    def learn(self, at: np.ndarray, values: np.ndarray, label: float, prior: float) -> None:
         weights = self.weights(at)
-        gradient = (probability(weights @ values) - label) * values
+        gradient = (probability(prior + weights @ values) - label) * values
         squares = self.n[at]
         rate = (np.sqrt(squares + gradient**2) - np.sqrt(squares)) / ALPHA
-        np.add.at(self.z, at, gradient - rate * weights)
-        np.add.at(self.n, at, gradient**2)
+        self.z[at] += gradient - rate * weights  # the numbers of a text are distinct
+        self.n[at] += gradient**2
 
 
-def _train(rows: pd.DataFrame) -> pd.DataFrame:
+def _train(rows: pd.DataFrame, prior: float) -> pd.DataFrame:
     """Weights of one share of the sample, in an order that only depends on its rows."""
     rows = rows.sort_values(["order", "text"], na_position="first")
     examples = [(*features(t), float(y)) for t, y in zip(rows["text"], rows["label"], strict=True)]
     leader, order = Leader(), np.random.RandomState(0)
     for _ in range(EPOCHS):
         for i in order.permutation(len(examples)):
-            leader.learn(*examples[i])
+            leader.learn(*examples[i], prior)
     return pd.DataFrame({"weights": [leader.weights().astype("<f4").tobytes()]})
 
 
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray  # 2**BITS numbers
+    prior: float  # log odds
 
     def score(self, text: str | None) -> float:
         at, values = features(text)
-        return float(probability(self.weights[at] @ values))
+        return float(probability(self.prior + self.weights[at] @ values))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -117,12 +120,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         "doc_id", (F.col("mean") >= 0.5).cast("double").alias("label"), order.alias("order")
     )
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # about ``rows`` rows of three numbers
+    count, good = sample.agg(F.count("*"), F.sum("label")).first()
+    prior = math.log(((good or 0) + 1) / (count - (good or 0) + 1))
     shares = joined.select("text", "label", "order", F.pmod(F.shiftright("order", 32), F.lit(TASKS)).alias("share"))
-    learnt = shares.groupBy("share").applyInPandas(_train, "weights binary").collect()  # at most TASKS tables
+    learnt = shares.groupBy("share").applyInPandas(lambda rows: _train(rows, prior), "weights binary").collect()  # at most TASKS tables
     if not learnt:
-        return Model(np.zeros(1 << BITS, np.float32))
+        return Model(np.zeros(1 << BITS, np.float32), 0.0)
     tables = [np.frombuffer(row["weights"], "<f4") for row in learnt]
-    return Model(np.sort(np.stack(tables), axis=0).mean(axis=0).astype(np.float32))
+    mean = np.sort(np.stack(tables), axis=0).mean(axis=0)  # sorted: the order of the shares must not matter
+    return Model(mean.astype(np.float32), prior)
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
