@@ -26,7 +26,7 @@ BUCKETS = 1 << 14
 #: About so many trusted documents, chosen by a hash of their id, give the trusted multinomial.
 TRUSTED_ROWS = 20_000
 #: Least mean log ratio of a document that is kept.
-THRESHOLD = -0.3
+THRESHOLD = -0.45
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 SPACE = r"[\x20\x09-\x0D]+"
 SHORT_WORDS, WINDOW, REPEATED_PERCENT = 10, 5, 20
