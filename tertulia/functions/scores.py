@@ -31,14 +31,3 @@ def verdict(answer: Column, keywords: Sequence[str]) -> Column:
     if not keywords:
         return F.when(answer.isNotNull(), F.lit(False))
     return reduce(or_, (text.contains(word) for word in keywords))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of numbers in double precision; 0 when one has no length."""
-
-    def dot(x: Column, y: Column) -> Column:
-        products = F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
-        return F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
-
-    length = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(length > 0, dot(a, b) / length).otherwise(F.lit(0.0))

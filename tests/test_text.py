@@ -162,11 +162,6 @@ def test_scores(spark):
     assert lower == [False]
 
 
-def test_cosine(spark):
-    df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
-    assert [round(r[0], 12) for r in df.select(scores.cosine(F.col("a"), F.col("b"))).collect()] == [0.96, 0.0]
-
-
 def test_prompts(spark):
     df = spark.createDataFrame([("¿{phrase}?", None)], "frase_original string, categoria string")
     made = df.select(prompts.objection_prompt("{{x}} {phrase}/{category}/{obj_type}.", df.columns)).first()[0]
