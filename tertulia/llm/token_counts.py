@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from tertulia.llm.vocabulary import PATTERN, Memo, fold_merges, read_merges, single_spaced
 
+#: Words, beginnings of words, and chunks that a worker remembers: about 100 MB.
+MEMO = 300_000
 #: Texts within this range are cut into words here; the character tables of newer alphabets differ between
 #: libraries, so other texts are cut by the tokenizer's own library.
 _BEYOND = re.compile("[^\x00-ӿ]")
@@ -42,8 +44,8 @@ class PrefixCounter:
         self.longest = max(map(len, self.pieces))
         self.words = regex.compile(PATTERN)
         self.fit = Memo(lambda pair: fold_merges(pair[0] + pair[1], self.pair_ranks) == [*pair], 400_000)
-        self.stems = Memo(self._states)
-        self.word, self.spaced = Memo(self._word), Memo(lambda chunk: self._words(f" {chunk}"))
+        self.stems = Memo(self._states, MEMO)
+        self.word, self.spaced = Memo(self._word, MEMO), Memo(lambda chunk: self._words(f" {chunk}"), MEMO)
         self.split_special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         from tokenizers import pre_tokenizers
 
