@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tertulia.llm.common import slices
 from tertulia.llm.vocabulary import PATTERN, UNRANKED, PairRanks, fold_merges, read_ranks
 
 #: Code points of the texts whose distinct words are encoded together.
@@ -144,7 +145,7 @@ def with_ids(df: DataFrame, path: str, text: str = "text", name: str = "ids") ->
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(path, ranks.value)
-        for batch in batches:
+        for batch in slices(batches, 1024):
             found = [encoder.encode(part) for part in _slices([t or "" for t in batch.to_pylist()])]
             ids, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
@@ -160,7 +161,7 @@ def with_decoded(df: DataFrame, path: str, ids: str = "ids", name: str = "decode
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = {rank: piece for piece, rank in ranks.value.items()}
-        for batch in batches:
+        for batch in slices(batches):
             values, offsets = batch.values.to_numpy(), batch.offsets.to_numpy()
             valid = batch.is_valid().to_pylist()
             # one row's ids at a time are Python objects

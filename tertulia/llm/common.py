@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +38,11 @@ def spans_text(spans: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once per row, however often the body or its lambdas use it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def slices(batches: Iterator, rows: int = 256) -> Iterator:
+    """The Arrow arrays of batches, or tuples of arrays, ``rows`` at a time, so that few rows are Python objects."""
+    for batch in batches:
+        several = isinstance(batch, tuple)
+        for at in range(0, len(batch[0] if several else batch), rows):
+            yield tuple(a.slice(at, rows) for a in batch) if several else batch.slice(at, rows)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tertulia.llm.common import slices
+
 WINDOW_WORDS = 13
 PART_BYTES = 8 << 20
 HITS = "struct<n_words:long,words:array<struct<first:int,last:int,start:int,end:int>>,items:array<string>>"
@@ -127,7 +129,7 @@ def _scan(items, size: int):
                 ("items", pa.list_(pa.string())),
             ]
         )
-        for batch in batches:
+        for batch in slices(batches):
             scanner = scanner or Scanner(items.value, size)
             yield pa.array([scanner.scan(t) for t in batch.to_pylist()], kind)
 

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tertulia.llm.common import slices
 from tertulia.llm.vocabulary import Memo
 
 #: Size of the feature table.
@@ -138,7 +139,7 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "s
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.array([own.score(t) for t in batch.to_pylist()], pa.float64())
 
     return docs.withColumn(name, score(F.col(text)))

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tertulia.llm.common import slices
+
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem", "key", "ssh", "signed")
 SPAN = "struct<kind:string,start:int,end:int>"
@@ -176,7 +178,7 @@ def with_secret_spans(df: DataFrame, text: str = "text", name: str = "secret_spa
     @F.arrow_udf(f"array<{SPAN}>")
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in slices(batches):
             rows = [[{"kind": k, "start": a, "end": b} for k, a, b in all_spans(t)] for t in batch.to_pylist()]
             yield pa.array(rows, kind)
 
@@ -190,7 +192,7 @@ def with_redacted(
 
     @F.arrow_udf("string")
     def redact(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, found in batches:
+        for texts, found in slices(batches):
             out = []
             for t, own in zip(texts.to_pylist(), found.to_pylist(), strict=True):
                 if t and own:

@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tertulia.llm.common import slices
 from tertulia.llm.vocabulary import PATTERN, Memo, fold_merges, read_merges, single_spaced
 
 #: Words, beginnings of words, and chunks that a worker remembers: about 100 MB.
@@ -148,7 +149,7 @@ def with_prefix_counts(df: DataFrame, path: str, text: str = "text", name: str =
     @F.arrow_udf("array<int>")
     def prefix_counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = _counter(path)
-        for batch in batches:
+        for batch in slices(batches):
             arrays = [counter.counts(t or "") for t in batch.to_pylist()]
             offsets = np.zeros(len(arrays) + 1, np.int32)
             np.cumsum([len(a) for a in arrays], out=offsets[1:])
