@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tertulia.llm.common import slices
 from tertulia.llm.components import components
 from tertulia.llm.vocabulary import Memo
 from tertulia.sources.staging import settle
@@ -104,7 +105,6 @@ def sketch(text: str | None) -> dict:
     }
 
 
-@F.arrow_udf(SKETCH)
 def _sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kind = pa.struct(
         [
@@ -115,7 +115,7 @@ def _sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             ("marks", pa.binary()),
         ]
     )
-    for batch in batches:
+    for batch in slices(batches):
         yield pa.array([sketch(t) for t in batch.to_pylist()], kind)
 
 
@@ -124,18 +124,16 @@ def agreement(equal):
     return (equal * 256 - 1) / 255
 
 
-@F.arrow_udf("boolean")
 def _agree(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for left, right in batches:
+    for left, right in slices(batches, 2048):
         one, other = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, MINIMA) for x in (left, right))
         yield pa.array(agreement((one == other).mean(axis=1)) >= AGREEING)
 
 
-@F.arrow_udf("boolean")
 def _linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Whether two texts are linked, on their full sets."""
-    for left, right in batches:
-        known = Memo(shingles, most=200, longest=1 << 30)
+    known = Memo(shingles, most=64, longest=1 << 30)
+    for left, right in slices(batches, 64):
         out = []
         for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
             one, other = known[a or ""], shingles(b)
@@ -156,7 +154,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     joined = pairs.join(own.select(F.col("id").alias("u"), F.col("text").alias("one")), "u").join(
         own.select(F.col("id").alias("v"), F.col("text").alias("other")), "v"
     )
-    return joined.filter(_linked("one", "other")).select("u", "v").distinct()
+    return joined.filter(F.arrow_udf(_linked, "boolean")("one", "other")).select("u", "v").distinct()
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -167,8 +165,12 @@ def _buckets(classes: DataFrame) -> DataFrame:
 
 
 def _compare(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block pair that lie in different components and whose sketches agree."""
+    """Pairs of one block pair that lie in different components and whose sketches agree.
+
+    A pair that shares several buckets is left to the first of its shared keys.
+    """
     rows = rows.sort_values("id")
+    own, keys = rows["key"].iloc[0], np.stack(rows["keys"].to_numpy())
     ids, parts, sizes, blocks = (rows[c].to_numpy() for c in ("id", "component", "n", "block"))
     marks = np.frombuffer(b"".join(rows["marks"]), np.uint8).reshape(-1, MINIMA)
     low, high = rows["low"].iloc[0], rows["high"].iloc[0]
@@ -182,6 +184,7 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
         after += i + 1
         if len(after):
             after = after[agreement((marks[after] == marks[i]).mean(axis=1)) >= AGREEING]
+            after = after[keys[i][(keys[after] == keys[i]).argmax(axis=1)] == own]
             first += [ids[i]] * len(after)
             second += ids[after].tolist()
     return pd.DataFrame({"u": np.array(first, np.int64), "v": np.array(second, np.int64)})
@@ -192,19 +195,28 @@ def _hidden_pairs(members: DataFrame, classes: DataFrame, parts: DataFrame) -> D
     placed = members.select("key", "id", "size").join(parts.withColumnRenamed("node", "id"), "id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "id"))
     several = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
-    rows = placed.join(several.select("key"), "key", "left_semi").join(classes.select("id", "n", "marks"), "id")
+    rows = placed.join(several.select("key"), "key", "left_semi").join(classes.select("id", "n", "marks", "keys"), "id")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("key", "id", "component", "n", "marks", "block", others.alias("partner"))
+    rows = rows.select("key", "id", "component", "n", "marks", "keys", "block", others.alias("partner"))
     rows = rows.withColumn("low", F.least("block", "partner")).withColumn("high", F.greatest("block", "partner"))
     return rows.groupBy("key", "low", "high").applyInPandas(_compare, "u long, v long").distinct()
 
 
+def _same_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links from an id that several different texts bear to the classes of those texts."""
+    found = F.xxhash64("left", "right", "n")
+    twice = rows.filter("n > 0").groupBy("id").agg(F.min(found).alias("a"), F.max(found).alias("b")).filter("a <> b")
+    bearers = rows.filter("n > 0").join(twice.select("id"), "id", "left_semi").select("left", "right", "n", F.col("id").alias("u"))
+    firsts = classes.select("left", "right", "n", F.col("id").alias("v"))
+    return bearers.join(firsts, ["left", "right", "n"]).select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = settle(own.select("id", _sketches("text").alias("s")).select("id", "s.*"))
+    rows = settle(own.select("id", F.arrow_udf(_sketches, SKETCH)("text").alias("s")).select("id", "s.*"))
     same = ["left", "right", "n"]
     classes = rows.filter("n > 0 and id is not null").groupBy(*same)
     classes = settle(
@@ -214,8 +226,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     marks = classes.select("id", "n", "marks")
     stars = members.filter("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
     tried = stars.join(marks.toDF("u", "n", "one"), "u").join(marks.toDF("v", "m", "other"), "v")
-    tried = settle(tried.filter(_sizes_allow("n", "m")).filter(_agree("one", "other")).select("u", "v"))
-    links = settle(_confirmed(tried, own))
+    tried = settle(tried.filter(_sizes_allow("n", "m")).filter(F.arrow_udf(_agree, "boolean")("one", "other")).select("u", "v"))
+    links = settle(_confirmed(tried, own).union(_same_ids(rows, classes)))
     parts = settle(components(links))
     hidden = _hidden_pairs(members, classes, parts).join(tried, ["u", "v"], "left_anti")
     more = settle(_confirmed(settle(hidden), own))
