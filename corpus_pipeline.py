@@ -18,6 +18,8 @@ from tertulia.sources.staging import fresh_folder
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: What takes the place of a secret.
 SECRET = "[SECRET]"
+#: Percent of similarity from which two documents are near duplicates.
+NEAR = 80
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return near_dup.deduplicated(docs.select(*COLUMNS))
+    return near_dup.deduplicated(docs.select(*COLUMNS), linked=NEAR)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Near duplicates by MinHash: many universal-hash minima, banding, signature checks, and connected components.
 
 A document's set is its distinct five-word shingles (A-Z lower-cased; with fewer words, the whole sequence as one).
-Documents whose sets have a Jaccard similarity of at least ``LINKED`` percent are linked.
+Documents whose sets have a Jaccard similarity of at least ``linked`` percent are linked (op9: ``LINKED``). Bands,
+rows and the least agreement of sketches follow from that percentage, see ``law``.
 
-1. Every text becomes a sketch: size and fingerprint of its set, ``BANDS`` band keys of ``ROWS`` minima each, and one
-   byte of each minimum.
+1. Every text becomes a sketch: size and fingerprint of its set, band keys of several minima each, and one byte of
+   each minimum.
 2. Equal sets are one class, represented by its least id; copies go no further.
 3. Classes that share a band key form a bucket. Each is compared with the least of its bucket: linear in the bucket.
    Pairs whose sketches agree enough are confirmed on their full sets.
@@ -13,8 +14,8 @@ Documents whose sets have a Jaccard similarity of at least ``LINKED`` percent ar
    agree enough are confirmed too. No pair is given up because a bucket is large, and pairs inside a component,
    which cannot change the outcome, are never emitted.
 
-A link at 85 % shares no bucket with probability (1 - 0.85**7)**30 = 9e-6 and is refused by its sketch with about
-1e-4; both fall off steeply above.
+A link just at the percentage shares no bucket with probability ``UNSHARED`` at most and is refused by its sketch with
+``REFUSED`` at most; both fall off steeply above. At 85 % these are (1 - 0.85**7)**30 = 9e-6 and 2.5e-4.
 
 Defined results: null and empty texts have an empty set, size 0, and are linked with nothing. Rows with the same id
 are one document. A null id is never linked: its component is null and it is kept. Other columns are ignored.
@@ -22,7 +23,10 @@ are one document. A null id is never linked: its component is null and it is kep
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -37,10 +41,10 @@ from tertulia.llm.vocabulary import Memo
 from tertulia.sources.staging import settle
 
 SHINGLE, LINKED = 5, 85
-BANDS, ROWS = 30, 7
-MINIMA = BANDS * ROWS
-#: Share of equal minima from which a pair is confirmed on its sets: 0.85 less 3.65 standard errors.
-AGREEING = 0.76
+#: Most minima of a sketch.
+MINIMA = 240
+#: Largest probability that a link just at the percentage shares no band, and that its sketches agree too little.
+UNSHARED, REFUSED = 1e-5, 2.6e-4
 #: Members of a bucket, at most about, that one task compares with as many others.
 BLOCK = 4096
 #: Shingles hashed at once.
@@ -58,6 +62,36 @@ SKETCH = "struct<n:long,left:long,right:long,keys:array<long>,marks:binary>"
 _word_hashes = Memo(xxhash.xxh3_64_intdigest)
 
 
+class Law(NamedTuple):
+    """Percentage of a link, bands and rows of its sketches, and equal bytes from which a pair is confirmed."""
+
+    linked: int
+    bands: int
+    rows: int
+    agreeing: int
+
+
+@cache
+def law(linked: int) -> Law:
+    """The longest bands of which at most ``MINIMA`` minima keep to ``UNSHARED``, and the most bytes within ``REFUSED``."""
+    share = linked / 100
+    for rows in range(MINIMA, 0, -1):
+        lost = 1 - share**rows
+        bands = 1 if lost == 0 else math.ceil(math.log(UNSHARED) / math.log(lost)) if lost < 1 else MINIMA + 1
+        if bands * rows <= MINIMA:
+            break
+    else:
+        raise ValueError(f"no bands of {MINIMA} minima find links at {linked} %")
+    n, equal = bands * rows, share + (1 - share) / 256  # one byte in 256 agrees by chance
+    below, agreeing = 0.0, 0
+    while agreeing < n:
+        below += math.comb(n, agreeing) * equal**agreeing * (1 - equal) ** (n - agreeing)
+        if below > REFUSED:
+            break
+        agreeing += 1
+    return Law(linked, bands, rows, agreeing)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _S32)) * _MIX
     x = (x ^ (x >> _S29)) * _MORE
@@ -78,22 +112,22 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(sums)
 
 
-def minima(found: np.ndarray) -> np.ndarray:
-    least = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
+def minima(found: np.ndarray, count: int) -> np.ndarray:
+    least = np.full(count, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), STEP):
-        values = np.multiply.outer(_FACTORS, found[at : at + STEP])
-        values += _OFFSETS[:, None]
+        values = np.multiply.outer(_FACTORS[:count], found[at : at + STEP])
+        values += _OFFSETS[:count, None]
         np.minimum(least, values.min(axis=1), out=least)
     return least
 
 
-def sketch(text: str | None) -> dict:
+def sketch(text: str | None, by: Law) -> dict:
     found = shingles(text)
     if not len(found):
         return {"n": 0, "left": 0, "right": 0, "keys": [], "marks": b""}
-    least = _mixed(minima(found))
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
-    for column in least.reshape(BANDS, ROWS).T:
+    least = _mixed(minima(found, by.bands * by.rows))
+    keys = np.arange(1, by.bands + 1, dtype=np.uint64) * _MIX
+    for column in least.reshape(by.bands, by.rows).T:
         keys = _mixed(keys ^ column) + _MORE
     left, right = np.bitwise_xor.reduce(_mixed(found + _MORE)), found.sum(dtype=np.uint64)
     return {
@@ -105,56 +139,62 @@ def sketch(text: str | None) -> dict:
     }
 
 
-def _sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.struct(
-        [
-            ("n", pa.int64()),
-            ("left", pa.int64()),
-            ("right", pa.int64()),
-            ("keys", pa.list_(pa.int64())),
-            ("marks", pa.binary()),
-        ]
-    )
-    for batch in slices(batches):
-        yield pa.array([sketch(t) for t in batch.to_pylist()], kind)
+def _sketches(by: Law) -> Callable:
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct(
+            [
+                ("n", pa.int64()),
+                ("left", pa.int64()),
+                ("right", pa.int64()),
+                ("keys", pa.list_(pa.int64())),
+                ("marks", pa.binary()),
+            ]
+        )
+        for batch in slices(batches):
+            yield pa.array([sketch(t, by) for t in batch.to_pylist()], kind)
 
+    return made
 
-def agreement(equal):
-    """Estimated similarity from the share of equal bytes, one in 256 of which agree by chance."""
-    return (equal * 256 - 1) / 255
 
+def _agree(by: Law) -> Callable:
+    def agree(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        n = by.bands * by.rows
+        for left, right in slices(batches, 2048):
+            one, other = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, n) for x in (left, right))
+            yield pa.array((one == other).sum(axis=1) >= by.agreeing)
 
-def _agree(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for left, right in slices(batches, 2048):
-        one, other = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, MINIMA) for x in (left, right))
-        yield pa.array(agreement((one == other).mean(axis=1)) >= AGREEING)
+    return agree
 
 
-def _linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def _linked(by: Law) -> Callable:
     """Whether two texts are linked, on their full sets."""
-    known = Memo(shingles, most=64, longest=1 << 30)
-    for left, right in slices(batches, 64):
-        out = []
-        for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
-            one, other = known[a or ""], shingles(b)
-            both = len(np.intersect1d(one, other, assume_unique=True))
-            out.append(both > 0 and 100 * both >= LINKED * (len(one) + len(other) - both))
-        yield pa.array(out)
 
+    def linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        known = Memo(shingles, most=64, longest=1 << 30)
+        for left, right in slices(batches, 64):
+            out = []
+            for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
+                one, other = known[a or ""], shingles(b)
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                out.append(both > 0 and 100 * both >= by.linked * (len(one) + len(other) - both))
+            yield pa.array(out)
 
-def _sizes_allow(n: str, m: str):
+    return linked
+
+
+def _sizes_allow(n: str, m: str, by: Law):
     """The smaller set is large enough for a link with the larger."""
-    return 100 * F.least(n, m) >= LINKED * F.greatest(n, m)
+    return 100 * F.least(n, m) >= by.linked * F.greatest(n, m)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, by: Law) -> DataFrame:
     """The pairs (u, v) that are linked on their full sets; ``texts`` is (id, text)."""
     used = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     own = texts.join(used, "id", "left_semi")
     joined = pairs.join(own.select(F.col("id").alias("u"), F.col("text").alias("one")), "u").join(
         own.select(F.col("id").alias("v"), F.col("text").alias("other")), "v"
     )
-    return joined.filter(F.arrow_udf(_linked, "boolean")("one", "other")).select("u", "v").distinct()
+    return joined.filter(F.arrow_udf(_linked(by), "boolean")("one", "other")).select("u", "v").distinct()
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -164,33 +204,37 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return keyed.join(sizes, "key")
 
 
-def _compare(rows: pd.DataFrame) -> pd.DataFrame:
+def _compare(by: Law) -> Callable:
     """Pairs of one block pair that lie in different components and whose sketches agree.
 
     A pair that shares several buckets is left to the first of its shared keys.
     """
-    rows = rows.sort_values("id")
-    own, keys = rows["key"].iloc[0], np.stack(rows["keys"].to_numpy())
-    ids, parts, sizes, blocks = (rows[c].to_numpy() for c in ("id", "component", "n", "block"))
-    marks = np.frombuffer(b"".join(rows["marks"]), np.uint8).reshape(-1, MINIMA)
-    low, high = rows["low"].iloc[0], rows["high"].iloc[0]
-    first, second = [], []
-    for i in range(len(ids)):
-        after = np.flatnonzero(
-            (parts[i + 1 :] != parts[i])
-            & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= LINKED * np.maximum(sizes[i + 1 :], sizes[i]))
-            & ((blocks[i + 1 :] != blocks[i]) | (low == high))
-        )
-        after += i + 1
-        if len(after):
-            after = after[agreement((marks[after] == marks[i]).mean(axis=1)) >= AGREEING]
-            after = after[keys[i][(keys[after] == keys[i]).argmax(axis=1)] == own]
-            first += [ids[i]] * len(after)
-            second += ids[after].tolist()
-    return pd.DataFrame({"u": np.array(first, np.int64), "v": np.array(second, np.int64)})
-
 
-def _hidden_pairs(members: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        own, keys = rows["key"].iloc[0], np.stack(rows["keys"].to_numpy())
+        ids, parts, sizes, blocks = (rows[c].to_numpy() for c in ("id", "component", "n", "block"))
+        marks = np.frombuffer(b"".join(rows["marks"]), np.uint8).reshape(-1, by.bands * by.rows)
+        low, high = rows["low"].iloc[0], rows["high"].iloc[0]
+        first, second = [], []
+        for i in range(len(ids)):
+            after = np.flatnonzero(
+                (parts[i + 1 :] != parts[i])
+                & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= by.linked * np.maximum(sizes[i + 1 :], sizes[i]))
+                & ((blocks[i + 1 :] != blocks[i]) | (low == high))
+            )
+            after += i + 1
+            if len(after):
+                after = after[(marks[after] == marks[i]).sum(axis=1) >= by.agreeing]
+                after = after[keys[i][(keys[after] == keys[i]).argmax(axis=1)] == own]
+                first += [ids[i]] * len(after)
+                second += ids[after].tolist()
+        return pd.DataFrame({"u": np.array(first, np.int64), "v": np.array(second, np.int64)})
+
+    return compare
+
+
+def _hidden_pairs(members: DataFrame, classes: DataFrame, parts: DataFrame, by: Law) -> DataFrame:
     """Agreeing pairs between components that share a bucket."""
     placed = members.select("key", "id", "size").join(parts.withColumnRenamed("node", "id"), "id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "id"))
@@ -201,7 +245,7 @@ def _hidden_pairs(members: DataFrame, classes: DataFrame, parts: DataFrame) -> D
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.select("key", "id", "component", "n", "marks", "keys", "block", others.alias("partner"))
     rows = rows.withColumn("low", F.least("block", "partner")).withColumn("high", F.greatest("block", "partner"))
-    return rows.groupBy("key", "low", "high").applyInPandas(_compare, "u long, v long").distinct()
+    return rows.groupBy("key", "low", "high").applyInPandas(_compare(by), "u long, v long").distinct()
 
 
 def _same_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -213,10 +257,11 @@ def _same_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return bearers.join(firsts, ["left", "right", "n"]).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", linked: int = LINKED) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
+    by = law(linked)
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = settle(own.select("id", F.arrow_udf(_sketches, SKETCH)("text").alias("s")).select("id", "s.*"))
+    rows = settle(own.select("id", F.arrow_udf(_sketches(by), SKETCH)("text").alias("s")).select("id", "s.*"))
     same = ["left", "right", "n"]
     classes = rows.filter("n > 0 and id is not null").groupBy(*same)
     classes = settle(
@@ -226,11 +271,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     marks = classes.select("id", "n", "marks")
     stars = members.filter("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
     tried = stars.join(marks.toDF("u", "n", "one"), "u").join(marks.toDF("v", "m", "other"), "v")
-    tried = settle(tried.filter(_sizes_allow("n", "m")).filter(F.arrow_udf(_agree, "boolean")("one", "other")).select("u", "v"))
-    links = settle(_confirmed(tried, own).union(_same_ids(rows, classes)))
+    tried = tried.filter(_sizes_allow("n", "m", by)).filter(F.arrow_udf(_agree(by), "boolean")("one", "other"))
+    tried = settle(tried.select("u", "v"))
+    links = settle(_confirmed(tried, own, by).union(_same_ids(rows, classes)))
     parts = settle(components(links))
-    hidden = _hidden_pairs(members, classes, parts).join(tried, ["u", "v"], "left_anti")
-    more = settle(_confirmed(settle(hidden), own))
+    hidden = _hidden_pairs(members, classes, parts, by).join(tried, ["u", "v"], "left_anti")
+    more = settle(_confirmed(settle(hidden), own, by))
     if not more.isEmpty():
         parts = settle(components(parts.toDF("u", "v").union(more)))
     found = classes.select(*same, F.col("id").alias("first")).join(parts.toDF("first", "component"), "first", "left")
@@ -245,8 +291,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", linked: int = LINKED) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, and one of rows that repeat its id and text."""
-    dropped = near_duplicates(docs, doc_id, text).filter("not kept").select(F.col("doc_id").alias("dropped__"))
+    dropped = near_duplicates(docs, doc_id, text, linked).filter("not kept").select(F.col("doc_id").alias("dropped__"))
     rest = docs.join(dropped.distinct(), F.col(doc_id).cast("long") == F.col("dropped__"), "left_anti")
     return rest.dropDuplicates([doc_id, text])

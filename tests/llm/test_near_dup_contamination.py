@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tertulia.llm import decontaminate, near_dup
 from tertulia.llm.components import components
 
@@ -145,3 +146,23 @@ def test_without_items_or_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.with_hits(docs, none).first().hits.n_words == 2
     assert decontaminate.with_hits(docs.limit(0), none).count() == 0
+
+
+def test_stage_of_the_pipeline_links_at_80_percent(spark):
+    """Pairs of a similarity from 0.80 to 0.85 are near duplicates for the pipeline, and not for op9."""
+    rng = random.Random(8)
+    rows = []
+    for base in range(60):
+        words = random_text(rng, 104).split()
+        other = list(words)
+        other[50:50 + rng.choice((5, 6, 7, 8, 9))] = random_text(rng, 6).split()
+        rows += [(2 * base, " ".join(words)), (2 * base + 1, " ".join(other))]
+    sets = [shingle_set(text) for _, text in rows]
+    near = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    expected = [2 * i for i in range(60)] + [2 * i + 1 for i, s in enumerate(near) if s < 0.8]
+    assert any(0.8 <= s < 0.85 for s in near) and any(s < 0.8 for s in near)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.withColumns({"lang": F.lit("en"), "source": F.lit("web"), "n_chars": F.length("text").cast("long")})
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_distinct(spark, docs, "").collect()) == sorted(expected)
+    apart = [2 * i for i in range(60)] + [2 * i + 1 for i, s in enumerate(near) if s < 0.85]
+    assert sorted(r.doc_id for r in near_dup.deduplicated(docs).collect()) == sorted(apart)
