@@ -1,7 +1,6 @@
 """Quality rules and a log-likelihood-ratio filter, in DataFrame functions alone.
 
-Hashed n-grams (single tokens and pairs) of a bounded sample of trusted documents and of the whole raw corpus give two
-multinomials. A document's score is the mean over its n-grams of the logarithm of trusted over raw probability, so
+Hashed n-grams (single tokens and pairs) of all trusted documents and of the whole raw corpus give two multinomials. A document's score is the mean over its n-grams of the logarithm of trusted over raw probability, so
 length does not matter, and every document above one threshold is kept: nothing is drawn at random.
 
 Words are what white space separates; tokens of n-grams are runs of letters and digits, or of other visible characters.
@@ -23,8 +22,6 @@ from pyspark.sql import functions as F
 from tertulia.llm.common import let
 
 BUCKETS = 1 << 14
-#: About so many trusted documents, chosen by a hash of their id, give the trusted multinomial.
-TRUSTED_ROWS = 20_000
 #: Least mean log ratio of a document that is kept.
 THRESHOLD = -0.45
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
@@ -115,17 +112,15 @@ class LogRatios:
         return let(ngram_buckets(text, len(self.values)), mean)
 
 
-def trusted_ids(labels: DataFrame, doc_id: str = "doc_id", label: str = "quality", rows: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids of about ``rows`` labelled documents of good quality, by a hash of the id; all of them if there are fewer."""
-    good = labels.groupBy(doc_id).agg(F.avg(label).alias("mean")).filter("mean >= 0.5").select(doc_id)
-    share = rows / max(1, good.count())
-    return good.filter(F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
+def trusted_ids(labels: DataFrame, doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
+    """Ids of all labelled documents of good quality."""
+    return labels.groupBy(doc_id).agg(F.avg(label).alias("mean")).filter("mean >= 0.5").select(doc_id)
 
 
 def fit(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> LogRatios:
-    """Counts the n-grams of all documents, and of the trusted ones, whose ids are few enough to be broadcast."""
+    """Counts the n-grams of all documents, and of the trusted ones; Spark broadcasts their ids only if they are few."""
     marked = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(
-        F.broadcast(trusted.select(F.col(doc_id).alias("id"), F.lit(1).alias("trusted")).distinct()), "id", "left"
+        trusted.select(F.col(doc_id).alias("id")).distinct().withColumn("trusted", F.lit(1)), "id", "left"
     )
     grams = marked.select("trusted", F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("trusted")).collect()

@@ -102,3 +102,14 @@ def test_log_ratios(spark):
     assert got[1] == pytest.approx(np.mean([ratios.values[b] for b in mean]), abs=1e-6)
     none = rules.fit(docs.limit(0), rules.trusted_ids(known.limit(0)), buckets=16)
     assert none.values == (0.0,) * 16
+
+
+def test_every_trusted_document_counts(spark):
+    """Also where there are more than 20,000 of them."""
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"))
+    known = docs.select("doc_id", F.when(F.col("doc_id") < 25_000, 1).otherwise(0).alias("quality"))
+    assert rules.trusted_ids(known).count() == 25_000
+    ratios = rules.fit(docs, rules.trusted_ids(known), buckets=16)
+    scale = np.log((30_000 + 16) / (25_000 + 16))
+    assert max(ratios.values, key=abs) == pytest.approx(scale, abs=1e-6)  # buckets without counts
+    assert min(ratios.values, key=abs) == pytest.approx(np.log(25_001 / 30_001) + scale, abs=1e-6)
