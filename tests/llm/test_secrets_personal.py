@@ -129,3 +129,11 @@ def test_reliabilities_follow_the_votes():
 
 def test_no_documents(spark):
     assert personal.personal_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("header", ['{"alg":"HS256"}', '{ "alg": "HS256" }', '{\n"alg": "HS256"}', '\t{"alg": "none"}'])
+def test_signed_tokens_however_their_header_begins(header):
+    parts = [base64.urlsafe_b64encode(x.encode()).decode().rstrip("=") for x in (header, '{ "sub": 1 }', "signature")]
+    token = ".".join(parts)
+    assert secrets.all_spans(f"see {token} there") == [("signed", 4, 4 + len(token))]
+    assert secrets.all_spans(f"see x{token[1:]} there") == []
