@@ -15,7 +15,7 @@ rows and the least agreement of sketches follow from that percentage, see ``law`
    which cannot change the outcome, are never emitted.
 
 A link just at the percentage shares no bucket with probability ``UNSHARED`` at most and is refused by its sketch with
-``REFUSED`` at most; both fall off steeply above. At 85 % these are (1 - 0.85**7)**30 = 9e-6 and 2.5e-4.
+``REFUSED`` at most; both fall off steeply above. At 85 % these are (1 - 0.85**7)**30 = 9e-6 and 7e-7.
 
 Defined results: null and empty texts have an empty set, size 0, and are linked with nothing. Rows with the same id
 are one document. A null id is never linked: its component is null and it is kept. Other columns are ignored.
@@ -44,7 +44,7 @@ SHINGLE, LINKED = 5, 85
 #: Most minima of a sketch.
 MINIMA = 240
 #: Largest probability that a link just at the percentage shares no band, and that its sketches agree too little.
-UNSHARED, REFUSED = 1e-5, 2.6e-4
+UNSHARED, REFUSED = 1e-5, 1e-6
 #: Members of a bucket, at most about, that one task compares with as many others.
 BLOCK = 4096
 #: Shingles hashed at once.

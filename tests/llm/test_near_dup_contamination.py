@@ -1,5 +1,6 @@
 """Near duplicates and benchmark contamination, against brute force."""
 
+import math
 import random
 import re
 
@@ -166,3 +167,11 @@ def test_stage_of_the_pipeline_links_at_80_percent(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.keep_distinct(spark, docs, "").collect()) == sorted(expected)
     apart = [2 * i for i in range(60)] + [2 * i + 1 for i, s in enumerate(near) if s < 0.85]
     assert sorted(r.doc_id for r in near_dup.deduplicated(docs).collect()) == sorted(apart)
+
+
+@pytest.mark.parametrize("linked", [80, 85, 90])
+def test_sketches_lose_no_more_links_than_bands(linked):
+    by, share = near_dup.law(linked), linked / 100
+    n, equal = by.bands * by.rows, share + (1 - share) / 256
+    refused = sum(math.comb(n, k) * equal**k * (1 - equal) ** (n - k) for k in range(by.agreeing))
+    assert refused <= (1 - share**by.rows) ** by.bands <= 1e-5
