@@ -8,8 +8,10 @@ Defined results: null and empty texts have no words and no hits; items without w
 and equal windows of different items count for each item. Rows of ``docs`` are never merged, other columns stay, and
 a column named like the result is replaced. Without items nothing is contaminated.
 
-Items are shipped to the executors in parts of at most ``PART_BYTES``, so the automaton of a task stays bounded; a
-benchmark beyond that size is scanned part by part, with the same result.
+Items are shipped to the executors in parts of about ``PART_BYTES``, so the automaton of a task stays bounded. A
+benchmark beyond that size is scanned part by part, with the same result: each part is read, broadcast, scanned, its
+hits settled with those before, and dropped, so driver and workers hold one part. That runs a job for each part but
+the last when ``with_hits`` is called.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tertulia.llm.common import slices
+from tertulia.sources.staging import settle
 
 WINDOW_WORDS = 13
 PART_BYTES = 8 << 20
@@ -102,20 +105,20 @@ class Scanner:
         ]
 
 
-def _parts(benchmark: DataFrame, item: str, text: str, part_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in parts of bounded size, read through one partition of the driver's iterator at a time."""
+def _parts(benchmark: DataFrame, item: str, text: str, part_bytes: int) -> Iterator[tuple[list[tuple[str, str]], bool]]:
+    """The items in parts of bounded size, read through one partition of the driver's iterator at a time, and whether
+    another part follows; one empty part without items."""
     rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"))
     rows = rows.filter("i is not null and t is not null").distinct()
     part: list[tuple[str, str]] = []
     size = 0
     for row in rows.toLocalIterator():
-        part.append((row["i"], row["t"]))
-        size += len(row["t"].encode())
         if size >= part_bytes:
-            yield part
+            yield part, True
             part, size = [], 0
-    if part:
-        yield part
+        part.append((row["i"], row["t"]))
+        size += len(row["t"].encode())
+    yield part, False
 
 
 def _scan(items, size: int):
@@ -148,18 +151,29 @@ def with_hits(
 ) -> DataFrame:
     """``docs`` with (n_words, hit ranges of words with their code points, ids of the items that occur)."""
     context = docs.sparkSession.sparkContext
-    parts = list(_parts(benchmark, item, item_text, part_bytes)) or [[]]
-    columns = [_scan(context.broadcast(part), size)(F.col(text)) for part in parts]
-    if len(columns) == 1:
-        return docs.withColumn(name, columns[0])
-    temporary = [f"{name}__{i}" for i in range(len(columns))]
-    out = docs.withColumns(dict(zip(temporary, columns, strict=True)))
+    before, own = f"{name}__before", f"{name}__own"
+    out, first = docs, True
+    for part, more in _parts(benchmark, item, item_text, part_bytes):
+        held = context.broadcast(part)
+        out = out.withColumn(name if first else own, _scan(held, size)(F.col(text)))
+        if not first:
+            out = _united(out, before, own, name)
+        if more:
+            out = settle(out.withColumnRenamed(name, before))
+            held.destroy()
+            first = False
+    return out
+
+
+def _united(df: DataFrame, before: str, own: str, name: str) -> DataFrame:
+    """The hits of two columns as one."""
+    one, other = F.col(before), F.col(own)
     hits = F.struct(
-        F.col(temporary[0])["n_words"].alias("n_words"),
-        _union(F.flatten(F.array(*(F.col(c)["words"] for c in temporary)))).alias("words"),
-        F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(c)["items"] for c in temporary))))).alias("items"),
+        one["n_words"].alias("n_words"),
+        _union(F.concat(one["words"], other["words"])).alias("words"),
+        F.array_sort(F.array_union(one["items"], other["items"])).alias("items"),
     )
-    return out.withColumn(name, hits).drop(*temporary)
+    return df.withColumn(name, hits).drop(before, own)
 
 
 def _union(ranges: Column) -> Column:

@@ -175,3 +175,34 @@ def test_sketches_lose_no_more_links_than_bands(linked):
     n, equal = by.bands * by.rows, share + (1 - share) / 256
     refused = sum(math.comb(n, k) * equal**k * (1 - equal) ** (n - k) for k in range(by.agreeing))
     assert refused <= (1 - share**by.rows) ** by.bands <= 1e-5
+
+
+def test_one_part_of_the_benchmark_at_a_time(spark, monkeypatch):
+    from pyspark.core.broadcast import Broadcast
+
+    alive, most, read = set(), [], []
+    made, dropped, parts = type(spark.sparkContext).broadcast, Broadcast.destroy, decontaminate._parts
+
+    def broadcast(context, value):
+        out = made(context, value)
+        alive.add(id(out))
+        most.append((len(alive), len(read)))
+        return out
+
+    def destroy(own, *args, **options):
+        alive.discard(id(own))
+        return dropped(own, *args, **options)
+
+    def counted(*args):
+        for part in parts(*args):
+            read.append(part)
+            yield part
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    monkeypatch.setattr(Broadcast, "destroy", destroy)
+    monkeypatch.setattr(decontaminate, "_parts", counted)
+    items = [(i, f"item {i} " + "x " * 20) for i in range(4)]
+    docs = spark.createDataFrame([(1, "item 2 " + "x " * 20 + "and item 3 " + "x " * 20)], "doc_id long, text string")
+    hits = decontaminate.with_hits(docs, spark.createDataFrame(items, "item_id long, text string"), part_bytes=10)
+    assert hits.first().hits["items"] == ["0", "1", "2", "3"]
+    assert most == [(1, 1), (1, 2), (1, 3), (1, 4)]
