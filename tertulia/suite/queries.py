@@ -18,6 +18,9 @@ from tertulia.sources.transcripts import read_transcripts, with_rejects, write_c
 from tertulia.streaming import folders
 from tertulia.suite import inputs as I
 
+#: Vector numbers whose detections one JSON array holds at most.
+ARRAY_BLOCK = 1000
+
 
 def turn_parse_full(spark: SparkSession, folder: str) -> DataFrame:
     parsed = parsing.parse_turns(I.conversation_transcripts(spark, folder))
@@ -400,15 +403,16 @@ def one_call(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def detection_array(spark: SparkSession, folder: str) -> DataFrame:
-    """Detections as JSON arrays, one file per call."""
+    """Detections as JSON arrays, one file per call and block of ``ARRAY_BLOCK`` vector numbers."""
     path = fresh_folder(spark, "arrays")
-    found = semantic.detections(_scored(spark, folder), I.THRESHOLD).drop("turn_no", "chunk_no")
-    names = [c for c in found.columns]
-    rows = found.groupBy("archivo_origen").agg(F.to_json(F.array_sort(F.collect_list(F.struct(*names)))).alias("value"))
-    rows.select("value", F.regexp_replace("archivo_origen", "[^a-z0-9_]", "").alias("call")).repartition(
-        "call"
-    ).write.partitionBy("call").text(path)
-    return tables.read_detections(spark, path).drop("call")
+    found = semantic.detections(_scored(spark, folder), I.THRESHOLD)
+    names = [c for c in found.columns if c not in ("turn_no", "chunk_no")]
+    block = F.floor(F.col("turn_no") / ARRAY_BLOCK).alias("block")
+    rows = found.groupBy("archivo_origen", block).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*names)))).alias("value"))
+    rows.select("value", F.regexp_replace("archivo_origen", "[^a-z0-9_]", "").alias("call"), "block").repartition(
+        "call", "block"
+    ).write.partitionBy("call", "block").text(path)
+    return tables.read_detections(spark, path).drop("call", "block")
 
 
 def united_detections(spark: SparkSession, folder: str) -> DataFrame:

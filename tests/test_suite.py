@@ -41,3 +41,16 @@ def test_query_equals_sql(spark, engine, name):
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
+
+
+def test_detection_arrays_are_bounded(spark, tmp_path, monkeypatch):
+    import json
+
+    from tertulia.suite import queries
+
+    vectors = spark.range(2500).selectExpr("id AS vec_id", "array(1f, 2f) AS embedding", "1 AS label")
+    vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(queries, "fresh_folder", lambda spark, name: str(tmp_path / name))
+    assert queries.detection_array(spark, str(tmp_path)).count() == 2500
+    arrays = [json.loads(file.read_text()) for file in (tmp_path / "arrays").rglob("*.txt")]
+    assert sorted(map(len, arrays)) == [500, 1000, 1000]
