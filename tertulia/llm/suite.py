@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tertulia.llm import bpe, chat, decontaminate, near_dup, personal, quality, rules, secrets, shards, token_counts
+from tertulia.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    divergence,
+    hnsw,
+    near_dup,
+    personal,
+    quality,
+    rules,
+    secrets,
+    shards,
+    spelling,
+    token_counts,
+)
 from tertulia.llm.common import sha256, spans_text, table, text_or_empty
 
 #: Texts with more tokens are over the limit.
@@ -161,6 +175,64 @@ def find_personal(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def audit_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+AUDIT_SQL = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}') AS text
+    FROM documents
+), words AS (
+    SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+    SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), sizes AS (
+    SELECT d.lang, count(k.term) AS v
+    FROM (SELECT DISTINCT lang FROM docs) d LEFT JOIN kept k ON k.lang = d.lang GROUP BY d.lang
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term
+), totals AS (
+    SELECT g.lang, g.source, coalesce(sum(c.n), 0)::BIGINT AS total, any_value(s.v) AS v
+    FROM (SELECT DISTINCT lang, source FROM docs) g JOIN sizes s ON s.lang = g.lang
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source
+), cells AS (
+    SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+           1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (t.total + 2 * t.v) AS p
+    FROM totals t JOIN kept k ON k.lang = t.lang
+    LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+), whole AS (
+    SELECT c.lang, c.term, 1 + (1000000000::HUGEINT * (sum(c.n) + 2)) // (any_value(t.total) + 2 * any_value(t.v)) AS q
+    FROM counts c JOIN (SELECT lang, sum(total) AS total, any_value(v) AS v FROM totals GROUP BY lang) t ON t.lang = c.lang
+    GROUP BY c.lang, c.term
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY a.lang, a.source, b.source
+), found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+    FROM totals a JOIN totals b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL
+    SELECT c.lang, c.source, 'term', c.term, (c.p - w.q) * (c.p - w.q) // (c.p + w.q)
+    FROM cells c JOIN whole w ON w.lang = c.lang AND w.term = c.term WHERE c.n > 0 AND c.p > w.q
+)
+SELECT lang, source, part, item, value::BIGINT AS value,
+       row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, folder, "documents")))
+
+
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return hnsw.nearest(table(spark, folder, "embeddings"), "vec_id % 20 = 0")
+
+
 QUERIES = {
     "op1_token_counts": token_count,
     "op2_kd_shards": balanced_shards,
@@ -172,6 +244,9 @@ QUERIES = {
     "op8_quality_rules": quality_rules,
     "op10_personal_data": find_personal,
     "op9_minhash_near_dedup": near_duplicates,
+    "op11_source_divergence": audit_sources,
+    "op12_spelling_variants": spelling_variants,
+    "op13_nearest_vectors": nearest_vectors,
 }
 
-ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT_SQL}
+ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT_SQL, "op11_source_divergence": AUDIT_SQL}
