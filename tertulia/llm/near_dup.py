@@ -9,10 +9,11 @@ rows and the least agreement of sketches follow from that percentage, see ``law`
 2. Equal sets are one class, represented by its least id; copies go no further.
 3. Classes that share a band key form a bucket. Each is compared with the least of its bucket: linear in the bucket.
    Pairs whose sketches agree enough are confirmed on their full sets.
-4. After the components of these links, only buckets that still hold several components can hide a link. There all
-   pairs between components are compared on their sketches inside tasks, in blocks of bounded size, and those that
-   agree enough are confirmed too. No pair is given up because a bucket is large, and pairs inside a component,
-   which cannot change the outcome, are never emitted.
+4. After the components of these links, only buckets that still hold several components can hide a link. Buckets of
+   that kind which share a member make a cluster; each of its members goes there once, with its sketch and its full set.
+   A cluster is cut into blocks of bounded size, and each pair of blocks is a task: pairs between components whose
+   sketches agree enough are confirmed on the full sets there and then, and a link that joins two components makes them
+   one. So a task emits fewer links than it has members, however many pairs it compares, and no pair is given up.
 
 A link just at the percentage shares no bucket with probability ``UNSHARED`` at most and is refused by its sketch with
 ``REFUSED`` at most; both fall off steeply above. At 85 % these are (1 - 0.85**7)**30 = 9e-6 and 7e-7.
@@ -29,8 +30,8 @@ from functools import cache
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +46,8 @@ SHINGLE, LINKED = 5, 85
 MINIMA = 240
 #: Largest probability that a link just at the percentage shares no band, and that its sketches agree too little.
 UNSHARED, REFUSED = 1e-5, 1e-6
-#: Members of a bucket, at most about, that one task compares with as many others.
-BLOCK = 4096
+#: Members of a cluster, and shingles of their sets, at most about, that one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Shingles hashed at once.
 STEP = 4096
 
@@ -204,48 +205,84 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return keyed.join(sizes, "key")
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of several ranges, one after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
+def spanning_links(
+    ids: np.ndarray, parts: np.ndarray, marks: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray, by: Law
+) -> list[tuple[int, int]]:
+    """Links between components that make them one, as many as it takes; ``blocks`` of two numbers meet only each other."""
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    marked, parts, found = np.zeros(len(kinds), bool), parts.copy(), []
+    within = blocks.min() == blocks.max()
+    for i in range(len(ids) - 1):
+        near = 100 * np.minimum(sizes[i + 1 :], sizes[i]) >= by.linked * np.maximum(sizes[i + 1 :], sizes[i])
+        others = np.flatnonzero((parts[i + 1 :] != parts[i]) & near & (within | (blocks[i + 1 :] != blocks[i]))) + i + 1
+        others = others[(marks[others] == marks[i]).sum(axis=1) >= by.agreeing]
+        if not len(others):
+            continue
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        marked[own] = True
+        counts = sizes[others]
+        shared = marked[flat[_ranges(starts[others], counts)]]
+        both = np.add.reduceat(shared, np.cumsum(counts) - counts, dtype=np.int64)
+        marked[own] = False
+        for j in others[100 * both >= by.linked * (sizes[i] + counts - both)].tolist():
+            if parts[j] != parts[i]:
+                found.append((int(ids[i]), int(ids[j])))
+                parts[parts == parts[j]] = parts[i]
+    return found
+
+
 def _compare(by: Law) -> Callable:
-    """Pairs of one block pair that lie in different components and whose sketches agree.
-
-    A pair that shares several buckets is left to the first of its shared keys.
-    """
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        own, keys = rows["key"].iloc[0], np.stack(rows["keys"].to_numpy())
-        ids, parts, sizes, blocks = (rows[c].to_numpy() for c in ("id", "component", "n", "block"))
-        marks = np.frombuffer(b"".join(rows["marks"]), np.uint8).reshape(-1, by.bands * by.rows)
-        low, high = rows["low"].iloc[0], rows["high"].iloc[0]
-        first, second = [], []
-        for i in range(len(ids)):
-            after = np.flatnonzero(
-                (parts[i + 1 :] != parts[i])
-                & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= by.linked * np.maximum(sizes[i + 1 :], sizes[i]))
-                & ((blocks[i + 1 :] != blocks[i]) | (low == high))
-            )
-            after += i + 1
-            if len(after):
-                after = after[(marks[after] == marks[i]).sum(axis=1) >= by.agreeing]
-                after = after[keys[i][(keys[after] == keys[i]).argmax(axis=1)] == own]
-                first += [ids[i]] * len(after)
-                second += ids[after].tolist()
-        return pd.DataFrame({"u": np.array(first, np.int64), "v": np.array(second, np.int64)})
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.filter(pc.greater(pc.binary_length(rows["shingles"]), 0)).sort_by("id")
+        found = []
+        if rows.num_rows > 1:
+            ids, parts, blocks = (rows[c].to_numpy() for c in ("id", "component", "block"))
+            marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            sets = [np.frombuffer(b, np.uint64) for b in rows["shingles"].to_pylist()]
+            found = spanning_links(ids, parts, marks, sets, blocks, by)
+        return pa.table([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     return compare
 
 
-def _hidden_pairs(members: DataFrame, classes: DataFrame, parts: DataFrame, by: Law) -> DataFrame:
-    """Agreeing pairs between components that share a bucket."""
-    placed = members.select("key", "id", "size").join(parts.withColumnRenamed("node", "id"), "id", "left")
+def _full_sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in slices(batches):
+        yield pa.array([shingles(t).tobytes() for t in batch.to_pylist()], pa.binary())
+
+
+def _unresolved(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """(id, component, cluster) of the members of buckets that hold several components."""
+    placed = members.select("key", "id").join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "id"))
-    several = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
-    rows = placed.join(several.select("key"), "key", "left_semi").join(classes.select("id", "n", "marks", "keys"), "id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("key", "id", "component", "n", "marks", "keys", "block", others.alias("partner"))
+    several = placed.groupBy("key").agg(
+        F.min("component").alias("a"), F.max("component").alias("b"), F.min("id").alias("first")
+    )
+    held = settle(placed.join(several.filter("a <> b").select("key", "first"), "key"))
+    clusters = components(held.select(F.col("first").alias("u"), F.col("id").alias("v")))
+    found = held.select("id", "component").distinct()
+    return found.join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
+
+
+def _hidden_links(members: DataFrame, classes: DataFrame, parts: DataFrame, texts: DataFrame, by: Law) -> DataFrame:
+    """Links that join components which share a bucket; ``texts`` is (id, text)."""
+    rows = settle(_unresolved(members, parts).join(classes.select("id", "n", "marks"), "id"))
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    rows = rows.drop("n").join(sizes.select("cluster", blocks.alias("blocks")), "cluster")
+    rows = rows.join(texts.join(rows.select("id").distinct(), "id", "left_semi"), "id")
+    rows = rows.withColumn("shingles", F.arrow_udf(_full_sets, "binary")("text"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("partner")
+    rows = rows.select("cluster", "id", "component", "marks", "shingles", "block", partner)
     rows = rows.withColumn("low", F.least("block", "partner")).withColumn("high", F.greatest("block", "partner"))
-    return rows.groupBy("key", "low", "high").applyInPandas(_compare(by), "u long, v long").distinct()
+    return rows.groupBy("cluster", "low", "high").applyInArrow(_compare(by), "u long, v long").distinct()
 
 
 def _same_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -275,8 +312,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tried = settle(tried.select("u", "v"))
     links = settle(_confirmed(tried, own, by).union(_same_ids(rows, classes)))
     parts = settle(components(links))
-    hidden = _hidden_pairs(members, classes, parts, by).join(tried, ["u", "v"], "left_anti")
-    more = settle(_confirmed(settle(hidden), own, by))
+    more = settle(_hidden_links(members, classes, parts, own, by))
     if not more.isEmpty():
         parts = settle(components(parts.toDF("u", "v").union(more)))
     found = classes.select(*same, F.col("id").alias("first")).join(parts.toDF("first", "component"), "first", "left")

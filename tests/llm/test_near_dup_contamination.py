@@ -79,6 +79,39 @@ def test_components_equal_brute_force(spark, rows, block, monkeypatch):
         assert r.kept == (r.doc_id == r.component_id)
 
 
+@pytest.mark.parametrize("linked", [80, 85])
+def test_near_copies_that_are_not_linked_emit_few_rows(spark, linked, monkeypatch):
+    made, hidden = [], near_dup._hidden_links
+
+    def counted(*parts):
+        made.append(hidden(*parts).count())
+        return hidden(*parts)
+
+    monkeypatch.setattr(near_dup, "_hidden_links", counted)
+    rng = random.Random(9)
+    base = random_text(rng, 60)
+    texts = [(i, changed(rng, base, 1)) for i in range(600)]
+    sets = [shingle_set(t) for _, t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for j in range(len(texts)):
+        for i in range(j):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= linked * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    for n in (150, 300, 600):
+        got = near_dup.near_duplicates(spark.createDataFrame(texts[:n], "doc_id long, text string"), linked=linked).collect()
+        if n == len(texts):
+            assert {r.doc_id: r.component_id for r in got} == {i: root(i) for i in range(n)}
+    assert all(rows < n for rows, n in zip(made, (150, 300, 600), strict=True))
+
+
 def test_odd_rows(spark):
     rows = [(None, "a b c"), (None, "a b c"), (3, None), (4, ""), (5, "a b c"), (2, "A b\tc"), (5, "z " * 50)]
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
