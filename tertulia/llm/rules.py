@@ -118,10 +118,13 @@ def trusted_ids(labels: DataFrame, doc_id: str = "doc_id", label: str = "quality
 
 
 def fit(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> LogRatios:
-    """Counts the n-grams of all documents, and of the trusted ones; Spark broadcasts their ids only if they are few."""
-    marked = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(
-        trusted.select(F.col(doc_id).alias("id")).distinct().withColumn("trusted", F.lit(1)), "id", "left"
-    )
+    """Counts the n-grams of all documents, and of the trusted ones.
+
+    One plan at all sizes: texts and trusted ids meet in one exchange on the id, and the ids of a partition are hashed.
+    """
+    ids = trusted.select(F.col(doc_id).alias("id")).distinct().withColumn("trusted", F.lit(1))
+    marked = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    marked = marked.join(ids.hint("shuffle_hash"), "id", "left")
     grams = marked.select("trusted", F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("trusted")).collect()
     raw, good = [0] * buckets, [0] * buckets
