@@ -17,16 +17,23 @@ UNRANKED = 1 << 40
 
 
 class Memo(dict):
-    """Results of ``make`` by key, at most ``most`` of them; keys longer than ``longest`` are not kept."""
+    """Results of ``make`` by key, at most ``most`` of them; keys longer than ``longest`` are not kept.
+
+    There are two generations: when the young one is full it becomes the old one, and what is met again moves back. So
+    frequent keys stay, and rare ones make room.
+    """
 
     def __init__(self, make: Callable, most: int = 120_000, longest: int = 48):
         super().__init__()
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.most, self.longest, self.old = make, max(1, most // 2), longest, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= self.longest:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
