@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tertulia.functions.text import unify_newlines
+from tertulia.sources.folder_source import TranscriptFolder, is_readable, qualified
 
 # One value of a Spark row cannot pass 2 GB; a larger file is reported, not read.
 MAX_FILE_BYTES = 1 << 30
@@ -17,13 +18,33 @@ def file_key(name: Column | None = None) -> Column:
     return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
-def read_transcripts(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def read_transcripts(
+    spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES, tasks: int | None = None
+) -> DataFrame:
     """``archivo, raw, parse_error``: one row per ``*.txt`` file of the folder, subfolders left out.
 
-    Files that cannot be used are kept as rows with ``parse_error`` set; see ``with_rejects``. A file of zero bytes is
-    an empty transcript. Spark's readers skip such files, so they are what the listing, which the driver holds for the
-    scan anyway, has beyond the files with content. Neither they nor files too large are opened.
+    Files that cannot be used are kept as rows with ``parse_error`` set; see ``with_rejects``: files that are too large
+    or cannot be opened, and files that are no valid UTF-8. A file of zero bytes is an empty transcript. The folder is
+    listed by the ``tasks`` that read it (by default as many as a shuffle has partitions), not by the driver; stores that
+    Python workers cannot open are listed and read by Spark's own readers.
     """
+    place = qualified(spark, path)
+    if not is_readable(place):
+        return _read_by_spark(spark, place, max_bytes)
+    spark.dataSource.register(TranscriptFolder)
+    count = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return decoded(spark.read.format(TranscriptFolder.name()).options(maxBytes=max_bytes, tasks=count).load(place))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """``archivo, raw, parse_error`` of the rows of the folder source."""
+    raw, invalid = checked_text(F.col("value").cast("string"))
+    return files.select("archivo", raw, F.coalesce("parse_error", invalid).alias("parse_error"))
+
+
+def _read_by_spark(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
+    """Spark's readers skip files of zero bytes, so those are what the listing, which the driver holds for such a scan
+    anyway, has beyond the files with content."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt")
     usable = files.where(F.col("_metadata.file_size") <= max_bytes).select(
         file_key().alias("archivo"), *checked_text(F.col("value"))

@@ -15,19 +15,38 @@ from pyspark.sql.streaming import StreamingQuery
 from tertulia.config import ReportOptions, RuleSet
 from tertulia.operators.reports import call_documents
 from tertulia.plans.objections import list_objections
+from tertulia.sources.folder_source import FILES_PER_TASK, TranscriptFolder, is_readable, qualified
 from tertulia.sources.staging import settle
-from tertulia.sources.transcripts import MAX_FILE_BYTES, checked_text, file_key, large_files
+from tertulia.sources.transcripts import MAX_FILE_BYTES, checked_text, decoded, file_key, large_files
 
 
 def stream_transcripts(
-    spark: SparkSession, path: str, files_per_batch: int = 100_000, max_bytes: int = MAX_FILE_BYTES
+    spark: SparkSession,
+    path: str,
+    seen: str | None = None,
+    files_per_task: int = FILES_PER_TASK,
+    max_bytes: int = MAX_FILE_BYTES,
 ) -> DataFrame:
-    """``archivo, raw, parse_error`` of new ``*.txt`` files, with the rows ``read_transcripts`` gives, but for files of
-    zero bytes: they have nothing to analyse and the source skips them.
+    """``archivo, raw, parse_error`` of new ``*.txt`` files, with the rows ``read_transcripts`` gives: files of zero bytes
+    and files that cannot be used come once, like all others.
 
-    Texts, and the listing for files that are too large, are two streams over the folder, united.
+    The names met so far are kept in the folder ``seen``, by default ``_seen`` in the streamed folder (which must then be
+    one folder, without ``*``). A restarted query needs it as it needs its checkpoint. Stores that Python workers cannot
+    open are streamed by Spark's own readers, which skip files of zero bytes.
     """
-    limit = {"maxFilesPerTrigger": files_per_batch, "pathGlobFilter": "*.txt"}
+    place = qualified(spark, path)
+    if not is_readable(place):
+        return _stream_by_spark(spark, place, max_bytes)
+    if seen is None and "*" in path:
+        raise ValueError("several folders need a folder `seen`")
+    spark.dataSource.register(TranscriptFolder)
+    files = spark.readStream.format(TranscriptFolder.name()).options(maxBytes=max_bytes, filesPerTask=files_per_task)
+    return decoded(files.option("seen", qualified(spark, seen or f"{place}/_seen")).load(place))
+
+
+def _stream_by_spark(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
+    """Texts, and the listing for files that are too large, as two streams over the folder, united."""
+    limit = {"maxFilesPerTrigger": 100_000, "pathGlobFilter": "*.txt"}
     files = spark.readStream.options(**limit).text(path, wholetext=True)
     usable = files.where(F.col("_metadata.file_size") <= max_bytes)
     listing = spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary")

@@ -15,8 +15,8 @@ from tertulia.functions.text import to_clock
 #: Turns of up to so many characters are taken as silence where a query needs silent turns.
 SILENT = 80
 INSTRUCTION = "Resumen breve:"
-#: Bytes of the largest file that the folder queries read.
-FILE_LIMIT = 24_000
+#: Document numbers of a file that the folder queries write, and the source whose files are no UTF-8.
+FILE_DOCS, OTHER_ENCODING = 1000, "src3"
 PREAMBLE = "{ 0:00 }\nBefore the first speaker.\n\n"
 
 RULES = RuleSet(

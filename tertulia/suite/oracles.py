@@ -287,10 +287,11 @@ headed AS (
 """
 
 SCAN = f"""
-SELECT CASE WHEN bytes > {I.FILE_LIMIT} THEN 'file too large' END AS parse_error, count(*) AS files,
-       sum(CASE WHEN bytes > {I.FILE_LIMIT} THEN 0 ELSE chars END)::BIGINT AS chars
-FROM (SELECT sum(octet_length(encode(text)) + 1) AS bytes, sum(length(text) + 1) AS chars
-      FROM documents GROUP BY source, lang)
+SELECT CASE WHEN broken THEN 'not valid UTF-8' END AS parse_error, count(*) AS files,
+       sum(CASE WHEN broken THEN 0 ELSE chars END)::BIGINT AS chars
+FROM (SELECT sum(length(text) + 1) AS chars,
+             bool_or(source = '{I.OTHER_ENCODING}' AND regexp_matches(text, '[\u0080-\u00FF]')) AS broken
+      FROM documents GROUP BY source, lang, doc_id // {I.FILE_DOCS})
 GROUP BY ALL"""
 
 METRICS_QUERY = f"WITH {TURNS}, {metrics()} SELECT * FROM metrics"

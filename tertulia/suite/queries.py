@@ -355,25 +355,29 @@ def metrics_job(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def folder_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents written as files, one per source and language, and read back; large files are rejects."""
-    files = read_transcripts(spark, _document_files(spark, folder), max_bytes=I.FILE_LIMIT)
-    good, rejects = with_rejects(files)
+    """Documents written as files and read back; those of one source come in another encoding and are rejects."""
+    good, rejects = with_rejects(read_transcripts(spark, _document_files(spark, folder)))
     return _scan_report(good.withColumn("parse_error", F.lit(None).cast("string")).unionByName(rejects))
 
 
 def folder_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The same folder as a stream that runs until all is read, appended to a table."""
+    """The same files as a stream that runs until all is read, appended to a table."""
     table = fresh_folder(spark, "streamed")
-    stream = folders.stream_transcripts(spark, _document_files(spark, folder), max_bytes=I.FILE_LIMIT)
+    stream = folders.stream_transcripts(spark, _document_files(spark, folder), seen=fresh_folder(spark, "seen"))
     folders.append_to(stream, table, fresh_folder(spark, "progress")).awaitTermination()
     return _scan_report(spark.read.schema("archivo string, raw string, parse_error string").parquet(table))
 
 
 def _document_files(spark: SparkSession, folder: str) -> str:
+    """Files of the documents of a source, a language and a block of ids each, so that none grows with the table."""
     path = fresh_folder(spark, "files")
-    texts = I.table(spark, folder, "documents").select("source", "lang", "text")
-    texts.repartition("source", "lang").write.partitionBy("source", "lang").text(path)
-    return f"{path}/*/*"
+    docs = I.table(spark, folder, "documents")
+    latin = F.encode(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), "ISO-8859-1").cast("string")
+    text = F.when(F.col("source") == I.OTHER_ENCODING, latin).otherwise(F.col("text"))
+    block = F.floor(F.col("doc_id") / I.FILE_DOCS)
+    part = F.concat_ws("-", "source", "lang", block.cast("string")).alias("part")
+    docs.select(text.alias("text"), part).repartition("part").write.partitionBy("part").text(path)
+    return f"{path}/*"
 
 
 def _scan_report(files: DataFrame) -> DataFrame:

@@ -96,3 +96,99 @@ def test_streamed_documents_equal_batch(spark, tmp_path):
     counts.awaitTermination()
     assert [(r.archivo, r["count"]) for r in spark.read.parquet(str(tmp_path / "n" / "results")).collect()] == [("a.txt", 2)]
     assert [r.archivo for r in spark.read.parquet(str(tmp_path / "n" / "rejects")).collect()] == ["bad.txt"]
+
+
+def write_many(place, count):
+    for k in range(count):
+        (place / f"call {k:05d}.txt").write_text(f"text {k}" if k % 50 else "")
+
+
+@pytest.mark.parametrize("tasks", [1, 3, 16])
+def test_many_small_files_in_any_number_of_tasks(spark, tmp_path, tasks):
+    write_many(tmp_path, 3000)
+    files = transcripts.read_transcripts(spark, str(tmp_path), tasks=tasks)
+    assert files.rdd.getNumPartitions() == tasks
+    assert sorted((r.archivo, r.raw) for r in files.collect()) == [
+        (f"call {k:05d}.txt", f"text {k}" if k % 50 else "") for k in range(3000)
+    ]
+
+
+def test_many_folders(spark, tmp_path):
+    for k in range(12):
+        (tmp_path / f"day={k}" / "calls").mkdir(parents=True)
+        (tmp_path / f"day={k}" / "calls" / f"{k}.txt").write_text(str(k))
+        (tmp_path / f"day={k}" / "other").mkdir()
+        (tmp_path / f"day={k}" / "other" / "x.txt").write_text("x")
+    for tasks in (1, 5, 40):
+        files = transcripts.read_transcripts(spark, f"file:{tmp_path}/day=*/calls", tasks=tasks)
+        assert sorted(int(r.raw) for r in files.collect()) == list(range(12))
+    with pytest.raises(Exception, match="nowhere"):
+        transcripts.read_transcripts(spark, str(tmp_path / "nowhere")).collect()
+    assert transcripts.read_transcripts(spark, f"{tmp_path}/none=*").count() == 0
+
+
+def test_rejects_beside_whole_files(spark, folder, tmp_path):
+    folder(**{"big__txt": "y" * 3000, "latin__txt": "año".encode("latin-1"), "good__txt": "año", "none__txt": "", "_hidden__txt": "h"})
+    (tmp_path / "gone.txt").symlink_to(tmp_path / "nothing")
+    odd = bytes(tmp_path) + b"/odd \xff.txt"
+    with open(odd, "w") as file:
+        file.write("odd")
+    good, rejects = transcripts.with_rejects(transcripts.read_transcripts(spark, str(tmp_path), max_bytes=2999))
+    assert {r.archivo: r.raw for r in good.collect()} == {"good.txt": "año", "none.txt": "", "odd �.txt": "odd"}
+    assert {r.archivo: r.parse_error for r in rejects.collect()} == {"big.txt": "file too large", "latin.txt": "not valid UTF-8"}
+
+
+def test_stores_that_workers_cannot_open_are_left_to_spark(spark, folder, monkeypatch):
+    path = folder(**{"a__txt": "x", "empty__txt": "", "bad__txt": b"\xff", "big__txt": "y" * 300})
+    mine = sorted(map(str, transcripts.read_transcripts(spark, path, max_bytes=100).collect()))
+    monkeypatch.setattr(transcripts, "is_readable", lambda path: False)
+    assert sorted(map(str, transcripts.read_transcripts(spark, path, max_bytes=100).collect())) == mine
+
+
+def test_stream_takes_each_file_once(spark, tmp_path):
+    import os
+
+    source, out, state = tmp_path / "in", str(tmp_path / "rows"), str(tmp_path / "state")
+    source.mkdir()
+
+    def run():
+        stream = folders.stream_transcripts(spark, str(source), seen=str(tmp_path / "seen"), files_per_task=7, max_bytes=50)
+        folders.append_to(stream, out, state).awaitTermination()
+        batch = transcripts.read_transcripts(spark, str(source), max_bytes=50)
+        assert sorted(map(str, spark.read.parquet(out).collect())) == sorted(map(str, batch.collect()))
+
+    write_many(source, 60)
+    (source / "big.txt").write_text("y" * 60)
+    run()
+    run()
+    write_many(source, 100)  # 40 more, and 60 written again
+    (source / "bad.txt").write_bytes(b"\xff")
+    (source / "old.txt").write_text("older than all others")
+    os.utime(source / "old.txt", (1, 1))
+    (source / "new and empty.txt").write_text("")
+    run()
+    listings = sorted(n for n in os.listdir(tmp_path / "seen") if not n.startswith("."))
+    assert listings == ["000000000.parquet", "000000001.parquet"]
+    with pytest.raises(ValueError):
+        folders.stream_transcripts(spark, f"{source}/*")
+
+
+def test_a_repeated_batch_reads_the_same_files(tmp_path):
+    from tertulia.sources.folder_source import FolderStream
+
+    source = tmp_path / "in"
+    source.mkdir()
+    options = {"path": str(source), "seen": str(tmp_path / "seen"), "maxBytes": "99", "filesPerTask": "4"}
+
+    def names(start, end):
+        reader = FolderStream(options)
+        found = [n for p in reader.partitions({"listings": start}, {"listings": end}) for b in reader.read(p) for n in b["archivo"].to_pylist()]
+        return sorted(found)
+
+    write_many(source, 10)
+    assert FolderStream(options).latestOffset() == {"listings": 1}
+    first = names(0, 1)
+    write_many(source, 25)
+    reader = FolderStream(options)
+    assert reader.latestOffset() == reader.latestOffset() == FolderStream(options).latestOffset() == {"listings": 2}
+    assert names(0, 1) == first and len(names(1, 2)) == 15 and len(names(0, 2)) == 25 and names(2, 2) == []
