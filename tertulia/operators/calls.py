@@ -37,16 +37,19 @@ def call_metrics(turns: DataFrame, check_labels: bool = False) -> DataFrame:
     )
 
 
-def join_detections(calls: DataFrame, found: DataFrame) -> DataFrame:
+def join_detections(calls: DataFrame, found: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Calls left-joined to their detections on ``archivo``; null names match null names.
 
     A left join cannot split a call with very many detections, an inner one can (adaptive skew join). So
     each call without detections is given one empty row, and the join is inner. ``found`` is read twice, for its
-    names and for its rows, so it is settled first. Runs a job.
+    names and for its rows, so it is settled first. ``names`` is a table that has the names of the calls and is cheap to
+    read again; without it the calls themselves are settled. Runs jobs.
     """
     right = settle(found.withColumnRenamed("archivo", "_call"))
+    if names is None:
+        names = calls = settle(calls)
     same = F.col("archivo").eqNullSafe(F.col("_call"))
-    silent = calls.select("archivo").distinct().join(right.select("_call").distinct(), same, "left_anti")
+    silent = names.select("archivo").distinct().join(right.select("_call").distinct(), same, "left_anti")
     rows = right.unionByName(silent.withColumnRenamed("archivo", "_call"), allowMissingColumns=True)
     return calls.join(rows, same).drop("_call")
 
@@ -67,11 +70,12 @@ def final_calls(metrics: DataFrame, found: DataFrame, summaries: DataFrame) -> D
     """Metrics, detections and summary, one row per call and detection.
 
     Call names are stripped on all three sides. Summaries join first, while there is one row per call, so
-    the detections, the largest input, move once.
+    the detections, the largest input, move once. Metrics, one narrow row per call, are settled: their names are
+    compared with those of the detections before they are joined. Runs jobs.
     """
     named = found.withColumn("archivo", strip(F.col("archivo_origen")))
-    calls = named_calls(metrics)
+    calls = settle(named_calls(metrics))
     told = join_summaries(calls, named_calls(summaries))
     columns = [*calls.columns, *found.columns]
     columns += [name for name in summaries.columns if name != "archivo"]
-    return join_detections(told, named).select(*columns)
+    return join_detections(told, named, calls).select(*columns)

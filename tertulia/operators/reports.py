@@ -231,46 +231,56 @@ def type_counts(objections: DataFrame) -> DataFrame:
     )
 
 
-def corpus_stats(reports: DataFrame, types: Sequence[str]) -> DataFrame:
-    """One row over all reports.
+def first_names(types: Sequence[str]) -> list[str]:
+    """Columns of ``corpus_sums`` that hold where a type was first seen."""
+    return [f"first_{i}" for i in range(len(types))]
+
+
+def corpus_sums(reports: DataFrame, types: Sequence[str]) -> DataFrame:
+    """One row over reports that can be added up with others: counts, the sum of the calls' mean intensities, and for
+    each type the number of its calls and the first place it was seen at, calls taken by name.
 
-    The most common objection is the type found in the most calls; a tie goes to the one seen first, calls
-    taken by name. The overall intensity is the plain mean of the calls' means.
+    The intensities are decimals, so that their sum does not depend on the order.
     """
+    intensity = F.col("avg_intensity") if "avg_intensity" in reports.columns else F.lit(0)
     sums = [
         F.count(F.lit(1)).alias("total_files"),
         F.coalesce(F.sum("objections_found"), F.lit(0)).alias("total_objections"),
+        F.sum(intensity.cast("decimal(28,18)")).cast("decimal(38,18)").alias("intensity"),
     ]
-    has_intensity = "avg_intensity" in reports.columns
-    if has_intensity:
-        sums.append(F.avg("avg_intensity").alias("_intensity"))
     for i, name in enumerate(types):
         place = F.array_position("type_order", name)
-        sums += [
-            F.count_if(place > 0).alias(f"_n_{i}"),
-            F.min(F.when(place > 0, F.struct("file", place.alias("place")))).alias(f"_first_{i}"),
-        ]
-    ranking = F.array_sort(
-        F.filter(
-            F.array(
-                *[
-                    F.struct(
-                        (-F.col(f"_n_{i}")).alias("n"),
-                        F.col(f"_first_{i}").alias("first"),
-                        F.lit(name).alias("type"),
-                    )
-                    for i, name in enumerate(types)
-                ]
-            ),
-            lambda e: e["n"] < 0,
-        )
-    )
-    mean = F.when(F.col("total_files") > 0, F.col("total_objections") / F.col("total_files"))
-    intensity = F.coalesce(F.col("_intensity"), F.lit(0.0)) if has_intensity else F.lit(0.0)
-    return reports.agg(*sums).select(
+        sums.append(F.count_if(place > 0).alias(f"calls_{i}"))
+    for first, name in zip(first_names(types), types, strict=True):
+        place = F.array_position("type_order", name)
+        sums.append(F.min(F.when(place > 0, F.struct("file", place.alias("place")))).alias(first))
+    return reports.agg(*sums)
+
+
+def corpus_row(sums: DataFrame, types: Sequence[str]) -> DataFrame:
+    """The corpus statistics of the sums of all reports.
+
+    The most common objection is the type found in the most calls; a tie goes to the one seen first, calls taken by
+    name. The overall intensity is the plain mean of the calls' means.
+    """
+    kinds = [
+        F.struct((-F.col(f"calls_{i}")).alias("n"), F.col(first).alias("first"), F.lit(name).alias("type"))
+        for i, (first, name) in enumerate(zip(first_names(types), types, strict=True))
+    ]
+    ranking = F.array_sort(F.filter(F.array(*kinds), lambda e: e["n"] < 0))
+
+    def mean(total: Column) -> Column:
+        return F.when(F.col("total_files") > 0, total / F.col("total_files"))
+
+    return sums.select(
         "total_files",
         "total_objections",
-        F.coalesce(mean, F.lit(0.0)).alias("avg_objections_per_file"),
+        F.coalesce(mean(F.col("total_objections")), F.lit(0.0)).alias("avg_objections_per_file"),
         F.get(ranking, 0)["type"].alias("most_common_objection"),
-        intensity.alias("overall_avg_intensity"),
+        F.coalesce(mean(F.col("intensity").cast("double")), F.lit(0.0)).alias("overall_avg_intensity"),
     )
+
+
+def corpus_stats(reports: DataFrame, types: Sequence[str]) -> DataFrame:
+    """One row over all reports, see ``corpus_row``."""
+    return corpus_row(corpus_sums(reports, types), types)

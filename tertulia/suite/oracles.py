@@ -477,4 +477,28 @@ SELECT archivo, turn_no, unnest(range(len(chunks)))::INTEGER AS chunk_no, unnest
 SELECT archivo, count(*) AS chunks, count(*) FILTER (length(chunk) % 11 = 0) AS failed FROM pieces GROUP BY archivo""",
     "q47_sliced_catalog": f"""
 {SCORED} SELECT vec_id, cat_id, frase, round(similarity, 6) AS similarity FROM scored""",
+    "q48_growing_totals": f"""
+{DETECTED.replace(TURNS, TRIMMED)},
+{hits('turns')},
+per_type AS (SELECT archivo, type, min(turn_no * 1000 + rule_no) AS first FROM hits GROUP BY ALL),
+ranked AS (SELECT type, count(*) AS files, min((archivo, first)) AS seen FROM per_type GROUP BY type),
+levels AS (
+  SELECT archivo, coalesce(avg(intensity), 0.0) AS level, count(intensity) AS n
+  FROM (SELECT DISTINCT archivo FROM turns) LEFT JOIN hits USING (archivo) GROUP BY archivo),
+corpus AS (
+  SELECT count(*) AS total_files, sum(n)::BIGINT AS total_objections, round(sum(n) / count(*), 6) AS per_file,
+         (SELECT type FROM ranked ORDER BY files DESC, seen LIMIT 1) AS common, round(avg(level), 6) AS level
+  FROM levels)
+SELECT 'corpus' AS total,
+       unnest(['total_files', 'total_objections', 'avg_objections_per_file', 'most_common_objection',
+               'overall_avg_intensity']) AS figure,
+       unnest([total_files::VARCHAR, total_objections::VARCHAR, per_file::VARCHAR, common, level::VARCHAR]) AS value
+FROM corpus
+UNION ALL
+SELECT 'runs', unnest(['chunks', 'detected', 'failed', 'discarded']),
+       unnest([n::VARCHAR, found::VARCHAR, '0', (n - found)::VARCHAR])
+FROM (SELECT (SELECT count(*) FROM pieces) AS n, (SELECT count(*) FROM detected) AS found)
+UNION ALL
+SELECT 'categories', name, count(*)::VARCHAR
+FROM (SELECT unnest([type, category]) AS name FROM hits) GROUP BY name""",
 }

@@ -15,7 +15,7 @@ from tertulia.plans import detection, objections
 from tertulia.sources import tables
 from tertulia.sources.staging import fresh_folder, settle
 from tertulia.sources.transcripts import read_transcripts, with_rejects, write_clean, write_reports
-from tertulia.streaming import folders
+from tertulia.streaming import folders, totals
 from tertulia.suite import inputs as I
 
 #: Vector numbers whose detections one JSON array holds at most.
@@ -386,6 +386,44 @@ def _scan_report(files: DataFrame) -> DataFrame:
     )
 
 
+def growing_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Corpus statistics, categories and run counters of a table of calls that grows twice, each figure in a row."""
+    table, path, checkpoint = (fresh_folder(spark, name) for name in ("arriving", "totals", "progress"))
+    wanted = {
+        "corpus": totals.corpus(I.RULES),
+        "categories": totals.categories(_ruled_final),
+        "runs": totals.runs(_scored_chunks, I.LETTER_THRESHOLD),
+    }
+    transcripts = I.conversation_transcripts(spark, folder).withColumn("parse_error", F.lit(None).cast("string"))
+    arrival = F.pmod(F.xxhash64("archivo"), F.lit(3))
+    for k in range(3):
+        transcripts.where(arrival == k).write.mode("append").parquet(table)
+        stream = spark.readStream.schema("archivo string, raw string, parse_error string").parquet(table)
+        totals.follow(stream, wanted, path, checkpoint).awaitTermination()
+    found = {name: totals.figures(spark, total, path, name) for name, total in wanted.items()}
+
+    def rows(name: str) -> DataFrame:
+        shown = [F.round(c, 6) if kind == "double" else F.col(c) for c, kind in found[name].dtypes]
+        named = [F.struct(F.lit(c).alias("figure"), v.cast("string").alias("value")) for c, v in zip(found[name].columns, shown)]
+        return found[name].select(F.lit(name).alias("total"), F.inline(F.array(*named)))
+
+    by_category = found["categories"].select(F.lit("categories"), "categoria", F.col("cantidad").cast("string"))
+    return rows("corpus").union(rows("runs")).union(by_category)
+
+
+def _scored_chunks(transcripts: DataFrame) -> DataFrame:
+    return detection.score(detection.clean_and_chunk(transcripts, I.CLEANING, I.CHUNKING), I.RULES, I.make_encoder)
+
+
+def _ruled_final(transcripts: DataFrame) -> DataFrame:
+    """The final table of calls whose detections are their rule objections, without summaries."""
+    found = objections.list_objections(transcripts, I.RULES).select(
+        F.col("archivo").alias("archivo_origen"), F.concat("type", F.lit(", "), "category", F.lit(",,")).alias("categoria")
+    )
+    told = transcripts.select("archivo", F.lit("").alias("resumen"))
+    return calls.final_calls(call_jobs.measure_calls(transcripts, I.make_classifier), found, scoring.drop_empty_summaries(told))
+
+
 def one_call(spark: SparkSession, folder: str) -> DataFrame:
     """The dashboard's figures of the first call by name, one row each."""
     final = settle(_final(spark, folder))
@@ -497,4 +535,5 @@ QUERIES = {
     "q45_comma_chunks": comma_chunks,
     "q46_failed_encodings": failed_encodings,
     "q47_sliced_catalog": small_catalog_slices,
+    "q48_growing_totals": growing_totals,
 }
