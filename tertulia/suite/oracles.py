@@ -477,6 +477,8 @@ SELECT archivo, turn_no, unnest(range(len(chunks)))::INTEGER AS chunk_no, unnest
 SELECT archivo, count(*) AS chunks, count(*) FILTER (length(chunk) % 11 = 0) AS failed FROM pieces GROUP BY archivo""",
     "q47_sliced_catalog": f"""
 {SCORED} SELECT vec_id, cat_id, frase, round(similarity, 6) AS similarity FROM scored""",
+    "q49_split_arrays": f"SELECT * EXCLUDE (turn_no) FROM ({DETECTIONS})",
+    "q50_split_table": f"{FINAL} SELECT * FROM final",
     "q48_growing_totals": f"""
 {DETECTED.replace(TURNS, TRIMMED)},
 {hits('turns')},

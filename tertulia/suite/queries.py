@@ -7,19 +7,20 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tertulia import schemas
 from tertulia.config import ReportOptions
 from tertulia.functions import prompts, text
 from tertulia.operators import calls, dashboard, parsing, reports, rules, scoring, semantic, turns
 from tertulia.plans import calls as call_jobs
 from tertulia.plans import detection, objections
-from tertulia.sources import tables
+from tertulia.sources import splitting, tables
 from tertulia.sources.staging import fresh_folder, settle
 from tertulia.sources.transcripts import read_transcripts, with_rejects, write_clean, write_reports
 from tertulia.streaming import folders, totals
 from tertulia.suite import inputs as I
 
-#: Vector numbers whose detections one JSON array holds at most.
-ARRAY_BLOCK = 1000
+#: Vector numbers whose detections one JSON array holds at most, and bytes of the ranges that files are cut into.
+ARRAY_BLOCK, CUT = 1000, 1 << 14
 
 
 def turn_parse_full(spark: SparkSession, folder: str) -> DataFrame:
@@ -293,11 +294,20 @@ def clean_sink(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("archivo string, clean string").parquet(path)
 
 
-def delimited_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+def _delimited(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """Place and schema of the final table as delimited text."""
     path, final = fresh_folder(spark, "final"), _final(spark, folder)
     tables.write_final(final, path)
-    columns = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in final.schema)
-    return tables.read_table(spark, path, columns)
+    return path, ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in final.schema)
+
+
+def delimited_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.read_table(spark, *_delimited(spark, folder))
+
+
+def split_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The same table, its files cut into ranges of ``CUT`` bytes that are read apart."""
+    return splitting.split_table(spark, *_delimited(spark, folder), range_bytes=CUT)
 
 
 def detection_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -446,6 +456,16 @@ def one_call(spark: SparkSession, folder: str) -> DataFrame:
 
 def detection_array(spark: SparkSession, folder: str) -> DataFrame:
     """Detections as JSON arrays, one file per call and block of ``ARRAY_BLOCK`` vector numbers."""
+    path = _detection_arrays(spark, folder)
+    return tables.read_detections(spark, path).drop("call", "block")
+
+
+def split_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    """The same arrays, each cut into ranges of ``CUT`` bytes that are read apart."""
+    return splitting.split_json(spark, _detection_arrays(spark, folder), schemas.DETECTIONS, CUT)
+
+
+def _detection_arrays(spark: SparkSession, folder: str) -> str:
     path = fresh_folder(spark, "arrays")
     found = semantic.detections(_scored(spark, folder), I.THRESHOLD)
     names = [c for c in found.columns if c not in ("turn_no", "chunk_no")]
@@ -454,7 +474,7 @@ def detection_array(spark: SparkSession, folder: str) -> DataFrame:
     rows.select("value", F.regexp_replace("archivo_origen", "[^a-z0-9_]", "").alias("call"), "block").repartition(
         "call", "block"
     ).write.partitionBy("call", "block").text(path)
-    return tables.read_detections(spark, path).drop("call", "block")
+    return path
 
 
 def united_detections(spark: SparkSession, folder: str) -> DataFrame:
@@ -536,4 +556,6 @@ QUERIES = {
     "q46_failed_encodings": failed_encodings,
     "q47_sliced_catalog": small_catalog_slices,
     "q48_growing_totals": growing_totals,
+    "q49_split_arrays": split_arrays,
+    "q50_split_table": split_round_trip,
 }
