@@ -5,8 +5,10 @@ repeated at once is one feature of its own), hashed to a fixed table. The value
 plus its count, over the norm of the document. Scoring is a sparse dot product with a weight table of fixed size,
 added to the log odds of a good document among those learnt from, so a text says nothing until its features do.
 
-Training takes a bounded sample of the labelled rows (``TRAIN_ROWS``, by a hash of the id). The sample is dealt over
-several tasks; each follows the regularised leader over its share, and the weights are averaged.
+Training takes a bounded sample of the labelled rows (``TRAIN_ROWS``, by a hash of the id). The sample is dealt in shares
+of about ``SHARE_ROWS``, one for a small sample. In each of a few rounds every share goes on from the mean state of the
+leaders of the round before. Passes are as many as make about ``UPDATES`` updates, within bounds, so that few labelled
+rows move the weights as far as many.
 
 Defined results: null and empty texts have no features and score the share of good documents. A document with several labels
 counts as good if their mean is at least one half; null labels are ignored. Without labels every score is 0.5 and
@@ -18,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,12 +31,14 @@ from pyspark.sql import functions as F
 
 from tertulia.llm.common import slices
 from tertulia.llm.vocabulary import Memo
+from tertulia.sources.staging import settle
 
 #: Size of the feature table.
 BITS = 18
 #: About so many labelled rows are learnt from, at most; fewer if there are fewer.
 TRAIN_ROWS = 16_000
-TASKS, EPOCHS = 8, 4
+SHARE_ROWS, ROUNDS = 2000, 4
+UPDATES, LEAST_PASSES, MOST_PASSES = 64_000, 4, 24
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.0
 #: Added to a document's squared norm, so that a few unknown words do not outweigh the prior.
 EASE = 12.0
@@ -90,15 +94,24 @@ class Leader:
         self.n[at] += gradient**2
 
 
-def _train(rows: pd.DataFrame, prior: float) -> pd.DataFrame:
-    """Weights of one share of the sample, in an order that only depends on its rows."""
-    rows = rows.sort_values(["order", "text"], na_position="first")
-    examples = [(*features(t), float(y)) for t, y in zip(rows["text"], rows["label"], strict=True)]
-    leader, order = Leader(), np.random.RandomState(0)
-    for _ in range(EPOCHS):
-        for i in order.permutation(len(examples)):
-            leader.learn(*examples[i], prior)
-    return pd.DataFrame({"weights": [leader.weights().astype("<f4").tobytes()]})
+def _training(prior: float, passes: int, number: int, state) -> Callable:
+    """Work of one round on a share of the sample, in an order that only depends on its rows and the round; ``state`` is a
+    broadcast of the mean state of the round before, or of None."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        share = int(rows["share"].iloc[0])
+        rows = rows.sort_values(["order", "text"], na_position="first")
+        examples = [(*features(t), float(y)) for t, y in zip(rows["text"], rows["label"], strict=True)]
+        leader, order = Leader(), np.random.RandomState(number)
+        if state.value is not None:
+            leader.z, leader.n = (x.astype(np.float64) for x in state.value)
+        for _ in range(passes):
+            for i in order.permutation(len(examples)):
+                leader.learn(*examples[i], prior)
+        after = {name: [x.astype("<f4").tobytes()] for name, x in (("z", leader.z), ("n", leader.n))}
+        return pd.DataFrame({"share": [share], **after})
+
+    return work
 
 
 @dataclass(frozen=True)
@@ -123,13 +136,25 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # about ``rows`` rows of three numbers
     count, good = sample.agg(F.count("*"), F.sum("label")).first()
     prior = math.log(((good or 0) + 1) / (count - (good or 0) + 1))
-    shares = joined.select("text", "label", "order", F.pmod(F.shiftright("order", 32), F.lit(TASKS)).alias("share"))
-    learnt = shares.groupBy("share").applyInPandas(lambda rows: _train(rows, prior), "weights binary").collect()  # at most TASKS tables
-    if not learnt:
-        return Model(np.zeros(1 << BITS, np.float32), 0.0)
-    tables = [np.frombuffer(row["weights"], "<f4") for row in learnt]
-    mean = np.sort(np.stack(tables), axis=0).mean(axis=0)  # sorted: the order of the shares must not matter
-    return Model(mean.astype(np.float32), prior)
+    tasks = max(1, math.ceil(count / SHARE_ROWS))  # at most about rows / SHARE_ROWS
+    share = F.pmod(F.shiftright("order", 32), F.lit(tasks)).alias("share")
+    shares = settle(joined.select("text", "label", "order", share))
+    rounds = ROUNDS if tasks > 1 else 1
+    passes = min(MOST_PASSES, max(LEAST_PASSES, round(UPDATES / max(1, count))))
+    leader = Leader()
+    state = None
+    for number in range(rounds):
+        sent = docs.sparkSession.sparkContext.broadcast(state)
+        work = _training(prior, max(1, round(passes / rounds)), number, sent)
+        learnt = shares.groupBy("share").applyInPandas(work, "share int, z binary, n binary").collect()  # one row a share
+        if not learnt:
+            return Model(np.zeros(1 << BITS, np.float32), 0.0)
+        learnt.sort(key=lambda row: row["share"])
+        leader.z, leader.n = (
+            np.stack([np.frombuffer(row[name], "<f4") for row in learnt]).mean(axis=0, dtype=np.float64) for name in ("z", "n")
+        )
+        state = tuple(x.astype("<f4") for x in (leader.z, leader.n))
+    return Model(leader.weights().astype(np.float32), prior)
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

@@ -1,5 +1,6 @@
 """Quality classifier and quality rules."""
 
+import os
 import re
 import zlib
 
@@ -113,3 +114,24 @@ def test_every_trusted_document_counts(spark):
     scale = np.log((30_000 + 16) / (25_000 + 16))
     assert max(ratios.values, key=abs) == pytest.approx(scale, abs=1e-6)  # buckets without counts
     assert min(ratios.values, key=abs) == pytest.approx(np.log(25_001 / 30_001) + scale, abs=1e-6)
+
+
+@pytest.mark.parametrize("folder, accepted, rejected", [("sf0.01", 8, 1), ("sf0.1", 10, 3)])
+def test_junk_of_the_given_tables_is_rejected(spark, folder, accepted, rejected):
+    """Held-out documents only; the share of junk that passes must not depend on few labels being given."""
+    place = f"/root/testdata/{folder}"
+    if not os.path.isdir(place):
+        pytest.skip("no test data")
+    docs, labels = (spark.read.parquet(f"{place}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.train(docs.select("doc_id", "text"), labels)
+    held = docs.join(labels.select("doc_id", "quality"), "doc_id").filter(quality.held_out(F.col("doc_id")))
+    scored = quality.with_score(held, model).withColumn("p", quality.predicted(F.col("score"), model))
+    wrong = {(r.quality, r.p): r["count"] for r in scored.groupBy("quality", "p").count().collect()}
+    assert wrong.get((0, 1), 0) <= accepted and wrong.get((1, 0), 0) <= rejected
+
+
+def test_a_very_long_text_is_scored(spark):
+    rows, labels = corpus(200)
+    docs = spark.createDataFrame([*rows, (900, BAD * 20_000), (901, GOOD * 20_000)], "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame([*labels, (900, 0), (901, 1)], "doc_id long, quality int"))
+    assert model.score(BAD * 20_000) < 0.7 <= model.score(GOOD * 20_000)
