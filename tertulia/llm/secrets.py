@@ -35,7 +35,7 @@ _ASSIGN = re.compile(
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run: shorter ones fail
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,64})-----(.*?)-----END \1-----", re.DOTALL)
+_MARKER = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,64})-----")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 _SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _HEX_ANY = re.compile(r"[0-9A-Fa-f]{48,}")
@@ -142,14 +142,34 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _armoured(text: str) -> list[tuple[int, int, int, int]]:
+    """Start, inside and end of armoured blocks, leftmost first and apart: a beginning and the next end of its label.
+
+    One pass over the text and one over its markers from behind, however many have no end.
+    """
+    markers = list(_MARKER.finditer(text))
+    ends: dict[str, re.Match] = {}
+    pairs: list[tuple[re.Match, re.Match | None]] = []
+    for m in reversed(markers):
+        if m[1] == "END":
+            ends[m[2]] = m
+        else:
+            pairs.append((m, ends.get(m[2])))
+    found, free = [], 0
+    for begin, end in reversed(pairs):
+        if end is not None and begin.start() >= free:
+            found.append((begin.start(), begin.end(), end.start(), end.end()))
+            free = end.end()
+    return found
+
+
 def structural_spans(text: str) -> list[tuple[str, int, int]]:
     found = []
-    if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            body = "".join(line for line in m[2].split() if ":" not in line)
-            data = decode_base64(body)
-            if data and (is_key_encoding(data) or is_ssh_encoding(data)):
-                found.append(("pem", *m.span()))
+    for start, inside, outside, end in _armoured(text) if "-----BEGIN " in text else ():
+        body = "".join(line for line in text[inside:outside].split() if ":" not in line)
+        data = decode_base64(body)
+        if data and (is_key_encoding(data) or is_ssh_encoding(data)):
+            found.append(("pem", start, end))
     for m in _BASE64.finditer(text):
         data = decode_base64(m[0])
         if data:

@@ -137,3 +137,12 @@ def test_signed_tokens_however_their_header_begins(header):
     token = ".".join(parts)
     assert secrets.all_spans(f"see {token} there") == [("signed", 4, 4 + len(token))]
     assert secrets.all_spans(f"see x{token[1:]} there") == []
+
+
+def test_markers_without_an_end_take_linear_time():
+    import time
+
+    text = "-----BEGIN A-----\n" * 60_000  # 1 MB
+    start = time.process_time()
+    assert secrets.all_spans(text) == []
+    assert time.process_time() - start < 2
