@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tertulia.functions.text import split_categories
+from tertulia.sources.staging import settle
 
 # Names shown when no single call is selected, and the two outcomes.
 ALL_CALLS = "Todas"
@@ -97,31 +98,53 @@ def call_kpis(
     ).select(head[0], "exito", "sentimiento_prom", "duracion_prom_min", "resumen")
 
 
+def _row_place(order: Sequence[str]) -> Column:
+    """The order columns of a row as one number, missing values first."""
+    place = F.lit(0).cast("decimal(38,0)")
+    for name in order:
+        number = F.coalesce(F.col(name).cast("long") + 1, F.lit(0)).cast("decimal(19,0)")
+        place = (place * F.lit(1 << 33).cast("decimal(11,0)")).cast("decimal(38,0)") + number
+    return place.cast("decimal(38,0)")
+
+
+def _first_summaries(final: DataFrame, firsts: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``_call, resumen`` of the first row of each call, the least text where several rows are first; ``firsts`` has
+    ``archivo, _first``. Only those rows' texts are moved."""
+    told = final.select(F.col("archivo").alias("_call"), _row_place(order).alias("_place"), "resumen")
+    first = told.join(firsts, F.col("archivo").eqNullSafe(F.col("_call")) & (F.col("_place") == F.col("_first")))
+    texts = first.select("_call", "resumen").distinct()
+    by_text = Window.partitionBy("_call").orderBy(F.asc_nulls_last("resumen"))
+    return texts.withColumn("_rank", F.row_number().over(by_text)).where("_rank = 1").drop("_rank")
+
+
 def kpis_by_call(
     final: DataFrame, order: Sequence[str] = ("turn_no", "rule_no", "chunk_no")
 ) -> DataFrame:
     """``call_kpis`` of every call, and of all calls together.
 
-    The rows of a call are summed up once; the figures of all calls come from those sums, so no row is doubled.
+    The numbers of a call are summed up once, by hashing; the figures of all calls come from those sums. Summaries are
+    fetched afterwards, for the first row of each call. Runs a job.
     """
     measured = [c for c in ("sentimiento_speaker1", "sentimiento_speaker2", "duracion_total_seg") if c in final.columns]
+    places = [name for name in order if name in final.columns]
     sums = [f(c).alias(f"_{f.__name__}_{c}") for c in measured for f in (F.sum, F.count)]
-    calls = final.groupBy("archivo").agg(
-        *sums, _success().alias("exito"), _first_summary(final.columns, order).alias("resumen")
-    )
-    figures = calls.rollup("archivo").agg(
-        F.grouping("archivo").alias("_all"),
-        F.max("exito").alias("exito"),
-        F.max("resumen").alias("resumen"),
-        *((F.sum(f"_sum_{c}") / F.sum(f"_count_{c}")).alias(c) for c in measured),
-    )
-    total = F.col("_all") == 1
-    return figures.select(
-        F.when(total, SEVERAL).otherwise(F.col("archivo")).alias("id_llamada"),
-        F.when(total, SEVERAL).otherwise(F.col("exito")).alias("exito"),
-        *_kpis_of(measured, F.col),
-        F.when(total, SEVERAL_SUMMARIES).otherwise(F.col("resumen")).alias("resumen"),
+    said_yes = F.coalesce(F.col("exito") == SUCCESS_MARK, F.lit(False)).cast("int")
+    calls = settle(
+        final.groupBy("archivo").agg(*sums, F.avg(said_yes).alias("_share"), F.min(_row_place(places)).alias("_first"))
     )
+    summed = [F.sum(f"_{f}_{c}").alias(f"_{f}_{c}") for c in measured for f in ("sum", "count")]
+    together = calls.agg(F.count(F.lit(1)).alias("_calls"), *summed).where("_calls > 0")
+
+    def means(rows: DataFrame, *head: Column) -> DataFrame:
+        return rows.select(*head, *((F.col(f"_sum_{c}") / F.col(f"_count_{c}")).alias(c) for c in measured))
+
+    told = _first_summaries(final, calls.select("archivo", "_first"), places)
+    each = calls.join(told, F.col("archivo").eqNullSafe(F.col("_call")), "left")
+    success = F.when(F.col("_share") > 0.5, SUCCESS).otherwise(FAILURE)
+    every = means(each, F.col("archivo").alias("id_llamada"), success.alias("exito"), F.col("resumen"))
+    one = (F.lit(v).alias(n) for n, v in (("id_llamada", SEVERAL), ("exito", SEVERAL), ("resumen", SEVERAL_SUMMARIES)))
+    figures = every.unionByName(means(together, *one))
+    return figures.select("id_llamada", "exito", *_kpis_of(measured, F.col), "resumen")
 
 
 def per_call_means(calls: DataFrame) -> DataFrame:

@@ -134,12 +134,14 @@ def best_match(chunks: DataFrame, catalog: DataFrame, slice_bytes: int = SLICE_B
 
     The best entry has the highest similarity, rounded to ``DIGITS``, and of equal ones the lowest ``cat_id``. The
     catalog is sent to the workers in slices of at most ``slice_bytes`` of vectors, and each chunk keeps its best so
-    far, so chunks are scored where they lie. With several slices the encoded chunks are settled first: jobs run when
+    far, so chunks are scored where they lie. Its phrases are joined afterwards, broadcast if their bytes fit a slice.
+    With several slices the encoded chunks are settled first: jobs run when
     this is called, and no chunk is encoded twice. A catalog phrase that could not be encoded is an error.
     """
     base = catalog.select(*CATALOG, "embedding")
-    count, width, missing = base.agg(
-        F.count("embedding"), F.max(F.size("embedding")), F.count_if(F.col("embedding").isNull())
+    texts = sum((F.coalesce(F.octet_length(n), F.lit(0)) for n in CATALOG[1:]), F.lit(16))
+    count, width, missing, text_bytes = base.agg(
+        F.count("embedding"), F.max(F.size("embedding")), F.count_if(F.col("embedding").isNull()), F.sum(texts)
     ).first()
     if missing:
         raise ValueError(f"{missing} catalog phrases have no embedding")
@@ -167,7 +169,7 @@ def best_match(chunks: DataFrame, catalog: DataFrame, slice_bytes: int = SLICE_B
         F.col("_near.similarity").alias("similarity"),
     )
     phrases = catalog.select(*CATALOG)
-    return found.join(F.broadcast(phrases) if slices == 1 else phrases, "cat_id", "left")
+    return found.join(F.broadcast(phrases) if text_bytes <= slice_bytes else phrases, "cat_id", "left")
 
 
 #: Compared field by field: the rounded similarity, then the lower number.

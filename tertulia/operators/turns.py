@@ -34,14 +34,15 @@ def number_rows(
 
     Blocks of the order column are numbered on their own and shifted by the rows of the blocks before. Those
     sums are taken in two steps, within and over groups of blocks, so that the one window that holds all of a
-    key sees one row per ``block * SUPERBLOCK`` places.
+    key sees one row per ``block * SUPERBLOCK`` places. The blocks' sizes, one row each, are settled, so the table is
+    read once for them and once for its rows. Runs a job.
     """
     blocks, group = df.withColumn("_block", _block(F.col(order), block)), ["_block"]
     if keys:
         # A struct equals itself when its fields are null, so the join below is a plain one on the same key.
         blocks, group = blocks.withColumn("_key", F.struct(*keys)), ["_key", "_block"]
     outer = [*group[:-1], "_super"]
-    counts = (
+    counts = settle(
         blocks.groupBy(*group)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("_super", _block(F.col("_block"), SUPERBLOCK))

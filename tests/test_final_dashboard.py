@@ -148,3 +148,22 @@ def test_columns(spark):
     with pytest.raises(ValueError):
         tables.normalise_columns(spark.createDataFrame([(1, 2)], "`é` int, e int"))
     assert tables.order_columns(df, ["c", "none"]).columns == ["c", " Archivó ", "Duración Ñ"]
+
+
+def test_summaries_are_fetched_after_the_numbers(spark):
+    rows = [
+        ("a", 2, 1, "si", 10, "second"), ("a", 1, 5, "no", 20, "first"), ("a", 1, 7, "si", 30, "third"),
+        ("b", None, None, None, 40, None), ("c", 3, 1, "no", 5, "z"), ("c", 3, 1, "no", 5, "y"), ("c", 3, 1, "no", 5, None),
+        (None, 9, 9, "si", 7, "nameless"), ("d", 1, None, "si", 1, "null first"), ("d", 1, 0, "si", 1, "then"),
+    ]
+    schema = "archivo string, turn_no int, rule_no int, exito string, duracion_total_seg int, resumen string"
+    final = spark.createDataFrame(rows, schema)
+    figures = dashboard.kpis_by_call(final)
+    assert {r.id_llamada: (r.exito, r.resumen, r.duracion_prom_min) for r in figures.collect()} == {
+        "a": ("Sí", "first", 0.33), "b": ("No", None, 0.67), "c": ("No", "y", 0.08), None: ("Sí", "nameless", 0.12),
+        "d": ("Sí", "null first", 0.02), "Varias": ("Varias", "Múltiples llamadas", 0.21),
+    }
+    plan = figures._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Expand" not in plan
+    assert dashboard.kpis_by_call(final.limit(0)).count() == 0
+    assert {r.resumen for r in dashboard.kpis_by_call(final.where("archivo = 'a'"), order=()).collect()} == {"first", "Múltiples llamadas"}
