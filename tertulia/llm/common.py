@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +42,13 @@ def let(value: Column, body) -> Column:
 
 
 def slices(batches: Iterator, rows: int = 256) -> Iterator:
-    """The Arrow arrays of batches, or tuples of arrays, ``rows`` at a time, so that few rows are Python objects."""
+    """The Arrow arrays of batches, or tuples of arrays, ``rows`` at a time, so that few rows are Python objects.
+
+    Workers are used again by later stages, so what Arrow holds in reserve is given back at the end.
+    """
     for batch in batches:
         several = isinstance(batch, tuple)
         for at in range(0, len(batch[0] if several else batch), rows):
             yield tuple(a.slice(at, rows) for a in batch) if several else batch.slice(at, rows)
+    batch = None
+    pa.default_memory_pool().release_unused()

@@ -24,7 +24,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,10 +97,13 @@ def _training(prior: float, passes: int, number: int, state) -> Callable:
     """Work of one round on a share of the sample, in an order that only depends on its rows and the round; ``state`` is a
     broadcast of the mean state of the round before, or of None."""
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        share = int(rows["share"].iloc[0])
-        rows = rows.sort_values(["order", "text"], na_position="first")
-        examples = [(*features(t), float(y)) for t, y in zip(rows["text"], rows["label"], strict=True)]
+    def work(rows: pa.Table) -> pa.Table:
+        share = rows["share"][0].as_py()
+        rows = rows.sort_by([("order", "ascending"), ("text", "ascending")])
+        examples = []
+        for batch in rows.select(["text", "label"]).to_batches(max_chunksize=256):  # few texts are Python objects at once
+            texts, known = (column.to_pylist() for column in batch.columns)
+            examples += [(*features(t), y) for t, y in zip(texts, known, strict=True)]
         leader, order = Leader(), np.random.RandomState(number)
         if state.value is not None:
             leader.z, leader.n = (x.astype(np.float64) for x in state.value)
@@ -109,7 +111,7 @@ def _training(prior: float, passes: int, number: int, state) -> Callable:
             for i in order.permutation(len(examples)):
                 leader.learn(*examples[i], prior)
         after = {name: [x.astype("<f4").tobytes()] for name, x in (("z", leader.z), ("n", leader.n))}
-        return pd.DataFrame({"share": [share], **after})
+        return pa.table({"share": pa.array([share], pa.int32()), **after})
 
     return work
 
@@ -137,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     count, good = sample.agg(F.count("*"), F.sum("label")).first()
     prior = math.log(((good or 0) + 1) / (count - (good or 0) + 1))
     tasks = max(1, math.ceil(count / SHARE_ROWS))  # at most about rows / SHARE_ROWS
-    share = F.pmod(F.shiftright("order", 32), F.lit(tasks)).alias("share")
+    share = F.pmod(F.shiftright("order", 32), F.lit(tasks)).cast("int").alias("share")
     shares = settle(joined.select("text", "label", "order", share))
     rounds = ROUNDS if tasks > 1 else 1
     passes = min(MOST_PASSES, max(LEAST_PASSES, round(UPDATES / max(1, count))))
@@ -146,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     for number in range(rounds):
         sent = docs.sparkSession.sparkContext.broadcast(state)
         work = _training(prior, max(1, round(passes / rounds)), number, sent)
-        learnt = shares.groupBy("share").applyInPandas(work, "share int, z binary, n binary").collect()  # one row a share
+        learnt = shares.groupBy("share").applyInArrow(work, "share int, z binary, n binary").collect()  # one row a share
         if not learnt:
             return Model(np.zeros(1 << BITS, np.float32), 0.0)
         learnt.sort(key=lambda row: row["share"])
