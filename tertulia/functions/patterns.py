@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from re import _constants, _parser
 
 #: Java flags: classes and case by Unicode, and a line feed as the only line end.
 FLAGS = "(?dU)"
@@ -27,6 +28,8 @@ _OUTSIDE = {
 _INSIDE = {"w": _WORD, "s": _SPACE, "v": r"\x0b", "b": r"\x08"}
 _COUNT = re.compile(r"\{(\d*)(,?)(\d*)\}")
 _FLAG = re.compile(r"\(\?([a-zA-Z]*)(-[a-zA-Z]+)?[:)]")
+#: Alternatives that required texts are spelled out to.
+_FEW = 16
 _GROUPS = ("(?:", "(?=", "(?!", "(?<=", "(?<!", "(?>")
 
 
@@ -99,3 +102,62 @@ def to_java(pattern: str) -> str:
             out.append("\\}" if char == "}" else char)
             i += 1
     return "".join(out)
+
+
+def required_texts(pattern: str) -> frozenset[str] | None:
+    """Texts of which every match of the pattern holds at least one, as long as can be told; None if there is no such set.
+
+    Only parts that must be matched count, letter by letter: choices give the texts of all their branches, and classes,
+    repetitions that may be empty, and parts that ignore case give none.
+    """
+    return _required(_parser.parse(pattern)) if not re.compile(pattern).flags & re.IGNORECASE else None
+
+
+def _exact(kind, value) -> frozenset[str] | None:
+    """All texts that a part of a pattern matches, if they are few."""
+    if kind is _constants.LITERAL:
+        return frozenset([chr(value)])
+    if kind is _constants.IN and all(k is _constants.LITERAL for k, _ in value):
+        return frozenset(chr(v) for _, v in value)
+    if kind is _constants.SUBPATTERN and not value[1]:
+        return _exactly(value[3])
+    if kind is _constants.BRANCH:
+        each = [_exactly(branch) for branch in value[1]]
+        return frozenset().union(*each) if None not in each else None
+    if kind in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and value[:2] == (0, 1):
+        own = _exactly(value[2])
+        return own | {""} if own is not None else None
+    return None
+
+
+def _exactly(parts) -> frozenset[str] | None:
+    texts = frozenset([""])
+    for kind, value in parts:
+        own = _exact(kind, value)
+        if own is None or len(texts) * len(own) > _FEW:
+            return None
+        texts = frozenset(a + b for a in texts for b in own)
+    return texts
+
+
+def _required(parts) -> frozenset[str] | None:
+    found: list[frozenset[str]] = []
+    run = frozenset([""])
+    for kind, value in [*parts, (None, None)]:
+        own = _exact(kind, value)
+        if own is not None and len(run) * len(own) <= _FEW:
+            run = frozenset(a + b for a in run for b in own)
+            continue
+        found.append(run)
+        run = own if own is not None and len(own) <= _FEW else frozenset([""])
+        inner = None
+        if kind is _constants.SUBPATTERN and not value[1]:
+            inner = _required(value[3])
+        elif kind is _constants.BRANCH:
+            each = [_required(branch) for branch in value[1]]
+            inner = frozenset().union(*each) if None not in each else None
+        elif kind in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and value[0] > 0:
+            inner = _required(value[2])
+        if inner:
+            found.append(inner)
+    return max((t for t in found if "" not in t), key=lambda texts: (min(map(len, texts)), -len(texts)), default=None)

@@ -161,3 +161,52 @@ def test_rule_checks(spark):
     rows = R.rules_table(spark, RULES).orderBy("type_ord", "category_ord", "pattern_ord").collect()
     assert [r.pattern for r in rows] == [rule.pattern for rule in RULES.rules()]
     assert R.match_rules(spark.range(1).select(F.lit("x").alias("text")), RuleSet({})).first()["hits"] == []
+
+
+@pytest.mark.parametrize(
+    "pattern, texts",
+    [
+        ("(than|then)[a-z]* (the|of)", {"than", "then"}),
+        ("[abc]{2}rest", {"rest"}),
+        ("(a|b)(c|d)(e|f)(g|h)(i|j)", {a + c + e + g for a in "ab" for c in "cd" for e in "ef" for g in "gh"}),
+        (r"\bno (me )?interesa\b", {"no interesa", "no me interesa"}),
+        ("abc+de", {"ab"}),
+        ("(?:foo|ba[rz])x", {"foox", "barx", "bazx"}),
+        ("a*", None),
+        ("x?yz|q", {"xyz", "yz", "q"}),
+        ("(?i)abc", None),
+        ("(?i:abc)def", {"def"}),
+        ("(?=lookahead)no", {"no"}),
+        ("(?!not)yes", {"yes"}),
+        ("[a]bc", {"abc"}),
+        (r"(ab)\1", {"ab"}),
+        ("(long|)", None),
+        (r"\.\+", {".+"}),
+    ],
+)
+def test_required_texts(pattern, texts):
+    from tertulia.functions.patterns import required_texts
+
+    assert required_texts(pattern) == texts
+
+
+def test_gated_rules_find_the_same(spark, monkeypatch):
+    import random
+
+    from tertulia.operators import reports
+
+    rng = random.Random(8)
+    stems = ["caro", "luego", "precio alto", "no me interesa", "dudas", "hoy", "mañana", "otro proveedor", "más tarde"]
+    forms = ["{}", r"\b{}\b", "({}|{})", "{}[a-z]*", "(?:muy )?{}", "[0-9]+ {}", ".", "{}?", "(?i){}", "xx{}"]
+    pattern = lambda: rng.choice(forms).format(rng.choice(stems), rng.choice(stems))
+    found = {t: {f"{t}{c}": [pattern() for _ in range(rng.randrange(1, 40))] for c in range(4)} for t in "ABC"}
+    large = RuleSet(found, {"A1": 3})
+    assert len(large.rules()) >= R.GATED_RULES
+    texts = [" ".join(rng.choice([*stems, "hola", "7", "x"]) for _ in range(rng.randrange(12))) for _ in range(60)]
+    turns = spark.createDataFrame([("a", i, 1, t) for i, t in enumerate([*texts, None, "", "abc"])], "archivo string, turn_no int, speaker_num int, text string")
+    call = "".join(f"Speaker 1: {{ 0:{i:02d} }}\n{t}\n" for i, t in enumerate(texts[:30]))
+    calls = spark.createDataFrame([("a", call)], "archivo string, raw string")
+    shown = lambda df: sorted(map(str, df.collect()))
+    gated = [shown(R.match_rules(turns, large)), shown(reports.call_documents(calls, large))]
+    monkeypatch.setattr(R, "GATED_RULES", 1 << 30)
+    assert gated == [shown(R.match_rules(turns, large)), shown(reports.call_documents(calls, large))]
