@@ -21,10 +21,10 @@ PREAMBLE = "{ 0:00 }\nBefore the first speaker.\n\n"
 
 RULES = RuleSet(
     patterns={
-        "TIME": {"later": ["(than|then)[a-z]* (the|of)", "from th", "on[a-z]+ing"], "busy": ["was (a|in) ", "tion of"]},
-        "NEED": {"no_need": ["que (la|el|de) ", "no (es|hay)", "[a-z]+ción"], "has_other": ["(est|un) (de|la)", "el[a-z]* a"]},
-        "TRUST": {"risk": ["der (ein|und)", "und d(ie|as|er)"], "doubt": ["é"]},
-        "INFO": {"detail": ["this (is|was|with)", "[0-9]+"], "price": ["est (le|la|en)", "pour ", "(et|de) [a-z]e"]},
+        "MOMENT": {"later": ["(than|then)[a-z]* (the|of)", "from th", "on[a-z]+ing"], "busy": ["was (a|in) ", "tion of"]},
+        "USE": {"no_need": ["que (la|el|de) ", "no (es|hay)", "[a-z]+ción"], "has_other": ["(est|un) (de|la)", "el[a-z]* a"]},
+        "SAFETY": {"risk": ["der (ein|und)", "und d(ie|as|er)"], "doubt": ["é"]},
+        "FACTS": {"detail": ["this (is|was|with)", "[0-9]+"], "price": ["est (le|la|en)", "pour ", "(et|de) [a-z]e"]},
     },
     intensity={"later": 2, "busy": 1, "no_need": 3, "risk": 3, "detail": 1, "price": 2},
 )

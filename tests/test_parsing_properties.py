@@ -55,17 +55,35 @@ def test_full_turns(spark, texts):
     assert got == [expected(t) for t in texts]
 
 
-@OFTEN
-@given(texts=CALLS)
-def test_metric_turns(spark, texts):
-    def expected(text):
-        found = re.findall(r"(Speaker\s\d+):\s*\{\s*(\d+):(\d+)\s*\}\s*(.*)", text)
-        starts = [int(m) * 60 + int(s) for _, m, s, _ in found]
-        gaps = [max(0, b - a) for a, b in zip(starts, starts[1:] + starts[-1:], strict=True)]
-        return [(f[0], a, g, f[3]) for f, a, g in zip(found, starts, gaps, strict=True)]
-
-    df = parsing.parse_metric_turns(table(spark, texts, "raw"))
-    assert grouped(df, texts, "speaker", "start_sec", "duration_sec", "speech") == [expected(t) for t in texts]
+#: Transcripts, and their turns as (speaker, start, duration, speech).
+MEASURED = {
+    "Speaker 1: { 0:01 }\nbuenas\notra línea\nSpeaker 2:{0:09}\n  adiós ": [
+        ("Speaker 1", 1, 8, "buenas"), ("Speaker 2", 9, 0, "adiós "),
+    ],
+    "Speaker 7: { 1:07 } en la misma línea\n\nSpeaker 7: { 75:00 }\nmás tarde": [
+        ("Speaker 7", 67, 4433, "en la misma línea"), ("Speaker 7", 4500, 0, "más tarde"),
+    ],
+    "Speaker 2: { 0:50 }\nantes\nSpeaker 1: { 0:20 }\nhacia atrás\nSpeaker 2: { 0:25 }\nfin": [
+        ("Speaker 2", 50, 0, "antes"), ("Speaker 1", 20, 5, "hacia atrás"), ("Speaker 2", 25, 0, "fin"),
+    ],
+    # a silent turn takes the next header as its speech
+    "Speaker 1: { 0:01 }\n\nSpeaker 2: { 0:04 }\nsí\nSpeaker 1: { 0:06 }\nno": [
+        ("Speaker 1", 1, 5, "Speaker 2: { 0:04 }"), ("Speaker 1", 6, 0, "no"),
+    ],
+    # two blanks after the word, an hour, a missing bracket, and a bare time are no headers
+    "Speaker  1: { 0:01 }\nx\nSpeaker 1: { 1:00:01 }\ny\nSpeaker 1: { 0:02\nz\n{ 0:03 }\nSpeaker 3: { 0:04 }\nw\n{ 0:05 }": [
+        ("Speaker 3", 4, 0, "w"),
+    ],
+    "dice Speaker 9: { 0:31 } dentro": [("Speaker 9", 31, 0, "dentro")],
+    "Speaker 1: { 0:01 }": [("Speaker 1", 1, 0, "")],
+    "nada": [],
+    "": [],
+}
+
+
+def test_metric_turns(spark):
+    df = parsing.parse_metric_turns(table(spark, list(MEASURED), "raw"))
+    assert grouped(df, list(MEASURED), "speaker", "start_sec", "duration_sec", "speech") == list(MEASURED.values())
 
 
 @OFTEN

@@ -9,12 +9,11 @@ from tertulia.sources.transcripts import write_reports
 
 RULES = RuleSet(
     {
-        "TIME": {"later": ["luego"]},
-        "NEED": {"enough": ["ya tengo", "no necesito"]},
-        "TRUST": {"risk": ["riesgo"]},
-        "INFO": {"detail": ["cuanto"]},
+        "MOMENT": {"later": ["luego", "el lunes"]},
+        "COST": {"high": ["sale caro", "no lo pago"]},
+        "SAFETY": {"cover": ["garantia"]},
     },
-    {"later": 2, "enough": 3, "risk": 3},
+    {"high": 5, "cover": 2},
 )
 
 
@@ -22,8 +21,8 @@ def transcript(*lines):
     return "\n\n".join(f"Speaker {who}:  {{ 0:{second:02d} }}\n{text}" for who, second, text in lines)
 
 
-SAID = {5: "Luego", 11: "Ya tengo", 17: "un riesgo", 25: "¿Cuánto?"}
-FOUR = transcript(*[(1 + (i + 1) % 2, i, SAID.get(i, f"t{i}")) for i in range(32)])
+SAID = {2: "Mejor el lunes", 8: "luego, que sale caro", 14: "¿Y la garantía?", 18: "No lo pago"}
+CALL = transcript(*[(1 + i % 2, i, SAID.get(i, f"t{i}")) for i in range(21)])
 
 
 def stats(spark, calls_table):
@@ -31,36 +30,38 @@ def stats(spark, calls_table):
 
 
 def test_report_of_a_call(calls):
-    r = objections.analyse_calls(calls(a=FOUR), RULES).first()
-    assert (r.file, r.total_turns, r.client_turns, r.objections_found) == ("a", 32, 16, 4)
-    assert r.objection_types == {"TIME": 1, "NEED": 1, "TRUST": 1, "INFO": 1}
-    assert r.type_order == ["TIME", "NEED", "TRUST", "INFO"]
-    assert r.avg_intensity == 2.25
-    assert [o.intensity for o in r.objections] == [2, 3, 3, 1]
-    assert r.objections[0].asDict() == {
-        "type": "TIME", "intensity": 2, "matched_text": "luego", "pattern": "luego", "timestamp": "0:05",
-        "speaker": "Speaker 1", "full_text": "Luego", "context_before": "t4", "context_after": "t6",
+    r = objections.analyse_calls(calls(a=CALL), RULES).first()
+    assert (r.file, r.total_turns, r.client_turns, r.objections_found) == ("a", 21, 11, 5)
+    assert r.objection_types == {"MOMENT": 2, "COST": 2, "SAFETY": 1}
+    assert r.type_order == ["MOMENT", "COST", "SAFETY"]
+    assert r.avg_intensity == 14 / 5
+    assert [(o.type, o.intensity, o.timestamp) for o in r.objections] == [
+        ("MOMENT", 1, "0:02"), ("MOMENT", 1, "0:08"), ("COST", 5, "0:08"), ("SAFETY", 2, "0:14"), ("COST", 5, "0:18"),
+    ]
+    assert r.objections[3].asDict() == {
+        "type": "SAFETY", "intensity": 2, "matched_text": "garantia", "pattern": "garantia", "timestamp": "0:14",
+        "speaker": "Speaker 1", "full_text": "¿Y la garantía?", "context_before": "t13", "context_after": "t15",
     }
-    assert len(r.turns) == 32
-    assert r.turns[5].asDict() == {"speaker": "Speaker 1", "speaker_num": 1, "timestamp": "0:05", "text": "Luego"}
+    assert len(r.turns) == 21
+    assert r.turns[8].asDict() == {"speaker": "Speaker 1", "speaker_num": 1, "timestamp": "0:08", "text": "luego, que sale caro"}
 
 
 def test_report_needs_no_exchange(calls):
-    plan = objections.analyse_calls(calls(a=FOUR), RULES)._jdf.queryExecution().executedPlan().toString()
+    plan = objections.analyse_calls(calls(a=CALL), RULES)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
 
 
 def test_report_options(calls):
     small = ReportOptions(client_speaker=2, include_turns=False, include_details=False, include_intensity=False)
-    df = objections.analyse_calls(calls(a=FOUR), RULES, small)
+    df = objections.analyse_calls(calls(a=CALL), RULES, small)
     assert df.columns == ["file", "total_turns", "client_turns", "objections_found", "objection_types", "type_order"]
     assert df.first().objections_found == 0
 
 
 def test_client_of_each_call(spark):
-    table = spark.createDataFrame([("a", FOUR, 2), ("b", FOUR, None)], "archivo string, raw string, client int")
+    table = spark.createDataFrame([("a", CALL, 2), ("b", CALL, None)], "archivo string, raw string, client int")
     got = {r.file: r.objections_found for r in objections.analyse_calls(table, RULES, client="client").collect()}
-    assert got == {"a": 0, "b": 4}
+    assert got == {"a": 0, "b": 5}
 
 
 def test_call_without_objections_or_turns(calls):
@@ -73,8 +74,8 @@ def test_call_without_objections_or_turns(calls):
 
 def test_row_and_table_forms_agree(calls):
     table = calls(
-        a=FOUR,
-        b=transcript((1, 0, "riesgo luego riesgo"), (2, 1, "luego"), (1, 2, "no necesito, ya tengo")),
+        a=CALL,
+        b=transcript((1, 0, "garantía luego garantía"), (2, 1, "luego"), (1, 2, "no lo pago, sale caro")),
         c=transcript((2, 0, "hola")),
     )
     inside = objections.analyse_calls(table, RULES).orderBy("file")
@@ -83,7 +84,7 @@ def test_row_and_table_forms_agree(calls):
     by_table = reports.call_report(matched, RULES.types).orderBy("file")
     assert inside.select(*common).collect() == by_table.select(*common).collect()
 
-    for size, count in ((5, 7), (8, 4), (32, 1), (512, 1)):
+    for size, count in ((5, 5), (8, 3), (21, 1), (512, 1)):
         parts = reports.document_parts(matched, turns_per_part=size).orderBy("file", "part").collect()
         assert len([p for p in parts if p.file == "a"]) == count
         for r in inside.collect():
@@ -110,22 +111,22 @@ def test_one_exchange_for_the_report(spark):
 def test_most_common_type_counts_calls(spark, calls):
     table = calls(
         a=transcript((1, 0, "luego"), (1, 1, "luego"), (1, 2, "luego")),
-        b=transcript((1, 0, "riesgo")),
-        c=transcript((1, 0, "un riesgo, ya tengo")),
+        b=transcript((1, 0, "garantía")),
+        c=transcript((1, 0, "la garantía sale caro")),
         d=transcript((1, 0, "nada")),
     )
     got = stats(spark, table)
-    assert got["most_common_objection"] == "TRUST"
+    assert got["most_common_objection"] == "SAFETY"
     assert (got["total_files"], got["total_objections"]) == (4, 6)
     assert got["avg_objections_per_file"] == 1.5
-    assert got["overall_avg_intensity"] == (2 + 3 + 3 + 0) / 4
+    assert got["overall_avg_intensity"] == (1 + 2 + 3.5 + 0) / 4
 
 
 def test_tie_goes_to_the_type_seen_first(spark, calls):
-    table = calls(b=transcript((1, 0, "luego")), a=transcript((1, 0, "hola"), (1, 1, "riesgo")), c=transcript((1, 0, "ya tengo")))
-    assert stats(spark, table)["most_common_objection"] == "TRUST"
-    within = calls(a=transcript((1, 0, "riesgo"), (1, 1, "luego")))
-    assert stats(spark, within)["most_common_objection"] == "TRUST"
+    table = calls(b=transcript((1, 0, "luego")), a=transcript((1, 0, "hola"), (1, 1, "garantía")), c=transcript((1, 0, "sale caro")))
+    assert stats(spark, table)["most_common_objection"] == "SAFETY"
+    within = calls(a=transcript((1, 0, "garantía"), (1, 1, "luego")))
+    assert stats(spark, within)["most_common_objection"] == "SAFETY"
 
 
 def test_no_calls(spark, calls):
@@ -140,15 +141,15 @@ def test_no_calls(spark, calls):
 
 def test_without_intensities_the_mean_is_zero(calls):
     plain = ReportOptions(include_intensity=False)
-    assert objections.analyse_corpus(calls(a=FOUR), RULES, plain).first().overall_avg_intensity == 0.0
+    assert objections.analyse_corpus(calls(a=CALL), RULES, plain).first().overall_avg_intensity == 0.0
 
 
 @pytest.mark.parametrize("fmt", ["json", "parquet"])
 def test_write_reports(spark, calls, tmp_path, fmt):
     path = str(tmp_path / "out")
-    write_reports(objections.analyse_calls(calls(a=FOUR, b=""), RULES), path, fmt=fmt)
+    write_reports(objections.analyse_calls(calls(a=CALL, b=""), RULES), path, fmt=fmt)
     back = {r.file: r for r in spark.read.format(fmt).load(path).collect()}
-    assert back["a"].objections_found == 4 and len(back["a"].turns) == 32 and back["b"].turns == []
+    assert back["a"].objections_found == 5 and len(back["a"].turns) == 21 and back["b"].turns == []
     if fmt == "json":
         lines = [json.loads(line) for f in (tmp_path / "out").glob("*.json") for line in f.read_text().splitlines()]
         assert {line["file"] for line in lines} == {"a", "b"}

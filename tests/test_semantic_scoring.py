@@ -121,7 +121,7 @@ def test_broadcast_form_moves_no_chunks(data):
 
 def test_models_run_once_per_row(spark, make_encoder):
     columns = "cat_id int, frase string, categoria string, tipo string"
-    phrases = spark.createDataFrame([(0, "luego", "TIME", "later")], columns)
+    phrases = spark.createDataFrame([(0, "luego", "MOMENT", "later")], columns)
     catalog = semantic.encode_column(phrases, "frase", make_encoder)
     columns = "archivo string, turn_no int, chunk_no int, chunk string"
     chunks = spark.createDataFrame([("a", 0, 0, "hasta luego")], columns)
@@ -144,7 +144,7 @@ def test_threshold_is_inclusive_and_unrounded(spark):
     assert both.count() == 4
 
 
-RULES = RuleSet({"TIME": {"later": [r"\bluego\b", r"(x?)"]}, "NEED": {"enough": ["ya tengo"], "other": [r"(?:uso)", "otro"]}})
+RULES = RuleSet({"MOMENT": {"later": [r"\bluego\b", r"(x?)"]}, "USE": {"enough": ["ya tengo"], "other": [r"(?:uso)", "otro"]}})
 
 
 def test_catalog(spark):
@@ -152,9 +152,9 @@ def test_catalog(spark):
 
     got = semantic.catalog_phrases(rules_table(spark, RULES).repartition(3)).orderBy("cat_id").collect()
     assert [tuple(r) for r in got] == [
-        (0, "luego", "TIME", "later"),
-        (1, "ya tengo", "NEED", "enough"),
-        (2, "otro", "NEED", "other"),
+        (0, "luego", "MOMENT", "later"),
+        (1, "ya tengo", "USE", "enough"),
+        (2, "otro", "USE", "other"),
     ]
 
 

@@ -6,7 +6,7 @@ from tertulia.plans import objections
 from tertulia.sources import transcripts
 from tertulia.streaming import folders
 
-RULES = RuleSet({"TIME": {"later": ["luego"]}}, {"later": 2})
+RULES = RuleSet({"MOMENT": {"later": ["luego"]}}, {"later": 2})
 ONE = "Speaker 2: { 0:00 }\nhola\n\nSpeaker 1: { 0:04 }\nLuego hablo\n"
 
 

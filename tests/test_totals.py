@@ -11,7 +11,7 @@ from tertulia.plans import objections
 from tertulia.sources.transcripts import read_transcripts, with_rejects
 from tertulia.streaming import folders, totals
 
-RULES = RuleSet({"TIME": {"later": ["luego"]}, "NEED": {"none": ["no necesito"], "other": ["otro"]}}, {"later": 2, "other": 3})
+RULES = RuleSet({"MOMENT": {"later": ["luego"]}, "USE": {"none": ["no necesito"], "other": ["otro"]}}, {"later": 2, "other": 3})
 SAID = ["luego", "no necesito nada", "otro día", "hola", "luego, tengo otro", "otro, no necesito"]
 
 

@@ -13,8 +13,8 @@ TURN_SCHEMA = (
 )
 RULES = RuleSet(
     {
-        "TIME": {"later": [r"\bcuando (pueda|se libere)\b", "despues"]},
-        "NEED": {"enough": [r"\bno (lo )?necesito\b"], "other": ["subió", "ya (uso|tengo)"]},
+        "MOMENT": {"later": [r"\bcuando (pueda|se libere)\b", "despues"]},
+        "USE": {"enough": [r"\bno (lo )?necesito\b"], "other": ["subió", "ya (uso|tengo)"]},
     },
     {"later": 2, "enough": 3},
 )
@@ -81,16 +81,16 @@ def test_objections(turns):
     )
     got = R.detect_objections(table, RULES, 1, context_size=5).orderBy("archivo", "turn_no", "rule_no").collect()
     assert [(r.turn_no, r.type, r.category, r.intensity, r.matched_text, r.pattern) for r in got] == [
-        (1, "TIME", "later", 2, "cuando pueda", r"\bcuando (pueda|se libere)\b"),
-        (1, "NEED", "enough", 3, "no lo necesito", r"\bno (lo )?necesito\b"),
-        (3, "NEED", "other", 1, "ya uso", "ya (uso|tengo)"),
+        (1, "MOMENT", "later", 2, "cuando pueda", r"\bcuando (pueda|se libere)\b"),
+        (1, "USE", "enough", 3, "no lo necesito", r"\bno (lo )?necesito\b"),
+        (3, "USE", "other", 1, "ya uso", "ya (uso|tengo)"),
     ]
     assert (got[0].timestamp, got[0].speaker, got[0].full_text) == ("0:03", "Speaker 1", "Después, cuando pueda. NO LO NECESITO")
     assert [(r.context_before, r.context_after) for r in got] == [("¿Cómo", "ya te"), ("¿Cómo", "ya te"), ("ya te", "")]
 
 
 def test_accented_rule_never_matches(turns):
-    only = RuleSet({"NEED": {"other": ["subió"]}})
+    only = RuleSet({"USE": {"other": ["subió"]}})
     assert R.rule_objections(turns(("a", 0, 1, 0, "subió subio")), only).count() == 0
 
 
