@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from tertulia.functions.prompts import objection_prompt, summary_prompt
 from tertulia.functions.scores import answer_text, verdict
+from tertulia.sources.answers import SCHEMA, AnswerStore
 from tertulia.sources.staging import settle
 
 Complete = Callable[[str], str | None]
-#: Tasks that ask questions, unless the caller says otherwise.
-TASKS = 64
+#: Tasks that ask questions, unless the caller says otherwise, and the questions of a task whose answers are stored.
+TASKS, TASK_PROMPTS = 64, 500
 
 
 def once(function):
@@ -88,18 +89,28 @@ def _asking(complete: Complete, workers: int, keys: list[str]):
 
 
 def answer_prompts(
-    asked: DataFrame, complete: Complete, workers: int = 4, tasks: int = TASKS
+    asked: DataFrame, complete: Complete, workers: int = 4, tasks: int = TASKS, store: AnswerStore | None = None
 ) -> DataFrame:
     """``prompt_key, answer, error`` for each different ``prompt``, asked once. Runs a job.
 
     The prompts are dealt over ``tasks`` tasks, however small they are, so at most ``tasks * workers`` questions are
     open at a time. A failing call gives an error, not a lost batch. The result is settled on reliable storage:
     using it twice, or losing an executor later, does not ask again.
+
+    With a ``store``, prompts it has answers to are not asked, each task's answers are in it when the task ends, and
+    the result has a column ``run``. Tasks then have at most about ``TASK_PROMPTS`` questions, so that a lost job loses
+    little; there may be more than ``tasks`` of them, and the cores of the cluster bound the questions that are open.
     """
     prompts = asked.select("prompt_key", "prompt").where("prompt is not null").distinct()
-    prompts = prompts.repartition(tasks, "prompt_key")
     run = _asking(complete, workers, ["prompt_key"])
-    return settle(prompts.mapInPandas(run, "prompt_key string, answer string, error string"))
+    if store is None:
+        return settle(prompts.repartition(tasks, "prompt_key").mapInPandas(run, SCHEMA))
+    prompts = settle(store.unanswered(prompts))
+    count = prompts.count()
+    if count:
+        dealt = prompts.repartition(max(min(tasks, count), -(-count // TASK_PROMPTS)), "prompt_key")
+        store.add(dealt.mapInPandas(run, SCHEMA))
+    return settle(store.answers_to(asked.where("prompt is not null")))
 
 
 def apply_answers(
@@ -126,11 +137,12 @@ def review(
     keywords: Sequence[str],
     workers: int = 4,
     tasks: int = TASKS,
+    store: AnswerStore | None = None,
 ) -> DataFrame:
     """Detections with the verdict on each; ``keep_validated`` leaves the confirmed ones."""
     prompt = objection_prompt(template, found.columns)
     asked = found.withColumn("prompt", prompt).withColumn("prompt_key", F.sha2("prompt", 256))
-    answers = answer_prompts(asked, complete, workers, tasks)
+    answers = answer_prompts(asked, complete, workers, tasks, store).select("prompt_key", "answer", "error")
     return apply_answers(asked, answers, keywords, ["prompt_key"]).drop("prompt", "prompt_key")
 
 
@@ -142,16 +154,26 @@ def review_counts(reviewed: DataFrame) -> DataFrame:
 
 
 def summarise(
-    calls: DataFrame, complete: Complete, instruction: str, workers: int = 4, tasks: int = TASKS
+    calls: DataFrame,
+    complete: Complete,
+    instruction: str,
+    workers: int = 4,
+    tasks: int = TASKS,
+    store: AnswerStore | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Summaries ``archivo, resumen`` that are not empty, and the calls without one: ``archivo, error``. Runs a job.
 
     The calls are dealt over ``tasks`` tasks, which bounds the questions that are open; only names and answers are
-    written.
+    written. With a ``store``, calls of equal texts share a question, as in ``answer_prompts``.
     """
-    asked = calls.select("archivo", summary_prompt(F.col("raw"), instruction).alias("prompt")).repartition(tasks)
-    run = _asking(complete, workers, ["archivo"])
-    answers = settle(asked.mapInPandas(run, "archivo string, answer string, error string"))
+    asked = calls.select("archivo", summary_prompt(F.col("raw"), instruction).alias("prompt"))
+    if store is None:
+        run = _asking(complete, workers, ["archivo"])
+        answers = settle(asked.repartition(tasks).mapInPandas(run, "archivo string, answer string, error string"))
+    else:
+        asked = asked.withColumn("prompt_key", F.sha2("prompt", 256))
+        given = answer_prompts(asked, complete, workers, tasks, store)
+        answers = settle(asked.drop("prompt").join(given, "prompt_key", "left"))
     told = answers.select("archivo", F.col("answer").alias("resumen"))
     silent = answers.where(F.coalesce(F.length("answer"), F.lit(0)) == 0).select("archivo", "error")
     return drop_empty_summaries(told), silent

@@ -19,6 +19,7 @@ from tertulia.operators.semantic import (
     encode_column,
     split_sentences,
 )
+from tertulia.sources.answers import AnswerStore
 from tertulia.sources.staging import settle
 from tertulia.sources.tables import order_columns
 from tertulia.sources.transcripts import with_rejects
@@ -70,10 +71,12 @@ def validate(
     columns: Sequence[str] = (),
     workers: int = 4,
     tasks: int = TASKS,
+    store: AnswerStore | None = None,
 ) -> DataFrame:
     """Detections the reviewer confirms. They are settled first, so encoding is not repeated by the review.
 
-    Runs jobs. At most ``workers * tasks`` prompts are open at a time.
+    Runs jobs. At most ``workers * tasks`` prompts are open at a time. With a ``store``, a job that was lost asks only
+    what has no answer yet.
     """
-    reviewed = review(settle(found), complete, template, keywords, workers, tasks)
+    reviewed = review(settle(found), complete, template, keywords, workers, tasks, store)
     return order_columns(keep_validated(reviewed), columns)

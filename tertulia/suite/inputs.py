@@ -17,6 +17,8 @@ SILENT = 80
 INSTRUCTION = "Resumen breve:"
 #: Document numbers of a file that the folder queries write, and the source whose files are no UTF-8.
 FILE_DOCS, OTHER_ENCODING = 1000, "src3"
+#: Language of the documents that are asked about first where two jobs share their answers.
+FIRST_LANG = "de"
 PREAMBLE = "{ 0:00 }\nBefore the first speaker.\n\n"
 
 RULES = RuleSet(

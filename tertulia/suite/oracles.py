@@ -479,6 +479,13 @@ SELECT archivo, count(*) AS chunks, count(*) FILTER (length(chunk) % 11 = 0) AS
 {SCORED} SELECT vec_id, cat_id, frase, round(similarity, 6) AS similarity FROM scored""",
     "q49_split_arrays": f"SELECT * EXCLUDE (turn_no) FROM ({DETECTIONS})",
     "q50_split_table": f"{FINAL} SELECT * FROM final",
+    "q51_resumed_answers": f"""
+SELECT doc_id, n % 5 = 3 AS failed, CASE WHEN first AND n % 5 <> 3 THEN 1 ELSE 2 END AS job,
+       CASE n % 5 WHEN 0 THEN 'si, es una objeción' WHEN 1 THEN 'no' WHEN 2 THEN 'Sí.' END AS answer
+FROM (SELECT doc_id, length(text) + {len(I.INSTRUCTION) + 2} AS n,
+             bool_or(lang = '{I.FIRST_LANG}') OVER (PARTITION BY text) AS first
+      FROM documents)""",
+    "q52_published_clean": f"{CLEANED} SELECT archivo, clean FROM cleaned",
     "q48_growing_totals": f"""
 {DETECTED.replace(TURNS, TRIMMED)},
 {hits('turns')},

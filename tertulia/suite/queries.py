@@ -14,6 +14,8 @@ from tertulia.operators import calls, dashboard, parsing, reports, rules, scorin
 from tertulia.plans import calls as call_jobs
 from tertulia.plans import detection, objections
 from tertulia.sources import splitting, tables
+from tertulia.sources.answers import AnswerStore
+from tertulia.sources.published import publish, read_published
 from tertulia.sources.staging import fresh_folder, settle
 from tertulia.sources.transcripts import read_transcripts, with_rejects, write_clean, write_reports
 from tertulia.streaming import folders, totals
@@ -504,6 +506,30 @@ def small_catalog_slices(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def resumed_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions on all documents in two jobs that share a store; the second asks what the first did not, or failed on."""
+    store = AnswerStore(spark, fresh_folder(spark, "answers"))
+    prompt = prompts.summary_prompt(F.col("text"), I.INSTRUCTION)
+    asked = I.table(spark, folder, "documents").select("doc_id", "lang", prompt.alias("prompt"))
+    asked = asked.withColumn("prompt_key", F.sha2("prompt", 256))
+    first = scoring.answer_prompts(asked.where(F.col("lang") == I.FIRST_LANG), I.answer_by_length, store=store)
+    last_run = first.agg(F.max("run")).first()[0]
+    answers = scoring.answer_prompts(asked, I.answer_by_length, store=store)
+    job = F.when(F.col("run") <= last_run, 1).otherwise(2).alias("job")
+    return asked.join(answers, "prompt_key").select("doc_id", "answer", F.col("error").isNotNull().alias("failed"), job)
+
+
+def published_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Cleaned calls published in parts of which one comes twice, over a table that the first part replaces."""
+    place = fresh_folder(spark, "published")
+    cleaned = parsing.clean_call(I.conversation_transcripts(spark, folder), I.CLEANING).select("archivo", "clean")
+    part = F.pmod(F.xxhash64("archivo"), F.lit(3))
+    publish(cleaned.withColumn("clean", F.lit("old")), place, run="old")
+    for run, append in ((0, False), (1, True), (1, True), (2, True)):
+        publish(cleaned.where(part == run), place, run=f"part {run}", append=append)
+    return read_published(spark, place, "archivo string, clean string")
+
+
 QUERIES = {
     "q01_turn_parse_full": turn_parse_full,
     "q02_turn_parse_clean": turn_parse_clean,
@@ -558,4 +584,6 @@ QUERIES = {
     "q48_growing_totals": growing_totals,
     "q49_split_arrays": split_arrays,
     "q50_split_table": split_round_trip,
+    "q51_resumed_answers": resumed_answers,
+    "q52_published_clean": published_clean,
 }
