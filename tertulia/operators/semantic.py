@@ -97,7 +97,7 @@ def encode_column(
     )
 
 
-def _rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def vectors_of(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -108,7 +108,7 @@ def _squares(rows: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", rows, rows)
 
 
-def _cosines(rows: np.ndarray, base: np.ndarray) -> np.ndarray:
+def cosines(rows: np.ndarray, base: np.ndarray) -> np.ndarray:
     """Cosine of each row to each row of ``base``; 0 where one has no length.
 
     The products are divided last and by one root, so that vectors of whole numbers lose nothing before.
@@ -122,9 +122,9 @@ def _best(rows: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     slices = max(1, len(rows) * len(base) // SIMILARITY_CELLS)
     tops, firsts = [], []
     for part in np.array_split(rows, slices):
-        cosines = _cosines(part, base)
-        first = cosines.round(DIGITS).argmax(axis=1)
-        tops.append(cosines[np.arange(len(part)), first])
+        near = cosines(part, base)
+        first = near.round(DIGITS).argmax(axis=1)
+        tops.append(near[np.arange(len(part)), first])
         firsts.append(first)
     return np.concatenate(tops), np.concatenate(firsts)
 
@@ -182,7 +182,7 @@ _MATCH_COLUMNS = {
 def _nearest(chunks: DataFrame, part: pa.Table):
     """Best entry of one slice for a batch of vectors; null for a null vector."""
     ids = part["cat_id"].to_numpy().astype(np.int32)
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, _rows(part["embedding"])))
+    shared = chunks.sparkSession.sparkContext.broadcast((ids, vectors_of(part["embedding"])))
 
     @F.arrow_udf(_BEST)
     def nearest(vectors: pa.Array) -> pa.Array:
@@ -190,7 +190,7 @@ def _nearest(chunks: DataFrame, part: pa.Table):
         given = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
         place = np.full(len(vectors), -1)
         place[given] = np.arange(len(given))
-        top, first = _best(_rows(vectors.drop_null()), base) if len(given) else (np.empty(0), np.empty(0, int))
+        top, first = _best(vectors_of(vectors.drop_null()), base) if len(given) else (np.empty(0), np.empty(0, int))
         found = pa.StructArray.from_arrays(
             [pa.array(top.round(DIGITS)), pa.array(-ids[first], pa.int32()), pa.array(top)],
             names=["level", "rank", "similarity"],

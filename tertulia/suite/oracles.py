@@ -486,6 +486,14 @@ FROM (SELECT doc_id, length(text) + {len(I.INSTRUCTION) + 2} AS n,
              bool_or(lang = '{I.FIRST_LANG}') OVER (PARTITION BY text) AS first
       FROM documents)""",
     "q52_published_clean": f"{CLEANED} SELECT archivo, clean FROM cleaned",
+    "q53_pruned_catalog": """
+WITH pairs AS (
+  SELECT a.vec_id, e.vec_id::INTEGER AS cat_id, 't' || e.label AS tipo,
+         list_cosine_similarity(a.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS similarity
+  FROM embeddings a JOIN embeddings e ON a.label % 2 = 1 AND e.label % 2 = 0)
+SELECT vec_id, cat_id, tipo, round(similarity, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(similarity, 12) DESC, cat_id) AS place FROM pairs)
+WHERE place = 1""",
     "q48_growing_totals": f"""
 {DETECTED.replace(TURNS, TRIMMED)},
 {hits('turns')},

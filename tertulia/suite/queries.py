@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tertulia import schemas
 from tertulia.config import ReportOptions
 from tertulia.functions import prompts, text
-from tertulia.operators import calls, dashboard, parsing, reports, rules, scoring, semantic, turns
+from tertulia.operators import calls, catalogs, dashboard, parsing, reports, rules, scoring, semantic, turns
 from tertulia.plans import calls as call_jobs
 from tertulia.plans import detection, objections
 from tertulia.sources import splitting, tables
@@ -530,6 +530,18 @@ def published_clean(spark: SparkSession, folder: str) -> DataFrame:
     return read_published(spark, place, "archivo string, clean string")
 
 
+def pruned_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """The vectors of odd labels matched against those of even labels as a catalog of many entries."""
+    entries = I.table(spark, folder, "embeddings").where("label % 2 = 0").selectExpr(
+        "CAST(vec_id AS int) AS cat_id", "concat('phrase ', vec_id) AS frase", "'EVEN' AS categoria",
+        "concat('t', label) AS tipo", "embedding",
+    )
+    asked = I.vector_chunks(spark, folder).where("CAST(substr(archivo, 6) AS int) % 2 = 1")
+    return catalogs.pruned_match(asked, entries).select(
+        F.col("turn_no").alias("vec_id"), "cat_id", "tipo", F.round("similarity", 6).alias("similarity")
+    )
+
+
 QUERIES = {
     "q01_turn_parse_full": turn_parse_full,
     "q02_turn_parse_clean": turn_parse_clean,
@@ -586,4 +598,5 @@ QUERIES = {
     "q50_split_table": split_round_trip,
     "q51_resumed_answers": resumed_answers,
     "q52_published_clean": published_clean,
+    "q53_pruned_catalog": pruned_catalog,
 }
