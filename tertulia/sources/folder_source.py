@@ -47,7 +47,7 @@ def store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), os.path.abspath(local)
 
 
-def _known(name: str) -> str:
+def shown_name(name: str) -> str:
     return os.fsencode(name).decode("utf-8", "replace")
 
 
@@ -102,7 +102,7 @@ def read_files(fs: pafs.FileSystem, files: Iterator[tuple[str, int]], max_bytes:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
 
     for path, size in files:
-        name, value, error = _known(path.rpartition("/")[2]), None, None
+        name, value, error = shown_name(path.rpartition("/")[2]), None, None
         if size > max_bytes:
             error = "file too large"
         else:
@@ -145,12 +145,15 @@ class FolderReader(DataSourceReader):
             return [Names([f], k, parts) for f in found for k in range(parts)]
         return [Names(found[k :: self.tasks], 0, 1) for k in range(self.tasks)]
 
-    def read(self, partition: Names) -> Iterator[pa.RecordBatch]:
+    def files(self, partition: Names) -> Iterator[tuple[str, int]]:
         fs, _ = store(self.path)
         own = (e for folder in partition.folders for e in texts_in(fs, folder))
         if partition.parts > 1:
             own = (e for e in own if _hash(e[0]) % partition.parts == partition.own)
-        yield from read_files(fs, own, self.max_bytes)
+        return own
+
+    def read(self, partition: Names) -> Iterator[pa.RecordBatch]:
+        yield from read_files(store(self.path)[0], self.files(partition), self.max_bytes)
 
 
 @dataclass

@@ -36,10 +36,10 @@ def read_transcripts(
     return decoded(spark.read.format(TranscriptFolder.name()).options(maxBytes=max_bytes, tasks=count).load(place))
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    """``archivo, raw, parse_error`` of the rows of the folder source."""
+def decoded(files: DataFrame, *others: str) -> DataFrame:
+    """``archivo, raw, parse_error`` of the rows of the folder source, after ``others`` of their columns."""
     raw, invalid = checked_text(F.col("value").cast("string"))
-    return files.select("archivo", raw, F.coalesce("parse_error", invalid).alias("parse_error"))
+    return files.select(*others, "archivo", raw, F.coalesce("parse_error", invalid).alias("parse_error"))
 
 
 def _read_by_spark(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:

@@ -494,6 +494,12 @@ WITH pairs AS (
 SELECT vec_id, cat_id, tipo, round(similarity, 6) AS similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(similarity, 12) DESC, cat_id) AS place FROM pairs)
 WHERE place = 1""",
+    "q54_long_transcripts": f"""
+WITH {TURNS},
+placed AS (SELECT *, substr(archivo, 6)::BIGINT AS call, substr(archivo, 6)::BIGINT // {I.FILE_DOCS} AS part FROM turns)
+SELECT part, speaker, speaker_num, timestamp, start_sec, trim(text, ' ' || chr(9) || chr(10)) AS text,
+       (row_number() OVER (PARTITION BY part ORDER BY call, turn_no) - 1)::INTEGER AS turn_no
+FROM placed""",
     "q48_growing_totals": f"""
 {DETECTED.replace(TURNS, TRIMMED)},
 {hits('turns')},

@@ -15,6 +15,7 @@ from tertulia.plans import calls as call_jobs
 from tertulia.plans import detection, objections
 from tertulia.sources import splitting, tables
 from tertulia.sources.answers import AnswerStore
+from tertulia.sources.long_transcripts import read_long_turns
 from tertulia.sources.published import publish, read_published
 from tertulia.sources.staging import fresh_folder, settle
 from tertulia.sources.transcripts import read_transcripts, with_rejects, write_clean, write_reports
@@ -542,6 +543,19 @@ def pruned_catalog(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def long_transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that hold the transcripts of a block of calls one after the other, read as long calls in many ranges."""
+    path = fresh_folder(spark, "recordings")
+    calls_ = I.conversation_transcripts(spark, folder).withColumn("call", F.substr("archivo", F.lit(6)).cast("long"))
+    raw = F.replace("raw", F.lit(I.PREAMBLE), F.lit(""))
+    rows = calls_.select(raw.alias("raw"), "call", F.floor(F.col("call") / I.FILE_DOCS).alias("part"))
+    ordered = rows.repartition("part").sortWithinPartitions("part", "call")
+    ordered.select("raw", "part").write.partitionBy("part").text(path)
+    found, _ = read_long_turns(spark, f"{path}/*", min_bytes=0, range_bytes=CUT)
+    part = F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part")
+    return found.select(part, "turn_no", "speaker", "speaker_num", "timestamp", "start_sec", "text")
+
+
 QUERIES = {
     "q01_turn_parse_full": turn_parse_full,
     "q02_turn_parse_clean": turn_parse_clean,
@@ -599,4 +613,5 @@ QUERIES = {
     "q51_resumed_answers": resumed_answers,
     "q52_published_clean": published_clean,
     "q53_pruned_catalog": pruned_catalog,
+    "q54_long_transcripts": long_transcripts,
 }
