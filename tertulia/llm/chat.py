@@ -21,7 +21,7 @@ in them and reading back is exact.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEAD, SEPARATOR, TAIL = "### ", ": ", "</turn>\n"
@@ -58,29 +58,33 @@ def final_messages(events: DataFrame) -> DataFrame:
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    rows = _without_regenerated(rows)
+    # A struct equals itself when its fields are null, so one key serves the join and the grouping.
+    place = F.struct("conv_id", F.floor(F.col("message") / BLOCK).alias("block"))
+    rows = _without_regenerated(rows.withColumn("place", place))
     event = F.struct("message", "seq", "kind", "role", "text")
-    blocks = rows.groupBy("conv_id", F.floor(F.col("message") / BLOCK).alias("block")).agg(
-        F.array_sort(F.collect_list(event)).alias("events")
-    )
-    return blocks.select("conv_id", "block", _fold(F.col("events")).alias("turns"))
+    blocks = rows.groupBy("place").agg(F.array_sort(F.collect_list(event)).alias("events"))
+    return blocks.select("place.conv_id", "place.block", _fold(F.col("events")).alias("turns"))
 
 
 def _without_regenerated(rows: DataFrame) -> DataFrame:
     """Rows that no later regeneration of the same or an earlier message has dropped.
 
-    The regenerations of a conversation are reduced to those that no other one outdoes, one row per conversation, so
-    a hot conversation stays on the side of the join that can be split.
+    A row meets the last regeneration of the blocks before its own, a running maximum over one row per block, and the
+    last one of each message of its own block, at most ``BLOCK``. Rows meet them by conversation and block, so a hot
+    conversation is spread however often it was regenerated.
     """
-    redone = rows.filter(F.col("kind") == "regenerate")
-    latest = redone.groupBy("conv_id", "message").agg(F.max("seq").alias("seq"))
-    marks = latest.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("message", "seq"))).alias("marks"))
-    marks = marks.withColumnRenamed("conv_id", "conv__")
-    joined = rows.join(marks, F.col("conv_id").eqNullSafe(F.col("conv__")), "left")
-    dropped = F.exists(
-        "marks", lambda r: (r["message"] <= F.col("message")) & (r["seq"] > F.coalesce("seq", F.lit(-(1 << 62))))
+    redone = rows.filter(F.col("kind") == "regenerate").groupBy("place", "message").agg(F.max("seq").alias("seq"))
+    marks = redone.groupBy("place").agg(
+        F.max("seq").alias("last"), F.array_sort(F.collect_list(F.struct("message", "seq"))).alias("marks")
     )
-    return joined.filter(~F.coalesce(dropped, F.lit(False))).drop("conv__", "marks")
+    blocks = rows.select("place").distinct().join(marks, "place", "left")
+    earlier = Window.partitionBy("place.conv_id").orderBy("place.block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.max("last").over(earlier)).filter("before is not null or marks is not null")
+    joined = rows.join(blocks.select("place", "before", "marks"), "place", "left")
+    own = F.coalesce("seq", F.lit(-(1 << 62)))
+    dropped = F.exists("marks", lambda r: (r["message"] <= F.col("message")) & (r["seq"] > own))
+    earlier_drops = F.coalesce(F.col("before") > own, F.lit(False))
+    return joined.filter(~earlier_drops & ~F.coalesce(dropped, F.lit(False))).drop("before", "marks")
 
 
 def _fold(events: Column) -> Column:

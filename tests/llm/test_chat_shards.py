@@ -1,5 +1,6 @@
 """Chat formatting and sharding."""
 
+import random
 import zlib
 
 import pytest
@@ -105,3 +106,49 @@ def test_small_groups_stay_together(spark):
 def test_no_documents_and_one(spark):
     assert shards.shard(docs(spark, []), 24).count() == 0
     assert [tuple(r)[1:3] for r in shards.shard(docs(spark, [(1, "a", "en", "s")]), 24).collect()] == [(9, zlib.crc32(b"a"))]
+
+
+def by_hand(events):
+    """Messages of one conversation: events are (message, seq, kind, text)."""
+    low = float("-inf")
+    alive = [
+        e for e in events
+        if not any(k == "regenerate" and m <= e[0] and s is not None and s > (low if e[1] is None else e[1]) for m, s, k, _ in events)
+    ]
+    out, before = [], None
+    for message, _, kind, text in sorted(alive, key=lambda e: (e[0], low if e[1] is None else e[1], e[2], e[3])):
+        if message != before or kind == "message":
+            out.append(text)
+        else:
+            out[-1] = text if kind in ("edit", "regenerate") else out[-1] + text
+        before = message
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_regenerations_by_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
+    draw = random.Random(block)
+    logs = {conv: [] for conv in (None, 1, 2, 3)}
+    for conv, log in logs.items():
+        for seq in range(60):
+            kind = draw.choice(chat.KINDS) if conv != 3 else draw.choice(["message", "delta"])
+            log.append((draw.randint(0, 12), draw.choice([seq, seq, seq, None, 7]), kind, f"{seq};"))
+    rows = [(conv, m, s, k, "user", t) for conv, log in logs.items() for m, s, k, t in log]
+    events = spark.createDataFrame(rows, "conv_id long, message int, seq int, kind string, role string, text string")
+    got = {conv: [] for conv in logs}
+    for r in sorted(chat.final_messages(events).collect(), key=lambda r: r.block):
+        got[r.conv_id] += [t.text for t in r.turns]
+    assert got == {conv: by_hand(log) for conv, log in logs.items()}
+
+
+def test_a_conversation_regenerated_very_often(spark):
+    """Every message was regenerated: no array holds more than the marks of a block."""
+    events = spark.range(100_000).select(
+        F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("message"), F.col("id").alias("seq"),
+        F.lit("regenerate").alias("kind"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"),
+    )
+    done = chat.final_messages(events).select(F.size("turns").alias("n"), F.element_at("turns", -1)["text"].alias("last"))
+    assert done.agg(F.sum("n"), F.max("n"), F.count_if(F.col("last") == "99999")).first() == (100_000, chat.BLOCK, 1)
+    last = spark.createDataFrame([(1, 0, 10**6, "regenerate", "user", "all anew")], events.schema)
+    assert [[t.text for t in r.turns] for r in chat.final_messages(events.union(last)).collect()] == [["all anew"]]
