@@ -4,7 +4,8 @@ Normalised: A-Z lower-cased; words are runs of digits, lower-case letters and ch
 between words. A window is ``size`` consecutive words of an item; an item with fewer words, but not none, is one
 window. The automaton reads each normalised text once, and hits are mapped to words and offsets of the original.
 
-Defined results: null and empty texts have no words and no hits; items without words never occur; repeated item rows
+Defined results: null and empty texts have no words and no hits; items without words or without an id never occur, and
+the words of the latter are not hit by them; repeated item rows
 and equal windows of different items count for each item. Rows of ``docs`` are never merged, other columns stay, and
 a column named like the result is replaced. Without items nothing is contaminated.
 
