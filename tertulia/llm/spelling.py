@@ -55,12 +55,10 @@ def words_of(doc_id: int | None, text: str | None, runs: re.Pattern, loss: int =
     """Occurrences of the words of a text; every ``loss``-th run by its checksum has lost a code point."""
     found = Counter(runs.findall((text or "").encode().translate(_LOWER).decode()))
     start = crc32(b":" if doc_id is None else b"%d:" % doc_id)
-    for run in list(found):
-        h = crc32(run.encode(), start)
-        if h % loss == 0:
-            at = h % len(run)
-            count = found.pop(run)
-            found[run[:at] + run[at + 1 :]] += count
+    lost = {run: h % len(run) for run in found if (h := crc32(run.encode(), start)) % loss == 0}
+    counts = [(run, found.pop(run)) for run in lost]  # all are out before any result, itself such a run, comes in
+    for run, count in counts:
+        found[run[: lost[run]] + run[lost[run] + 1 :]] += count
     return found
 
 

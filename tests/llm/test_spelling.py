@@ -93,6 +93,17 @@ def test_word_counts(spark):
     assert len(found) == len(dict(found)) and dict(found) == counts(rows)
 
 
+def test_what_a_run_becomes_loses_nothing_more():
+    """A result that equals a run of the text which loses a code point itself."""
+    lost = [run for k in range(2, 1200) if zlib.crc32(b"5:" + (run := "a" * k).encode()) % 7 == 0]
+    pairs = [(a, a + "a") for a in lost if a + "a" in lost]
+    assert pairs
+    for short, long in pairs:
+        for text in (f"{long} {short}", f"{short} {long}", f"{long} {short} {long}"):
+            found = spelling.words_of(5, text, spelling._runs(1), 7)
+            assert found == {short[1:]: text.split().count(short), short: text.split().count(long)}
+
+
 def test_counts_leave_a_full_task(monkeypatch):
     import pyarrow as pa
 
