@@ -2,7 +2,9 @@
 
 Both star steps are a minimum per node and a join back on the node, so a hub's neighbours are never gathered, and the
 join can be split where a hub is hot. Every round is written to the checkpoint folder, so a lost executor costs one
-round. Self-links and repeated links are allowed; null ends are ignored; no links give an empty table.
+round. Its steps run in as many tasks as its links need, not as many as the session deals by: an exchange leaves a block
+for each pair of tasks, and the rounds' exchanges are many. Self-links and repeated links are allowed; null ends are
+ignored; no links give an empty table.
 """
 
 from __future__ import annotations
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 
 from tertulia.sources.staging import settle
 
+#: Links of a round that one task takes, at most about; fewer where the cluster has idle cores.
+TASK_LINKS = 50_000
+
 
 def _minima(links: DataFrame) -> DataFrame:
     """Each node of ``u`` with the least of its neighbours ``v`` and itself."""
@@ -36,15 +41,17 @@ def small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (u, v); the component is its least node."""
     links = settle(links.filter("u <> v").select("u", "v").distinct())
-    before = None
+    idle, count, before = links.sparkSession.sparkContext.defaultParallelism, links.count(), None
     while True:
-        links = settle(small_star(large_star(links).distinct()).distinct())
+        tasks = max(idle, -(-count // TASK_LINKS))
+        larger = large_star(links.coalesce(tasks)).coalesce(tasks).distinct()
+        links = settle(small_star(larger.coalesce(tasks)).coalesce(tasks).distinct().coalesce(tasks))
         # the links and their sums stay the same once every node points to its least node
         now = tuple(
             links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         )
         if now == before:
             break
-        before = now
+        count, before = now[0], now
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())

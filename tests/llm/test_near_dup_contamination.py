@@ -137,6 +137,24 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_few_links_take_few_tasks_however_many_the_session_deals_by(spark, monkeypatch):
+    from tertulia.llm import components as module
+
+    rounds, kept = [], module.settle
+    monkeypatch.setattr(module, "settle", lambda df: rounds.append(kept(df)) or rounds[-1])
+    options = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        links = spark.createDataFrame([(i, i + 1) for i in range(20)], "u long, v long")
+        assert {r.component for r in components(links).collect()} == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rounds) > 2 and all(r.rdd.getNumPartitions() <= 4 for r in rounds[1:])
+
+
 def words(text):
     lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
