@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from tertulia.sources.folder_source import entries, qualified, store
 
-#: Bytes of a range, and of the first step that reads on beyond it.
+#: Bytes of a range, and of the first step that reads on beyond it. Smaller ranges share tasks of as many bytes.
 RANGE, STEP = 8 << 20, 1 << 16
+#: Tasks of a pass at most.
+MOST_TASKS = 100_000
 RANGES = "path string, start long, end long"
 SUMMARY = "path string, start long, end long, states array<int>, depths array<long>"
 _SUMMARY = pa.schema(
@@ -86,9 +88,11 @@ def _table_summary(data: np.ndarray) -> tuple[list[int], list[int]]:
 def _summaries(summary: Callable) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = []
             for row in batch.to_pylist():
                 states, depths = summary(np.frombuffer(_read(row["path"], row["start"], row["end"]), np.uint8))
-                yield pa.RecordBatch.from_pylist([row | {"states": states, "depths": depths}], _SUMMARY)
+                out.append(row | {"states": states, "depths": depths})
+            yield pa.RecordBatch.from_pylist(out, _SUMMARY)
 
     return work
 
@@ -177,6 +181,11 @@ def _records(cut: Callable) -> Callable:
     return work
 
 
+def tasks_for(spark: SparkSession, ranges: int, bytes_: int) -> int:
+    """Tasks for so many ranges of so many bytes: one for each ``RANGE`` bytes, and all cores, but none without a range."""
+    return max(1, min(ranges, max(-(-bytes_ // RANGE), spark.sparkContext.defaultParallelism), MOST_TASKS))
+
+
 def _files(path: str) -> list[tuple[str, int]]:
     fs, place = store(path)
     info = fs.get_file_info(place)
@@ -198,8 +207,8 @@ def _begun(spark: SparkSession, path: str, summary: Callable, bytes_: int) -> li
     ranges = sized.select("path", "size", number).select(
         "path", (F.col("k") * bytes_).alias("start"), F.least("size", (F.col("k") + 1) * bytes_).alias("end")
     )
-    tasks = max(1, min(sum(-(-size // bytes_) for _, size in files), 100_000))
-    summed = ranges.repartition(tasks).mapInArrow(_summaries(summary), SUMMARY).collect()
+    count = sum(-(-size // bytes_) for _, size in files)
+    summed = ranges.repartition(tasks_for(spark, count, sum(size for _, size in files))).mapInArrow(_summaries(summary), SUMMARY).collect()
     sizes, out, state, depth, before = dict(files), [], 0, 0, None
     for row in sorted(summed, key=lambda r: (r.path, r.start)):
         if row.path != before:
@@ -214,7 +223,8 @@ def _begun(spark: SparkSession, path: str, summary: Callable, bytes_: int) -> li
 def _cut(spark: SparkSession, begun: list[dict], cut: Callable) -> DataFrame:
     names = "path string, start long, end long, size long, state int, depth long, level int"
     rows = spark.createDataFrame([tuple(r.get(n.split()[0], 0) for n in names.split(", ")) for r in begun], names)
-    return rows.repartition(max(1, min(len(begun), 100_000))).mapInArrow(_records(cut), "value string")
+    tasks = tasks_for(spark, len(begun), sum(r["end"] - r["start"] for r in begun))
+    return rows.repartition(tasks).mapInArrow(_records(cut), "value string")
 
 
 def split_json(spark: SparkSession, path: str, schema: str, range_bytes: int = RANGE) -> DataFrame:

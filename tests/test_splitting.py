@@ -85,3 +85,13 @@ def test_headers_are_checked(spark, tmp_path):
     assert rows_of(splitting.split_table(spark, str(tmp_path), "x int, y int", range_bytes=4)) == ['{"x": 1, "y": 2}', '{"x": 3, "y": 4}']
     with pytest.raises(Exception, match="header"):
         splitting.split_table(spark, str(tmp_path), "x int, z int").collect()
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    path = str(tmp_path / "out")
+    table = spark.range(300).selectExpr("id", "concat('a;', id, '\n') AS b")
+    tables.write_final(table.coalesce(1), path)
+    split = splitting.split_table(spark, path, "id long, b string", range_bytes=20)
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, table.collect()))
+    assert split.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert splitting.tasks_for(spark, 1000, 1000 * splitting.RANGE) == 1000
