@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tertulia.operators.parsing import parse_turns
 from tertulia.operators.turns import number_rows
 from tertulia.sources.folder_source import FolderReader, Names, qualified, shown_name, store
+from tertulia.sources.splitting import tasks_for
 from tertulia.sources.staging import settle
 from tertulia.sources.transcripts import MAX_FILE_BYTES, decoded, with_rejects
 
@@ -31,8 +32,6 @@ LONGEST = 1 << 12
 _BLANK = rb"[\t-\r\x1c-\x20]"
 #: Fixed value: the format of a header, see ``parsing.FULL_HEADER``.
 HEADER = re.compile(rb"Speaker_+[0-9]+:_*\{_*[0-9]+:[0-9]+_*\}".replace(b"_", _BLANK))
-#: Tasks of a pass at most.
-MOST_TASKS = 100_000
 
 _LISTED = pa.schema([("path", pa.string()), ("size", pa.int64())])
 _CUT = pa.schema([("path", pa.string()), ("start", pa.int64()), ("cut", pa.int64()), ("size", pa.int64())])
@@ -84,10 +83,11 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([{n: r[n] for n in _CUT.names} for r in found], _CUT)
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Short rows that name much work, settled and dealt over as many tasks."""
+def _spread(df: DataFrame, start: str) -> DataFrame:
+    """Short rows that name the bytes from ``start`` to ``end``, settled and dealt over as many tasks as those need."""
     df = settle(df)
-    return df.repartition(max(1, min(df.count(), MOST_TASKS)))
+    count, bytes_ = df.agg(F.count("*"), F.coalesce(F.sum(F.col("end") - F.col(start)), F.lit(0))).first()
+    return df.repartition(tasks_for(df.sparkSession, count, bytes_))
 
 
 def _pieces(max_bytes: int):
@@ -126,11 +126,11 @@ def read_pieces(
     ranges = files.select("path", "size", number).select(
         "path", (F.col("k") * range_bytes).alias("start"), F.least("size", (F.col("k") + 1) * range_bytes).alias("end"), "size"
     )
-    cuts = settle(_spread(ranges).mapInArrow(_cuts, _sql(_CUT)))
+    cuts = settle(_spread(ranges, "start").mapInArrow(_cuts, _sql(_CUT)))
     # One short row for each range of a file.
     following = F.lead("cut").over(Window.partitionBy("path").orderBy("start"))
     pieces = cuts.select("path", "cut", F.coalesce(following, F.col("size")).alias("end")).where("cut < end")
-    read = _spread(pieces).mapInArrow(_pieces(max_bytes), _sql(_PIECE))
+    read = _spread(pieces, "cut").mapInArrow(_pieces(max_bytes), _sql(_PIECE))
     return decoded(read, "path", "cut")
 
 

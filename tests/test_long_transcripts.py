@@ -90,3 +90,11 @@ def test_same_names_in_several_folders_and_none(spark, tmp_path):
     assert got == [("a/call.txt", 0, "a1"), ("a/call.txt", 1, "a2"), ("b/call.txt", 0, "b1"), ("b/call.txt", 1, "b2")]
     turns, rejects = read_long_turns(spark, f"{tmp_path}/*", min_bytes=1 << 20)
     assert turns.count() == 0 and rejects.count() == 0
+
+
+def test_small_ranges_share_tasks(spark, folder):
+    path = folder(many__txt="".join(f"Speaker {n % 3}: {{{n}:00}}\nword {n}\n" for n in range(300)))
+    pieces = long_transcripts.read_pieces(spark, path, min_bytes=0, range_bytes=64)
+    assert pieces.count() > 50
+    assert pieces.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert cut(spark, path, range_bytes=64) == whole(spark, path)
