@@ -15,6 +15,7 @@ from tertulia.plans import calls as call_jobs
 from tertulia.plans import detection, objections
 from tertulia.sources import splitting, tables
 from tertulia.sources.answers import AnswerStore
+from tertulia.sources.folder_source import write_files
 from tertulia.sources.long_transcripts import read_long_turns
 from tertulia.sources.published import publish, read_published
 from tertulia.sources.staging import fresh_folder, settle
@@ -385,11 +386,11 @@ def _document_files(spark: SparkSession, folder: str) -> str:
     """Files of the documents of a source, a language and a block of ids each, so that none grows with the table."""
     path = fresh_folder(spark, "files")
     docs = I.table(spark, folder, "documents")
-    latin = F.encode(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), "ISO-8859-1").cast("string")
-    text = F.when(F.col("source") == I.OTHER_ENCODING, latin).otherwise(F.col("text"))
+    latin = F.encode(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), "ISO-8859-1")
+    text = F.when(F.col("source") == I.OTHER_ENCODING, latin).otherwise(F.col("text").cast("binary"))
     block = F.floor(F.col("doc_id") / I.FILE_DOCS)
     part = F.concat_ws("-", "source", "lang", block.cast("string")).alias("part")
-    docs.select(text.alias("text"), part).repartition("part").write.partitionBy("part").text(path)
+    write_files(docs.select(text.alias("value"), part), path)
     return f"{path}/*"
 
 

@@ -192,3 +192,16 @@ def test_a_repeated_batch_reads_the_same_files(tmp_path):
     reader = FolderStream(options)
     assert reader.latestOffset() == reader.latestOffset() == FolderStream(options).latestOffset() == {"listings": 2}
     assert names(0, 1) == first and len(names(1, 2)) == 15 and len(names(0, 2)) == 25 and names(2, 2) == []
+
+
+def test_many_small_files_are_written_by_tasks_alone(spark, tmp_path):
+    from tertulia.sources.folder_source import write_files
+
+    rows = [("a/b %", b"x"), ("a/b %", b"\xe9"), ("", b"one"), ("c-1", None), ("c-1", b""), ("c-1", b"two\nthree")]
+    path = str(tmp_path / "files")
+    write_files(spark.createDataFrame(rows, "part string, value binary").repartition(3), path)
+    found = {p.parent.name: p.read_bytes() for p in (tmp_path / "files").rglob("*") if p.is_file()}
+    assert {n: sorted(v.split(b"\n")) for n, v in found.items()} == {
+        "part=a%2Fb%20%25": [b"", b"x", b"\xe9"], "part=": [b"", b"one"], "part=c-1": [b"", b"", b"", b"three", b"two"]
+    }
+    assert transcripts.read_transcripts(spark, f"{path}/*").count() == 3
