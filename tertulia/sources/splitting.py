@@ -24,8 +24,8 @@ from tertulia.sources.folder_source import entries, qualified, store
 
 #: Bytes of a range, and of the first step that reads on beyond it. Smaller ranges share tasks of as many bytes.
 RANGE, STEP = 8 << 20, 1 << 16
-#: Tasks of a pass at most.
-MOST_TASKS = 100_000
+#: Tasks of a pass for each core, if there are ranges for them, and at most.
+CORE_TASKS, MOST_TASKS = 4, 100_000
 RANGES = "path string, start long, end long"
 SUMMARY = "path string, start long, end long, states array<int>, depths array<long>"
 _SUMMARY = pa.schema(
@@ -182,8 +182,8 @@ def _records(cut: Callable) -> Callable:
 
 
 def tasks_for(spark: SparkSession, ranges: int, bytes_: int) -> int:
-    """Tasks for so many ranges of so many bytes: one for each ``RANGE`` bytes, and all cores, but none without a range."""
-    return max(1, min(ranges, max(-(-bytes_ // RANGE), spark.sparkContext.defaultParallelism), MOST_TASKS))
+    """Tasks for so many ranges of so many bytes: one for each ``RANGE`` bytes and ``CORE_TASKS`` a core, at least one range each."""
+    return max(1, min(ranges, max(-(-bytes_ // RANGE), CORE_TASKS * spark.sparkContext.defaultParallelism), MOST_TASKS))
 
 
 def _files(path: str) -> list[tuple[str, int]]:
